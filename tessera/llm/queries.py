@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality, sharding, simhash, tok, tokenbin, warc
+from tessera.llm import embeddings, html, mixing, packing, pii, quality, sharding, simhash, tok, tokenbin, warc
 from tessera.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(read(spark, sf_dir, "documents"), tok.default_tokenizer(), end_id=2)
 
 
+@query("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 _OP6 = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
@@ -86,6 +91,25 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_mask")
 
 
+@query("op7_embedding_near_duplicates")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query("op8_html_extraction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+#: Equal shares of the 20 sources, and languages as a multilingual corpus would want them.
+TARGETS = mixing.Targets(source={f"src{i}": 1 / 20 for i in range(20)}, lang={"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, topics=8, temper=0.75, keep=0.5)
+
+
+@query("op9_source_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), TARGETS)
+
+
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tok.default_tokenizer(), capacity=2048, end_id=0)
