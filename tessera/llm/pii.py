@@ -226,7 +226,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     rows = docs.toDF(*inner).withColumn("r0", F.xxhash64(F.col(names[key]), F.coalesce(t, F.lit(""))))
     rows = rows.join(F.broadcast(more) if few else more, (F.col("r0") == F.col("r")) & F.col(names[key]).eqNullSafe(F.col("k")), "left")
     new = t
-    for k in (KINDS[0], KINDS[3], KINDS[2], KINDS[1]):  # the longer forms first, where one holds another
+    for k in (KINDS[0], KINDS[3], KINDS[2], KINDS[1], KINDS[3]):  # the longer forms first; a phone number may come free beside another kind
         rows = rows.withColumn(names[text], _masked(new, k, lambda x, k=k: F.lit(f"[{k.name.upper()}]")))
         new = F.col(names[text])
     new = F.when(F.col("texts").isNull(), new).otherwise(F.aggregate("texts", new, lambda a, x: F.replace(a, x, F.lit(f"[{FOUND.upper()}]"))))
