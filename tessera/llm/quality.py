@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import let, words_of
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_pipes")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs")
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class Rule:
 RULES = (
     Rule(0, "few_words", "n_words < 50"),
     Rule(1, "repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    Rule(2, "symbols", "2 * n_symbols > n_words"),
+    Rule(2, "symbols", "5 * n_symbols > n_words"),
     Rule(3, "exclamations", "2 * n_bangs > n_words"),
     Rule(4, "short_words", "word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 15 * n_words"),
@@ -105,7 +105,6 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             repeat_words(w).alias("n_repeat_words"),
             F.size(lines).cast("long").alias("n_lines"),
             _removed(t, "!").alias("n_bangs"),
-            _removed(t, "|").alias("n_pipes"),
         )
 
     return docs.withColumn("m", let(words_of(F.col(text)), of_words))

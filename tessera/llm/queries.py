@@ -74,7 +74,7 @@ m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
              length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_bangs,
              coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
-b AS (SELECT *, n_words < 50 AS b0, 100 * n_repeat_words > 50 * n_words AS b1, 2 * n_symbols > n_words AS b2,
+b AS (SELECT *, n_words < 50 AS b0, 100 * n_repeat_words > 50 * n_words AS b1, 5 * n_symbols > n_words AS b2,
              2 * n_bangs > n_words AS b3, word_chars < 2 * n_words AS b4, word_chars > 15 * n_words AS b5,
              n_lines >= 4 AND 2 * n_dup_lines > n_lines AS b6 FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b0 OR b1 AS base_failed,
