@@ -21,7 +21,7 @@ from tessera.llm.components import connected_components
 
 PASSES, WINDOW, KEY_BITS = 12, 24, 62
 #: A group is checked in blocks of about so many different vectors.
-BLOCK = 512
+BLOCK = 256
 
 
 def planes(dim: int, passes: int, seed: int = 17) -> np.ndarray:

@@ -43,6 +43,9 @@ BOILER_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article body content entry main post story text".split())
 
+#: Elements nested deeper are read as lying side by side, as browsers do.
+DEPTH = 512
+
 _SCAN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -75,6 +78,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
     stack, links, blocks = [0], 0, []
     now: Block | None = None
     at, n = 0, len(page)
+    last = max(page.rfind(">") + 1, n if "<!--" in page else 0)  # beyond it no tag can end
 
     def text(piece: str) -> None:
         nonlocal now
@@ -100,7 +104,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
                 now = None
 
     while at < n:
-        m = _SCAN.search(page, at)
+        m = _SCAN.search(page, at, last)
         if not m:
             text(page[at:])
             break
@@ -148,6 +152,8 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
                     break
                 if t in BLOCK:
                     break
+        if len(stack) > DEPTH:
+            leave(DEPTH)
         up = elements[stack[-1]]
         words, hidden = set(), False
         if attrs:
