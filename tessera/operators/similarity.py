@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
+from tessera.functions.tables import materialize
 
 GROUP = ["case_id", "student", "node_type"]
 NODE = [*GROUP, "side", "pos"]
@@ -23,11 +24,13 @@ def tfidf_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     """
     if threshold <= 0:
         raise ValueError("a join by terms needs a threshold above 0")
-    n = nodes.groupBy(*GROUP).agg(F.count("*").alias("n"), F.count_if(F.size(X.tokens(F.col("match_text"))) > 0).alias("with_terms"))
-    counted = nodes.select(*NODE, F.explode(X.terms(X.tokens(F.col("match_text")))).alias("term")).groupBy(*NODE, "term").agg(F.count("*").alias("tf"))
+    n = nodes.groupBy(*GROUP).agg(F.count("*").alias("n"), F.count_if(F.lower("match_text").rlike(X.TOKEN)).alias("with_terms"))
+    words = nodes.select(*NODE, X.tokens(F.col("match_text")).alias("words"))  # a step of its own, so that texts are cut once
+    counted = words.select(*NODE, F.explode(X.terms(F.col("words"))).alias("term")).groupBy(*NODE, "term").agg(F.count("*").alias("tf"))
     by_term = Window.partitionBy(*GROUP, "term")
     weighted = counted.withColumn("df", F.count("*").over(by_term)).join(n.select(*GROUP, "n"), GROUP)
-    weighted = weighted.withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).select(*NODE, "term", "w")
+    # both sides of the join and the norms read the term weights: they are written once
+    weighted = materialize(weighted.withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).select(*NODE, "term", "w"))
     norms = weighted.groupBy(*NODE).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     side = {s: weighted.where(F.col("side") == s).select(*GROUP, "term", F.col("pos").alias(f"{s}_pos"), F.col("w").alias(f"w_{s}")) for s in "ts"}
     dots = side["t"].join(side["s"], [*GROUP, "term"]).groupBy(*GROUP, "t_pos", "s_pos").agg(F.sum(F.col("w_t") * F.col("w_s")).alias("dot"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.functions import expressions as X
+from tessera.functions.tables import materialize
 from tessera.operators import align as al
 from tessera.operators import assign, calibrate, diff, explain, nodes, parse, report, similarity
 from tessera.plans import adapters as A
@@ -59,13 +60,13 @@ def node_weights(spark: SparkSession, d: str) -> DataFrame:
     LEFT JOIN nd a ON ed.case_id = a.case_id AND src = a.node_id LEFT JOIN nd b ON ed.case_id = b.case_id AND dst = b.node_id""",
 )
 def edge_weights(spark: SparkSession, d: str) -> DataFrame:
-    g = A.teacher_graphs(spark, d)
+    g = materialize(A.teacher_graphs(spark, d))
     return nodes.edges_with_weights(nodes.flatten_edges(g), nodes.flatten_nodes(g)).select("case_id", "pos", "eid", "src", "dst", "type", "weight")
 
 
 @query("drawable_edges", _TN + "SELECT case_id, eid FROM ed WHERE (case_id, src) IN (SELECT case_id, node_id FROM nd) AND (case_id, dst) IN (SELECT case_id, node_id FROM nd)")
 def drawable_edges(spark: SparkSession, d: str) -> DataFrame:
-    g = A.teacher_graphs(spark, d)
+    g = materialize(A.teacher_graphs(spark, d))
     return nodes.drawable_edges(nodes.flatten_edges(g), nodes.flatten_nodes(g)).select("case_id", "eid")
 
 
@@ -98,7 +99,7 @@ et AS (SELECT ed.case_id, ed.pos, eid AS edge, ed.src || ' — ' || substr(coale
 
 @query("edge_table", _EDGE_TABLE + "SELECT case_id, pos, edge, source_node, type, target_node, coalesce(own, derived) AS justification FROM et")
 def edge_table(spark: SparkSession, d: str) -> DataFrame:
-    return explain.edge_table(A.teacher_graphs(spark, d)).select("case_id", "pos", "edge", "source_node", "type", "target_node", "justification")
+    return explain.edge_table(materialize(A.teacher_graphs(spark, d))).select("case_id", "pos", "edge", "source_node", "type", "target_node", "justification")
 
 
 @query(
@@ -107,7 +108,7 @@ def edge_table(spark: SparkSession, d: str) -> DataFrame:
     count(*) FILTER (own IS NULL AND derived = '—') AS unknown FROM et GROUP BY ALL""",
 )
 def justification_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return explain.justification_coverage(explain.edge_table(A.teacher_graphs(spark, d))).select("case_id", "edges", "own", "derived", "unknown")
+    return explain.justification_coverage(explain.edge_table(materialize(A.teacher_graphs(spark, d)))).select("case_id", "edges", "own", "derived", "unknown")
 
 
 @query(
@@ -118,7 +119,7 @@ def justification_coverage(spark: SparkSession, d: str) -> DataFrame:
     FROM tl a LEFT JOIN tl b ON a.l_orderkey = b.l_orderkey AND b.k = a.k + 1""",
 )
 def application_traces(spark: SparkSession, d: str) -> DataFrame:
-    return explain.application_traces(A.teacher_graphs(spark, d)).select("case_id", "aid", "rule", "facts", "issue", "result", "reasoning")
+    return explain.application_traces(materialize(A.teacher_graphs(spark, d))).select("case_id", "aid", "rule", "facts", "issue", "result", "reasoning")
 
 
 _NARRATIVE = f"""WITH {Q.LINES},
@@ -141,7 +142,7 @@ SELECT l_orderkey::VARCHAR AS case_id,
 
 @query("narrative", _NARRATIVE)
 def narrative(spark: SparkSession, d: str) -> DataFrame:
-    return explain.narrative(A.teacher_graphs(spark, d)).select("case_id", "narrative")
+    return explain.narrative(materialize(A.teacher_graphs(spark, d))).select("case_id", "narrative")
 
 
 @query(
@@ -184,11 +185,11 @@ pairs AS (SELECT DISTINCT case_id FROM al) """
 
 
 def _given(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    t, s = A.teacher_graphs(spark, d), A.student_graphs(spark, d)
-    both = al.pair_sides(nodes.flatten_nodes(t), nodes.flatten_nodes(s))
+    t, s = materialize(A.teacher_graphs(spark, d)), materialize(A.student_graphs(spark, d))
+    both = materialize(al.pair_sides(nodes.flatten_nodes(t), nodes.flatten_nodes(s)).drop("match_text"))
     te = nodes.flatten_edges(t).withColumns({"student": F.lit("open"), "side": F.lit("t")})
     se = nodes.flatten_edges(s).withColumns({"student": F.col("agent_id"), "side": F.lit("s")})
-    return both, A.given_alignment(spark, d), te.unionByName(se)
+    return both, materialize(A.given_alignment(spark, d)), te.unionByName(se)
 
 
 @query("v_miss", _DIFF + "SELECT * FROM vm")
@@ -334,8 +335,8 @@ _AL = _GREEDY + f", al AS ({_ALIGNED}) "
     SELECT t.*, coalesce(u, '') AS unaligned_student, n_aligned / n_teacher AS confidence FROM t LEFT JOIN s ON t.case_id = s.case_id""",
 )
 def align_summary(spark: SparkSession, d: str) -> DataFrame:
-    n = A.text_nodes(spark, d)
-    return al.align_summary(al.align(n), n).drop("student")
+    n = materialize(A.text_nodes(spark, d))
+    return al.align_summary(materialize(al.align(n)), n).drop("student")
 
 
 @query(
@@ -386,9 +387,7 @@ def score_texts(n: DataFrame, aligned: DataFrame) -> DataFrame:
 @query("lged_full", _FULL)
 def lged_full(spark: SparkSession, d: str) -> DataFrame:
     """The whole way from texts to the weighted edit distance of each pair."""
-    n = A.text_nodes(spark, d)
-    from tessera.functions.tables import materialize
-
+    n = materialize(A.text_nodes(spark, d))
     return score_texts(n, materialize(al.align(n))).drop("student")
 
 
