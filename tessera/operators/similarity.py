@@ -27,13 +27,15 @@ def tfidf_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     n = nodes.groupBy(*GROUP).agg(F.count("*").alias("n"), F.count_if(F.lower("match_text").rlike(X.TOKEN)).alias("with_terms"))
     words = nodes.select(*NODE, X.tokens(F.col("match_text")).alias("words"))  # a step of its own, so that texts are cut once
     counted = words.select(*NODE, F.explode(X.terms(F.col("words"))).alias("term")).groupBy(*NODE, "term").agg(F.count("*").alias("tf"))
-    by_term = Window.partitionBy(*GROUP, "term")
+    # a hash leads the keys: sorts then settle nearly all rows by one number; the keys themselves still decide
+    counted = counted.withColumn("h", F.xxhash64(*GROUP, "term"))
+    by_term = Window.partitionBy("h", *GROUP, "term")
     weighted = counted.withColumn("df", F.count("*").over(by_term)).join(n.select(*GROUP, "n"), GROUP)
     # both sides of the join and the norms read the term weights: they are written once
-    weighted = materialize(weighted.withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).select(*NODE, "term", "w"))
+    weighted = materialize(weighted.withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).select("h", *NODE, "term", "w"))
     norms = weighted.groupBy(*NODE).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    side = {s: weighted.where(F.col("side") == s).select(*GROUP, "term", F.col("pos").alias(f"{s}_pos"), F.col("w").alias(f"w_{s}")) for s in "ts"}
-    dots = side["t"].join(side["s"], [*GROUP, "term"]).groupBy(*GROUP, "t_pos", "s_pos").agg(F.sum(F.col("w_t") * F.col("w_s")).alias("dot"))
+    side = {s: weighted.where(F.col("side") == s).select("h", *GROUP, "term", F.col("pos").alias(f"{s}_pos"), F.col("w").alias(f"w_{s}")) for s in "ts"}
+    dots = side["t"].join(side["s"], ["h", *GROUP, "term"]).groupBy(*GROUP, "t_pos", "s_pos").agg(F.sum(F.col("w_t") * F.col("w_s")).alias("dot"))
     for s in "ts":
         dots = dots.join(norms.where(F.col("side") == s).select(*GROUP, F.col("pos").alias(f"{s}_pos"), F.col("norm").alias(f"norm_{s}")), [*GROUP, f"{s}_pos"])
     close = dots.withColumn("similarity", F.round(F.col("dot") / (F.col("norm_t") * F.col("norm_s")), 12)).select(*GROUP, "t_pos", "s_pos", "similarity")

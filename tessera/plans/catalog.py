@@ -11,7 +11,7 @@ from tessera import schema as S
 from tessera.functions import expressions as X
 from tessera.functions.tables import materialize
 from tessera.operators import align as al
-from tessera.operators import assign, calibrate, diff, explain, nodes, parse, report, similarity
+from tessera.operators import assign, calibrate, diff, explain, nodes, parse, report, similarity, sweep
 from tessera.plans import adapters as A
 from tessera.plans import sql as Q
 from tessera.sources import cache
@@ -391,6 +391,26 @@ def lged_full(spark: SparkSession, d: str) -> DataFrame:
     return score_texts(n, materialize(al.align(n))).drop("student")
 
 
+_SWEEP = f"""WITH RECURSIVE {Q.LINES}, {Q.nodes('tl', 'tn')}, {Q.nodes('sl', 'sn')}, {Q.edges('tl', 'te')}, {Q.edges('sl', 'se')},
+nd AS (SELECT *, 't' AS side FROM tn WHERE case_id IN (SELECT case_id FROM sn) UNION ALL SELECT *, 's' FROM sn),
+tk AS (SELECT DISTINCT case_id, side, pos, lower(regexp_replace(unnest(regexp_extract_all(citation, '(?i)(?:§|sec(?:tion|\\.)?)[\\s\\x{{00A0}}]*([0-9A-Za-z][\\p{{L}}\\p{{N}}_\\-.()]*)', 1)), '[.,;:]+$', '')) AS token FROM nd WHERE node_type = 'R'),
+pr AS (SELECT DISTINCT a.case_id, 'R' AS node_type, a.pos AS t_pos, b.pos AS s_pos, 1.0::DOUBLE AS sim FROM tk a JOIN tk b ON a.case_id = b.case_id AND a.token = b.token AND a.side = 't' AND b.side = 's'),
+{Q.greedy('pr', 'cg')},
+rest AS (SELECT * FROM nd WHERE node_type <> 'R' OR NOT EXISTS (SELECT 1 FROM cg WHERE ok AND cg.case_id = nd.case_id AND nd.pos = CASE nd.side WHEN 't' THEN t_pos ELSE s_pos END)),
+{Q.tfidf('rest', 0.1, 'p2')}, {Q.greedy('p2', 'tg')},
+mt AS (SELECT case_id, node_type, t_pos, s_pos FROM cg WHERE ok UNION ALL SELECT case_id, node_type, t_pos, s_pos FROM tg WHERE ok),
+al AS (SELECT t.case_id, t.node_type, t.node_id AS teacher_id, s.node_id AS student_id FROM nd t LEFT JOIN mt ON t.case_id = mt.case_id AND t.node_type = mt.node_type AND t.pos = t_pos
+       LEFT JOIN nd s ON s.case_id = t.case_id AND s.node_type = t.node_type AND s.side = 's' AND s.pos = s_pos WHERE t.side = 't'),
+{_DIFF[_DIFF.index("vm AS (SELECT"):]}"""
+
+
+@query("full_sweep", _SWEEP + _LGED)
+def full_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Order graphs aligned from scratch, citations first, and scored."""
+    t, s = materialize(A.teacher_graphs(spark, d)), materialize(A.student_graphs(spark, d))
+    return sweep.sweep(t, s)[0].drop("student", "teacher_nodes", "student_nodes")
+
+
 @query(
     "calibrate_matches",
     f"WITH {Q.TEXT_NODES}, {Q.tfidf('nd', 0.1)}" + """ SELECT threshold, count(*) AS pairs, count(DISTINCT (case_id, node_type, t_pos)) AS teachers, count(DISTINCT (case_id, node_type, s_pos)) AS students

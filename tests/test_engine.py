@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.functions import expressions as X
 from tessera.operators import align as al
-from tessera.operators import assign, calibrate, diff, explain, nodes, parse, report, similarity
+from tessera.operators import assign, calibrate, diff, explain, nodes, parse, report, similarity, sweep
 from tests.graphs import baseline, edge, fact, frame, graph, rule
 
 
@@ -337,3 +337,13 @@ def test_calibration(spark):
     df = spark.createDataFrame(rows, "threshold double, student string, v_miss long, v_halluc long, l_ged double")
     assert calibrate.recommend(calibrate.judge(df, "b", "w")).first()["threshold"] == 0.2
     assert calibrate.recommend(calibrate.judge(df.where("threshold < 0.15"), "b", "w")).first()["threshold"] == 0.1
+
+
+def test_sweep_resumes(spark):
+    t = frame(spark, baseline(), baseline(case_id="E2"))
+    s = frame(spark, student(rules=[]), student(case_id="E2", agent_id="s"), student(case_id="Z9"))
+    scores, reports = sweep.sweep(t, s)
+    assert {(r["case_id"], r["student"]): (r["l_ged"], r["teacher_nodes"], r["student_nodes"]) for r in scores.collect()} == {("E1", "s"): (4.0, 4, 3), ("E2", "s"): (0.0, 4, 4)}
+    assert {r["case_id"]: len(r["v_miss"]) for r in reports.collect()} == {"E1": 1, "E2": 0}
+    done = scores.where("case_id = 'E1'").select("case_id", "student")
+    assert [r["case_id"] for r in sweep.select_pairs(s, ["E1", "E2"], ["s"], done).collect()] == ["E2"]
