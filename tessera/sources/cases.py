@@ -19,7 +19,7 @@ def _bare(c: Column) -> Column:
 
 
 def _read(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    df = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return df.select(name.alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("raw"))
 

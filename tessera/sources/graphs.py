@@ -101,7 +101,7 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Raw responses, a file each, with ids from the file's name."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*_raw.txt").text(path).withColumn("file", _stem())
+    df = spark.read.option("pathGlobFilter", "*_raw.txt").text(path, wholetext=True).withColumn("file", _stem())
     name = r"^(.*?)_(reference|agent_(.*))_raw$"
     return df.select(
         F.regexp_extract("file", name, 1).alias("case_id"),
@@ -122,4 +122,4 @@ def list_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFram
 
 
 def read_prompt(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "template")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "template")
