@@ -513,7 +513,7 @@ def prompt_build(spark: SparkSession, d: str) -> DataFrame:
 
 _LAB = """WITH x AS (SELECT d.doc_id, n_chars AS n, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 res AS (SELECT substr('EMH', (doc_id % 3)::INT + 1, 1) || doc_id AS case_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'easy' WHEN 2 THEN 'medium' ELSE 'hard' END AS tier, 'q' || quality AS role, 't' || toxic AS student,
-  n AS teacher_nodes, n // 2 AS student_nodes, n % 2 AS f, n % 3 AS i, n % 5 AS r, n % 7 AS a, n % 11 AS c, n % 13 AS o, n % 97 AS v_miss, n % 31 AS v_halluc, n % 17 AS e_diff, (n % 97 + n % 31) * 0.5 AS l_ged FROM x) """
+  n AS teacher_nodes, n // 2 AS student_nodes, n % 2 AS f, n % 3 AS i, n % 5 AS r, n % 7 AS a, n % 11 AS c, n % 13 AS o, n % 97 AS v_miss, n % 31 AS v_halluc, n % 17 AS e_diff, ((n % 97 + n % 31) * 0.5)::DOUBLE AS l_ged FROM x) """
 
 
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -563,7 +563,7 @@ def melt_counts(spark: SparkSession, d: str) -> DataFrame:
 
 _SUM = """WITH x AS (SELECT d.doc_id, n_chars AS n, 'q' || quality AS student, substr('EMH', (d.doc_id % 3)::INT + 1, 1) || source AS case_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 su AS (SELECT case_id, student, CASE substr(case_id, 1, 1) WHEN 'E' THEN 'easy' WHEN 'M' THEN 'medium' ELSE 'hard' END AS tier, sum(n % 97)::BIGINT AS v_miss, sum(n % 31)::BIGINT AS v_halluc, sum(n % 17)::BIGINT AS e_diff,
-  sum(n % 97)::BIGINT * 0.5 AS g1, sum(n % 89)::BIGINT * 0.5 AS g2 FROM x GROUP BY case_id, student),
+  (sum(n % 97)::BIGINT * 0.5)::DOUBLE AS g1, (sum(n % 89)::BIGINT * 0.5)::DOUBLE AS g2 FROM x GROUP BY case_id, student),
 ra AS (SELECT case_id, tier, max(g1) FILTER (student = 'q0') AS a0, max(g1) FILTER (student = 'q1') AS a1, max(g2) FILTER (student = 'q0') AS b0, max(g2) FILTER (student = 'q1') AS b1 FROM su GROUP BY ALL) """
 
 
