@@ -5,7 +5,8 @@ that is full passes what comes on to the next node with room. With ``epsilon`` 0
 and row counts differ by one at most (law ``rows``); a larger one moves fewer rows.
 
 Overflow is planned on counts per stretch of the ring, whose number is a parameter and not the data's;
-rows then follow from their rank inside their stretch, so no key, however often repeated, is a burden.
+rows then follow from their rank inside their stretch. Equal rows are summed first and a stretch is ranked in
+salted parts, so no key, however often it is repeated and with however many texts, is a burden.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
+
 #: Ring places are 63-bit; the ring is cut at every virtual node and at 2**CELL_BITS even places.
 PLACE_BITS, CELL_BITS = 63, 12
+#: Rows of a stretch are ranked in so many parts, so that a key with many texts isn't ranked by one task.
+SALTS = 32
 
 
 def ring(n_shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -92,19 +97,23 @@ def shard(docs: DataFrame, n_shards: int = 24, vnodes: int = 64, epsilon: float
         rows = rows.withColumn("cell", F.expr(f"place div {width}")).join(cells, "cell")
         return rows.withColumn("stretch", F.col("first") + F.size(F.filter("cuts", lambda c: c < F.col("place")))).drop("cell", "first", "cuts")
 
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = placed(docs.select(F.col(key).alias("key"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("crc")))
+    rows = materialize(rows.groupBy("stretch", "place", "key", "size", "crc").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.xxhash64("key", "size", "crc"), F.lit(SALTS)).cast("int")))
+    parts = rows.groupBy("stretch", "salt").agg(F.sum("n").alias("m"))
     counts = [0] * len(owner)
-    for row in placed(docs.select(F.col(key).alias("key"))).groupBy("stretch").count().collect():  # at most len(owner) rows
-        counts[row["stretch"]] = row["count"]
+    for row in parts.groupBy("stretch").agg(F.sum("m").alias("m")).collect():  # at most len(owner) rows
+        counts[row["stretch"]] = row["m"]
     segments = plan(counts, owner, nodes, capacities(sum(counts), n_shards, epsilon))
     planned = F.broadcast(
         spark.createDataFrame([(k, s) for k, s in enumerate(segments) if s], "stretch int, segments array<struct<low:bigint,high:bigint,shard:int,slot:bigint>>")
     )
 
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = placed(docs.select(F.col(key).alias("key"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("crc")))
-    rows = rows.groupBy("stretch", "place", "key", "size", "crc").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("stretch").orderBy("place", "key", "size", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("high", F.sum("n").over(before)).withColumn("low", F.col("high") - F.col("n")).join(planned, "stretch")
+    earlier = Window.partitionBy("stretch").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("stretch", "salt", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"))  # at most len(owner) * SALTS rows
+    before = Window.partitionBy("stretch", "salt").orderBy("place", "key", "size", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("upto", F.sum("n").over(before)).join(F.broadcast(bases), ["stretch", "salt"])
+    rows = rows.withColumn("high", F.col("base") + F.col("upto")).withColumn("low", F.col("high") - F.col("n")).join(planned, "stretch")
 
     def part(s: Column) -> Column:
         low = F.greatest(s["low"], F.col("low"))
