@@ -18,7 +18,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
@@ -68,15 +68,21 @@ def fingerprint(text: str | None) -> int:
     return int((2 * ones > total) @ (np.uint64(1) << np.arange(BITS, dtype=np.uint64)))
 
 
+def text_mark(text: str = "text") -> Column:
+    """A hash of the whole text, which tells rows that share a key apart; null texts count as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key and ``fp``, the fingerprint as a signed long."""
+    """Per row: key, ``mark`` (:func:`text_mark`) and ``fp``, the fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["key", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["key", "mark", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, fp long")
+    rows = docs.select(F.col(key).cast("long").alias("key"), text_mark(text).alias("mark"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "key long, mark long, fp long")
 
 
 def masks(free: int = 2**BITS - 1, radius: int = RADIUS, seed: int = 7) -> list[int]:
@@ -153,16 +159,38 @@ def links(distinct: DataFrame, bucket: int = BUCKET, splits: int = SPLITS) -> Da
     return out.distinct()
 
 
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: key, mark, fp and ``best``, the key and mark of its component's representative.
+
+    The representative has the smallest key, nulls last, and of equal keys the smallest mark.
+    """
+    fps = materialize(fingerprints(docs, key, text))
+    distinct = materialize(fps.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("first")))
+    joined = connected_components(links(distinct.select("fp")))
+    parts = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    low = parts.groupBy("component").agg(F.min("first").alias("best"))
+    return fps.join(parts.join(low, "component").select("fp", "best"), "fp").select("key", "mark", "fp", "best")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, fingerprint (16 hex digits), component_id (smallest key reachable).
 
     Texts without words (null, empty, blank) have fingerprint zero and link like others. Null keys are never
     the smallest; a component of null keys alone has a null id. Only key and text are read.
     """
-    fps = materialize(fingerprints(docs, key, text))
-    classes = materialize(fps.groupBy("fp").agg(F.min("key").alias("first")))
-    joined = connected_components(links(classes.select("fp")))
-    parts = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    low = parts.groupBy("component").agg(F.min("first").alias("component_id"))
-    found = parts.join(low, "component").select("fp", "component_id")
-    return fps.join(found, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return classes(docs, key, text).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.key").alias("component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row for each component of near copies, all its columns as they are.
+
+    Rows that share a key are told apart by their texts, and rows without key are compared like others, so only
+    copies go. Of rows equal in key and text any one stays; these are summed up before anything is shuffled.
+    """
+    columns, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    names = dict(zip(columns, inner, strict=True))
+    gone = classes(docs, key, text).where(~(F.col("key").eqNullSafe(F.col("best.key")) & (F.col("mark") == F.col("best.mark"))))
+    gone = gone.select(F.col("key").alias("gone_key"), F.col("mark").alias("gone_mark")).distinct()
+    rows = docs.toDF(*inner).withColumns({"k": F.col(names[key]).cast("long"), "m": text_mark(names[text])}).dropDuplicates(["k", "m"])
+    kept = rows.join(gone, F.col("k").eqNullSafe(F.col("gone_key")) & (F.col("m") == F.col("gone_mark")), "left_anti")
+    return kept.select(*(F.col(i).alias(c) for c, i in names.items()))

@@ -99,6 +99,19 @@ def test_simhash_against_all_pairs(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_representatives(spark):
+    """One row of each group: keys that repeat with other texts, and rows without key, go only as copies."""
+    rng = random.Random(8)
+    a, b, c = (text_of(rng, 60) for _ in range(3))
+    rows = [(3, a), (1, b), (2, a), (2, a), (2, c), (None, b), (None, text_of(rng, 50)), (7, None), (6, ""), (None, " ")]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, pos int")
+    got = simhash.representatives(clashing(df))
+    assert got.columns == clashing(df).columns
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert kept == Counter([(2, a), (1, b), (2, c), (None, rows[6][1]), (6, "")])
+    assert simhash.representatives(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("bucket", [256, 4])
 def test_links_of_dense_fingerprints(spark, bucket):
     """Fingerprints around a few centres: buckets overflow and are split, and no chain is lost."""
@@ -173,6 +186,18 @@ def test_sharding_hot_key_and_bounds(spark):
     assert sum(got.values()) == 1200 and max(got.values()) <= 1.25 * 150 + 1
 
 
+def test_sharding_key_with_many_texts(spark):
+    """A third of all rows under one key, each with a text of its own, and as many without key."""
+    rows = [(5, f"a{i}") for i in range(300)] + [(None, f"b{i}") for i in range(300)] + [(i, "x" * (i % 7)) for i in range(300)] + [(5, "a1")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(df).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((k, len(t) + 8, zlib.crc32(t.encode())) for k, t in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert {len(v) for v in slots.values()} <= {37, 38} and all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(slots) == 24
+
+
 def test_sharding_against_one_by_one():
     """The plan on counts is the walk of single keys: home first, then clockwise to the next shard with room."""
     nodes = sharding.ring(5, 8)
