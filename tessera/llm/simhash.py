@@ -139,11 +139,14 @@ def links(distinct: DataFrame, bucket: int = BUCKET, splits: int = SPLITS) -> Da
                 made.append((parent, n, kept | m))
                 n += 1
         levels.append(made)
-    out = None
-    rows = distinct.select("fp", F.lit(0).alias("table"))
+    out = rows = None
     for depth, level in enumerate(levels):
-        table = F.broadcast(spark.createDataFrame([(p, t, _signed(m)) for p, t, m in level], "parent int, next int, kept bigint"))  # 31 ** (depth + 1) rows
-        keyed = rows.join(table, F.col("table") == F.col("parent")).select("fp", F.col("next").alias("table"), F.col("fp").bitwiseAND(F.col("kept")).alias("bucket"))
+        if depth == 0:
+            each = [F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bucket")) for _, t, m in level]
+            keyed = distinct.select("fp", F.explode(F.array(*each)).alias("t")).select("fp", "t.table", "t.bucket")
+        else:
+            table = F.broadcast(spark.createDataFrame([(p, t, _signed(m)) for p, t, m in level], "parent int, next int, kept bigint"))  # 31 ** (depth + 1) rows
+            keyed = rows.join(table, F.col("table") == F.col("parent")).select("fp", F.col("next").alias("table"), F.col("fp").bitwiseAND(F.col("kept")).alias("bucket"))
         keyed = keyed.withColumn("n", F.count("*").over(Window.partitionBy("table", "bucket"))).where("n > 1")
         last = depth == len(levels) - 1
         if not last:
