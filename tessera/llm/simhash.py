@@ -193,7 +193,10 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     columns, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     names = dict(zip(columns, inner, strict=True))
     gone = classes(docs, key, text).where(~(F.col("key").eqNullSafe(F.col("best.key")) & (F.col("mark") == F.col("best.mark"))))
-    gone = gone.select(F.col("key").alias("gone_key"), F.col("mark").alias("gone_mark")).distinct()
-    rows = docs.toDF(*inner).withColumns({"k": F.col(names[key]).cast("long"), "m": text_mark(names[text])}).dropDuplicates(["k", "m"])
-    kept = rows.join(gone, F.col("k").eqNullSafe(F.col("gone_key")) & (F.col("m") == F.col("gone_mark")), "left_anti")
+    def told(key: Column, mark: Column) -> dict[str, Column]:  # without null-safe equality, so that the join reads the first shuffle
+        return {"k": F.coalesce(key, F.lit(0)), "none": key.isNull(), "m": mark}
+
+    gone = gone.select(*(c.alias(n) for n, c in told(F.col("key"), F.col("mark")).items())).distinct()
+    rows = docs.toDF(*inner).withColumns(told(F.col(names[key]).cast("long"), text_mark(names[text]))).dropDuplicates(["k", "none", "m"])
+    kept = rows.join(gone, ["k", "none", "m"], "left_anti")
     return kept.select(*(F.col(i).alias(c) for c, i in names.items()))
