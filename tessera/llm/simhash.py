@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -34,7 +35,7 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bito
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _blocks(data: bytes):
+def _blocks(data: bytes, shingle: int = SHINGLE):
     """Lists of words, each with the last words of the list before it so that every shingle is whole in one."""
     at, carry = 0, []
     while at < len(data):
@@ -43,7 +44,7 @@ def _blocks(data: bytes):
             end = m.start()
         words = carry + data[at:end].split()
         yield words
-        carry = words[-(SHINGLE - 1) :]
+        carry = words[-(shingle - 1) :]
         at = end
 
 
@@ -100,8 +101,12 @@ def _signed(x: int) -> int:
 def forest(members: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest over a bucket's fingerprints within the radius, each to its tree's root."""
     x = members.view(np.uint64)
-    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= radius
-    open_, us, vs = np.ones(len(x), bool), [], []
+    return spanning(members, np.bitwise_count(x[:, None] ^ x[None, :]) <= radius)
+
+
+def spanning(members: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest over members by their table of who is near whom, each to its tree's root."""
+    open_, us, vs = np.ones(len(members), bool), [], []
     while open_.any():
         root = int(open_.argmax())
         open_[root], edge = False, [root]
@@ -184,8 +189,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return classes(docs, key, text).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.key").alias("component_id"))
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row for each component of near copies, all its columns as they are.
+def told(key: Column, mark: Column) -> dict[str, Column]:
+    """Columns that tell rows apart by key and text, without null-safe equality, so that a join reads the first shuffle."""
+    return {"k": F.coalesce(key, F.lit(0)), "none": key.isNull(), "m": mark}
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: Callable[..., DataFrame] = classes) -> DataFrame:
+    """``docs`` with one row for each component of near copies, as ``classes`` finds them, all its columns as they are.
 
     Rows that share a key are told apart by their texts, and rows without key are compared like others, so only
     copies go. Of rows equal in key and text any one stays; these are summed up before anything is shuffled.
@@ -193,9 +203,6 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     columns, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     names = dict(zip(columns, inner, strict=True))
     gone = classes(docs, key, text).where(~(F.col("key").eqNullSafe(F.col("best.key")) & (F.col("mark") == F.col("best.mark"))))
-    def told(key: Column, mark: Column) -> dict[str, Column]:  # without null-safe equality, so that the join reads the first shuffle
-        return {"k": F.coalesce(key, F.lit(0)), "none": key.isNull(), "m": mark}
-
     gone = gone.select(*(c.alias(n) for n, c in told(F.col("key"), F.col("mark")).items())).distinct()
     rows = docs.toDF(*inner).withColumns(told(F.col(names[key]).cast("long"), text_mark(names[text]))).dropDuplicates(["k", "none", "m"])
     kept = rows.join(gone, ["k", "none", "m"], "left_anti")

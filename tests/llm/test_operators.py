@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import components, embeddings, html, mincut, mixing, packing, pii, quality, sharding, simhash, tok, tokenbin, warc
+from tessera.llm import components, embeddings, html, jaccard, mincut, mixing, packing, pii, quality, sharding, simhash, tok, tokenbin, warc
 from tessera.llm.common import shared_dir
 from tests.llm.brute import pii_base
 
@@ -593,6 +593,43 @@ def test_mixing_draws_near_the_target(spark):
     assert abs(n["a"] / (n["a"] + n["b"]) - 0.5) < 0.05
 
 
+# --- near copies of the pipeline ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("paired", [32, 2])
+def test_pipeline_near_copies_against_all_pairs(spark, monkeypatch, paired):
+    """Copies with some words replaced, near the threshold on both sides: one stays of each chain of pairs of 0.8 or more."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(31)
+    rows = [(None, "\n"), (990, ""), (991, "few words"), (992, "Few  words")]
+    for g in range(12):
+        base = text_of(rng, 150).split()
+        for i in range(20 if g == 0 else 4):
+            w = list(base)
+            for at in rng.sample(range(150), rng.randint(0, 6)):
+                w[at] = f"new{g}x{i}x{at}"
+            rows.append((1000 - 30 * g - i, " ".join(w)))
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+
+    sets = [grams(t) for _, t in rows]
+    part = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a == b or 9 * len(a & b) >= 4 * (len(a) + len(b)):
+            part = [part[i] if p == part[j] else p for p in part]
+    want = {min((k is None, k or 0, t) for (k, t), q in zip(rows, part) if q == p) for p in part}
+    df = spark.createDataFrame([(k, t, "en", "src0", 9) for k, t in rows], DOC)
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in got) == sorted(want)
+    assert len(want) < len({t for _, t in rows})
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
