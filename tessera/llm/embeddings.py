@@ -3,7 +3,7 @@
 In each pass vectors get a key of concatenated random hashes (signs of random projections), are sorted by
 it within their label, and each is compared with the next few; pairs found close are verified by cosine
 and united across passes. Vectors near each other share long key prefixes in some pass with a probability
-that the number of passes drives to one.
+that the number of passes drives to one. A label has as many passes as its number of vectors needs.
 
 A window is no cap on links: every pair inside a united group is then checked, in blocks, so a group of
 any size gets its exact number of links however many of its members share a key.
@@ -11,21 +11,36 @@ any size gets its exact number of links however many of its members share a key.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 from tessera.llm.components import connected_components
 
-PASSES, WINDOW, KEY_BITS = 12, 24, 62
+#: PASSES at least; more where a label's vectors are so many that a pair at the threshold would be missed more often than MISS.
+PASSES, WINDOW, KEY_BITS, MISS = 12, 24, 62, 1e-4
 #: A group is checked in blocks of about so many different vectors.
 BLOCK = 256
 
 
-def planes(dim: int, passes: int, seed: int = 17) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, passes * KEY_BITS))
+def planes(dim: int, turn: int, seed: int = 17) -> np.ndarray:
+    """Random projections of one pass."""
+    return np.random.default_rng([seed, dim, turn]).standard_normal((dim, KEY_BITS))
+
+
+def passes_for(n: Column, least: int, window: int, threshold: float) -> Column:
+    """How many passes ``n`` vectors of a label need.
+
+    A bit of the key tells a pair at the threshold apart with probability acos(threshold) / pi. A pair that shares
+    log2(n / window) bits has at most about ``window`` vectors between, where directions are spread evenly.
+    """
+    alike = math.log2(1 - math.acos(threshold) / math.pi)
+    met = F.pow(F.greatest(n / F.lit(float(window)), F.lit(1.0)), F.lit(alike))
+    return F.greatest(F.lit(least), F.when(met < 1, F.ceil(F.lit(math.log(MISS)) / F.log(1 - met))).otherwise(0)).cast("int")
 
 
 def _matrix(column) -> list[np.ndarray]:
@@ -35,32 +50,54 @@ def _matrix(column) -> list[np.ndarray]:
     return [r / np.linalg.norm(r) for r in rows]
 
 
-def _keys(batches, passes: int):
-    known: dict[int, np.ndarray] = {}
+def _keys(batches):
+    known: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        rows = _matrix(batch.column("v"))
+        rows, need = _matrix(batch.column("v")), batch.column("passes").to_numpy()
         dims = np.array([len(r) for r in rows])
-        keys = np.zeros((len(rows), passes), np.int64)
+        keys = np.zeros((len(rows), need.max(initial=0)), np.int64)
         for d in np.unique(dims):
-            at = np.flatnonzero(dims == d)
-            if int(d) not in known:
-                known[int(d)] = planes(int(d), passes)
-            bits = (np.stack([rows[i] for i in at]) @ known[int(d)] > 0).reshape(len(at), passes, KEY_BITS)
-            keys[at] = bits.astype(np.int64) @ (np.int64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
-        flat = pa.array(keys.ravel())
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("g"), batch.column("d"), batch.column("v"), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * passes, pa.int32()), flat)], ["node", "g", "d", "v", "keys"])
+            m = np.stack([rows[i] for i in np.flatnonzero(dims == d)])
+            left = need[dims == d]
+            for turn in range(left.max()):
+                if (int(d), turn) not in known:
+                    known[int(d), turn] = planes(int(d), turn)
+                bits = m[left > turn] @ known[int(d), turn] > 0
+                keys[np.flatnonzero((dims == d) & (need > turn)), turn] = bits.astype(np.int64) @ (np.int64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
+        flat = pa.array(keys[np.arange(keys.shape[1]) < need[:, None]])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *need]), pa.int32()), flat)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("g"), batch.column("d"), batch.column("v"), lists], ["node", "g", "d", "x", "keys"])
+
+
+_EDGE = pa.schema([("node", pa.int64()), ("g", pa.int32()), ("d", pa.int32()), ("x", pa.list_(pa.float32())), ("p", pa.int32()), ("key", pa.int64()), ("pos", pa.int64())])
+_FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), *_EDGE])
+_FOUND_SQL = "u long, v long, node long, g int, d int, x array<float>, p int, key long, pos long"
+
+
+def _found(rows: dict) -> list[pa.RecordBatch]:
+    n = len(next(iter(rows.values())))
+    return pa.table([rows[f.name].cast(f.type) if f.name in rows else pa.nulls(n, f.type) for f in _FOUND], schema=_FOUND).combine_chunks().to_batches()
 
 
 def _windows(batches, window: int, threshold: float):
-    """Links of close neighbours among rows sorted by (pass, g, d, key), one partition at a time.
+    """Links of close neighbours among rows sorted by (p, g, d, key), one partition at a time.
 
-    The last ``window`` rows are carried over, so a partition is read as a stream.
+    The last ``window`` rows are carried over, so a partition is read as a stream. Its first and last ``window``
+    rows follow at the end, with their position, to be compared across partitions.
     """
     tail: tuple | None = None
+    first, last, seen = [], None, 0
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]).select(_EDGE.names[:-1]).append_column("pos", pa.array(np.arange(seen, seen + batch.num_rows)))
+        if seen < window:
+            first.append(table.slice(0, window - seen))
+        last = table if last is None else pa.concat_tables([last, table])
+        last, seen = last.slice(max(0, last.num_rows - window)), seen + batch.num_rows
         node = batch.column("node").to_numpy()
         group = list(zip(*(batch.column(c).to_pylist() for c in ("p", "g", "d")), strict=True))
-        rows = _matrix(batch.column("v"))
+        rows = _matrix(batch.column("x"))
         fresh = 0
         if tail:
             fresh = len(tail[0])
@@ -77,17 +114,25 @@ def _windows(batches, window: int, threshold: float):
                 us.append(node[a + close])
                 vs.append(node[a + close + step])
         if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            yield from _found({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
         tail = (node[-window:], group[-window:], rows[-window:])
+    if seen:
+        edge = pa.concat_tables([*first, last.slice(max(0, window - last.column("pos")[0].as_py()))])
+        yield from _found({c: edge.column(c).combine_chunks() for c in _EDGE.names})
 
 
 def near_pairs(nodes: DataFrame, passes: int = PASSES, window: int = WINDOW, threshold: float = 0.93) -> DataFrame:
-    """Verified links ``u``, ``v`` from the sorted passes over ``nodes`` (node, g, d, v)."""
-    keyed = nodes.mapInArrow(lambda b: _keys(b, passes), "node long, g int, d int, v array<float>, keys array<bigint>")
-    each = keyed.select("node", "g", "d", "v", F.posexplode("keys").alias("p", "key"))
+    """Verified links ``u``, ``v`` from the sorted passes over ``nodes`` (node, g, d, v), ``passes`` of them or more."""
+    counts = materialize(nodes.groupBy("g", "d").agg(passes_for(F.count("*"), passes, window, threshold).alias("passes")))
+    keyed = nodes.join(counts, ["g", "d"]).mapInArrow(_keys, "node long, g int, d int, x array<float>, keys array<bigint>")
+    each = keyed.select("node", "g", "d", "x", F.posexplode("keys").alias("p", "key"))
     n = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = each.repartitionByRange(n, "p", "g", "d", "key").sortWithinPartitions("p", "g", "d", "key")
-    return dealt.mapInArrow(lambda b: _windows(b, window, threshold), "u long, v long").distinct()
+    found = materialize(dealt.mapInArrow(lambda b: _windows(b, window, threshold), _FOUND_SQL))
+    # The rows beside the borders of all partitions: at most 2 * n * window, in the order of the pass.
+    edges = found.where("u is null").drop("u", "v").repartition(1).sortWithinPartitions("p", "g", "d", "key", "pos")
+    across = edges.mapInArrow(lambda b: _windows(b, window, threshold), _FOUND_SQL).where("u is not null")
+    return found.where("u is not null").select("u", "v").unionByName(across.select("u", "v")).distinct()
 
 
 def _count_links(threshold: float):

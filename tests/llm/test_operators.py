@@ -509,6 +509,26 @@ def test_embeddings_group_of_many_blocks(spark, monkeypatch):
     assert got == {i: want[i] for i in range(150)}
 
 
+def test_embeddings_compare_across_partitions(spark):
+    """With a window over all vectors every pair is compared, wherever the partitions' borders lie."""
+    rng = np.random.default_rng(6)
+    rows = [(i, 0, 8, rng.random(8).tolist()) for i in range(90)]
+    got = embeddings.near_pairs(spark.createDataFrame(rows, "node long, g int, d int, v array<float>"), passes=1, window=100, threshold=0.0)
+    assert {(min(r), max(r)) for r in got.collect()} == set(itertools.combinations(range(90), 2))
+
+
+def test_embeddings_passes_follow_label_size(spark):
+    """Lone pairs near the threshold in a label that its least passes and window are too few for."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(500):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        rows += [(2 * i, a.tolist(), 1), (2 * i + 1, (0.935 * a + (1 - 0.935**2) ** 0.5 * b).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicates(df, passes=2, window=2).collect()}
+    assert got == {k: k // 2 * 2 for k in range(1000)}
+
+
 # --- HTML ------------------------------------------------------------------------------------------------------------
 
 
