@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from tessera.llm.mincut import min_cut
 
 # Elements of HTML by their role.
-RAW = frozenset("script style noscript template textarea svg math iframe object canvas select button head title".split())
+RAW = frozenset("script style noscript template textarea svg math iframe object canvas select button title".split())
+#: Of these, the ones that browsers read up to the page's end where the end tag is missing.
+TO_END = frozenset("script style textarea iframe title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -103,6 +105,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             if tag in BLOCK:
                 now = None
 
+    endless: set[str] = set()
     while at < n:
         m = _SCAN.search(page, at, last)
         if not m:
@@ -124,10 +127,15 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             continue
         attrs = m[3] if m[2] else m[6]
         closed = attrs.endswith("/")
-        if tag in RAW and not closed:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+        if tag == "head":  # its end tag may be left out; it holds no text but that of elements in RAW
             continue
+        if tag in RAW and not closed:
+            end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if not end:
+                endless.add(tag)  # so that no page is searched to its end more than once a tag
+            if end or tag in TO_END:
+                at = end.end() if end else n
+            continue  # without its end tag any other is passed over, and what follows is text like other text
         if tag in ("br", "hr", "wbr", "img", "input"):
             if tag == "hr":
                 now = None

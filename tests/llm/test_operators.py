@@ -532,6 +532,13 @@ def test_embeddings_passes_follow_label_size(spark):
 # --- HTML ------------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("tag", ["head", "button", "select", "svg", "math", "object", "canvas", "noscript", "template"])
+def test_html_missing_end_tag_keeps_the_rest(tag):
+    page = f"<{tag}><title>T</title><body><article><p>First words of it.</p><p>And the rest.</p></article>"
+    assert [b.text for b in html.parse(page)[1]] == ["First words of it.", "And the rest."]
+    assert not html.parse("<p><script>var a = '<p>no text</p>'")[1]
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(200):
