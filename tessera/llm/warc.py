@@ -20,6 +20,8 @@ from tessera.llm.common import attempt_name, materialize, open_fs, shared_dir
 SKIPPABLE = 0x184D2A5D
 #: The dictionary is built from an archive's first records, as many as these bounds allow.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 200, 1 << 20, 32 << 10
+#: Fewer records than LEAST_RECORDS train no dictionary; long ones are waited for until so many bytes are held.
+LEAST_RECORDS, HELD_BYTES = 8, 32 << 20
 #: An archive is closed beyond so many bytes before compression.
 ARCHIVE_BYTES = 256 << 20
 LEVEL = 3
@@ -73,14 +75,14 @@ class ArchiveWriter:
             self.sink.write(self.zstd.compress(data))
             return
         self.held.append(data)
-        if len(self.held) >= SAMPLE_RECORDS or self.size >= SAMPLE_BYTES:
+        if len(self.held) >= SAMPLE_RECORDS or self.size >= (SAMPLE_BYTES if len(self.held) >= LEAST_RECORDS else HELD_BYTES):
             self._start()
 
     def _start(self) -> None:
         import zstandard
 
         trained = b""
-        if len(self.held) >= 8:
+        if len(self.held) >= LEAST_RECORDS:
             try:  # too few or too uniform records give no dictionary; the frame is then empty
                 trained = zstandard.train_dictionary(DICT_BYTES, [x[: 64 << 10] for x in self.held]).as_bytes()
             except zstandard.ZstdError:

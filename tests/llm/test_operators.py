@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -271,6 +272,20 @@ def test_warc_frames(tmp_path):
     assert len(raw) < len(zstandard.ZstdCompressor().compress(data[0])) * 300
 
 
+def test_warc_dictionary_of_long_records(tmp_path):
+    """1 MB is reached before eight records: the dictionary is still built."""
+    path = tmp_path / "b.warc.zst"
+    data = [warc.record(i, "u", text_of(random.Random(i), 8000).encode() * 8, 10, "d", None, False) for i in range(12)]
+    assert sum(map(len, data[:7])) > warc.SAMPLE_BYTES
+    with open(path, "wb") as sink:
+        w = warc.ArchiveWriter(sink)
+        for x in data:
+            w.add(x)
+        w.close()
+    assert struct.unpack("<II", path.read_bytes()[:8])[1] > 0
+    assert list(warc.records(str(path))) == data
+
+
 # --- tokens ----------------------------------------------------------------------------------------------------------
 
 
