@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are identifiers that their form alone proves: e-mail addresses, IP addresses, card and phone
-numbers. The words before a seed are a lexical pattern; tokens that look like identifiers and follow the
-same words are candidates. On the graph of patterns and the instances that follow them, confidence is
-scored in turns: a pattern's from its instances, an instance's from its patterns. Candidates that
-confident patterns vouch for are taken as identifiers too.
+Seeds are identifiers that their form alone proves: e-mail addresses, IP addresses, card and phone numbers,
+and opaque keys behind ``=`` or ``:``. What stands before a seed is a lexical pattern: the word, the word
+with its ``=`` or ``:``, and the last two words. Patterns with enough seeds are counted over the whole
+corpus; those that introduce seeds often enough stay, and whatever follows one of them is an instance. On the
+graph of patterns and instances confidence is scored in turns: a pattern's from its instances, an instance's
+from its patterns. Instances that confident patterns vouch for are identifiers too, of kind ``id``.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import let, materialize
 
-#: Turns of scoring, the least confidence of a found identifier, and the fewest distinct seeds behind a pattern.
-TURNS, CONFIDENT, SUPPORT = 3, 0.9, 3
+#: Turns of scoring, the least confidence of a found identifier, the fewest distinct seeds behind a pattern, and
+#: the least share of a pattern's occurrences in the corpus that introduce a seed.
+TURNS, CONFIDENT, SUPPORT, SHARE = 3, 0.9, 3, 0.1
 #: Prefix sums are formed in runs of this length, so that their cost stays near linear.
 RUN = 256
 
@@ -72,9 +74,17 @@ KINDS = (
 #: What the method itself finds.
 FOUND = "id"
 NAMES = (*(k.name for k in KINDS), FOUND)
-#: A token with a digit, from its start.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-SPAN = "array<struct<start:bigint,kind:int,end:bigint,text:string,left:string>>"
+SPAN = "array<struct<start:bigint,kind:int,end:bigint,text:string>>"
+PLACE = "array<struct<start:bigint,kind:int,end:bigint>>"
+#: Quotes and brackets part tokens as white space does; runs of = and : are tokens of their own. A seed is masked
+#: as one token: MARK, its hash, MARK where only order matters; MARK and as many FILL as keep places where they do.
+MARK, FILL = "\x01", "\x02"
+PARTING = "\"'()[]<>{}|`"
+HASHED = r"[=:]++|\x01[^\x01]*+\x01|[^\x20\x09-\x0D=:\x01]++"
+PLACED = r"[=:]++|\x01\x02*+|[^\x20\x09-\x0D=:\x01\x02]++"
+#: Opaque keys: 32 hex digits or more, or 20 characters or more with a digit and letters of both cases.
+SECRET = r"^(?:(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+|(?=[^0-9]*+[0-9])(?=[^a-z]*+[a-z])(?=[^A-Z]*+[A-Z])[A-Za-z0-9+/_-]{20,}+)$"
+MAYBE_SECRET = r"[=:][\x20\x09-\x0D\"'()\[\]<>{}|`]*+[A-Za-z0-9+/_-]{20}"
 
 
 def running(values: Column) -> Column:
@@ -100,18 +110,13 @@ def _matches(text: Column, pattern: str, body: Callable[[Column, Column], Column
 
 
 def _spans(text: Column, pattern: str, kind: int, valid: Callable[[Column], Column]) -> Column:
-    """Valid matches with place (code points, end exclusive) and the last words before each."""
+    """Valid matches with place (code points, end exclusive)."""
 
     def body(p: Column, m: Column) -> Column:
         steps = F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda a, b: (F.length(a) + F.length(b)).cast("long"))
 
         def at(e: Column) -> Column:
-            return F.transform(
-                m,
-                lambda x, i: F.struct(
-                    (F.get(e, i) - F.length(x)).alias("start"), F.lit(kind).alias("kind"), F.get(e, i).alias("end"), x.alias("text"), F.right(F.get(p, i), F.lit(80)).alias("left")
-                ),
-            )
+            return F.transform(m, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.lit(kind).alias("kind"), F.get(e, i).alias("end"), x.alias("text")))
 
         return F.filter(let(running(steps), at), lambda s: valid(s["text"]))
 
@@ -134,55 +139,113 @@ def _masked(text: Column, kind: Kind, mask: Callable[[Column], Column]) -> Colum
     return F.when(kind.guard(text), _matches(text, kind.pattern, body)).otherwise(text)
 
 
-def _candidate(x: Column) -> Column:
-    return F.length(x).between(6, 64) & (F.length(F.regexp_replace(x, "[^0-9]", "")) >= 3)
+def _bare(text: Column, mask: Callable[[Column], Column], rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``: the text with its seeds masked and what parts tokens as spaces."""
+    rows = rows.withColumn(name, F.translate(text, MARK + FILL, "\x03\x03"))
+    for k in KINDS:
+        rows = rows.withColumn(name, _masked(F.col(name), k, mask))
+    return rows.withColumn(name, F.translate(name, PARTING, " " * len(PARTING)))
 
 
-def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, ``row`` (a hash of key and text), its seeds ``base`` and its candidates ``cand``. No text is kept."""
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("row", F.xxhash64("key", "t"))
-    rows = rows.withColumn("base", base_spans(F.col("t"))).withColumn("bare", F.col("t"))
-    for k in KINDS:  # seeds are blanked out in place, so that candidates lie apart from them and keep their places
-        rows = rows.withColumn("bare", _masked(F.col("bare"), k, lambda x: F.repeat(F.lit("\x01"), F.length(x))))
-    cand = F.when(F.col("bare").rlike("[0-9]"), _spans(F.col("bare"), TOKEN, len(KINDS), _candidate).cast(SPAN)).otherwise(F.array().cast(SPAN))
-    return rows.select("key", "row", "base", cand.alias("cand"))
+def _joint(token: Column) -> Column:
+    return token.startswith("=") | token.startswith(":")
 
 
-def _pattern(left: Column) -> Column:
-    """The two words before an identifier, in lower case, digits alike; empty if there are fewer."""
-    return F.regexp_replace(F.lower(F.regexp_extract(left, r"([^\x20\x09-\x0D]{1,30}[\x20\x09-\x0D]{1,4}[^\x20\x09-\x0D]{1,30})[\x20\x09-\x0D\"'(\[<:=]{1,6}$", 1)), "[0-9]", "0")
+def _word(token: Column) -> Column:
+    """A word of a pattern: in lower case, digits alike, any seed like another."""
+    return F.when(token.startswith(MARK), MARK).otherwise(F.translate(F.lower(token), "123456789", "000000000"))
 
 
-def _instance(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+def _patterns(a: Column, b: Column) -> Column:
+    """Patterns of the two tokens before an instance: one word (with = if it is a key), and two words."""
+    key = F.when(a != "", F.concat(_word(a), F.lit(" =")))
+    return F.when(_joint(b), F.array(key)).when((a != "") & ~_joint(a), F.array(_word(b), F.concat(_word(a), F.lit(" "), _word(b)))).otherwise(F.array(F.when(b != "", _word(b))))
+
+
+#: What an instance sheds at its ends.
+LEAD, TRAIL = r"^[^\p{L}\p{N}\x01]++", r"(?<![^\p{L}\p{N}\x01])[^\p{L}\p{N}\x01]++$"
+
+
+def _instance(token: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(token, LEAD, ""), TRAIL, ""))
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("row", F.xxhash64("key", "t"))
+
+
+def contexts(texts: DataFrame, seeded: bool = False, placed: bool = False) -> DataFrame:
+    """One row per token and pattern before it: key, row, pattern, ``token``, ``seed``; with ``placed`` also ``end``, its
+    place, and then seeds have no text of their own. With ``seeded``, only texts that may have a seed are cut into tokens.
+    """
+    zero = F.array(F.lit(""), F.lit(""))
+    if seeded:  # told by the text itself: a condition on the masked text would have it masked twice
+        some = F.col("t").rlike(MAYBE_SECRET)
+        for k in KINDS:
+            some = some | k.guard(F.col("t"))
+        texts = texts.where(some)
+    if placed:
+        rows = _bare(F.col("t"), lambda x: F.concat(F.lit(MARK), F.repeat(F.lit(FILL), F.length(x) - 1)), texts, "bare")
+
+        def cut(p: Column, m: Column) -> Column:
+            steps = F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda a, b: (F.length(a) + F.length(b)).cast("long"))
+            return F.struct(F.concat(zero, m).alias("w"), running(steps).alias("e"))
+
+        rows = rows.select("key", "row", _matches(F.col("bare"), PLACED, cut).alias("c")).select("key", "row", "c.w", "c.e")
+    else:
+        rows = _bare(F.col("t"), lambda x: F.concat(F.lit(MARK), F.hex(F.xxhash64(x)), F.lit(MARK)), texts, "bare")
+        rows = rows.select("key", "row", F.concat(zero, F.regexp_extract_all("bare", F.lit(HASHED), F.lit(0))).alias("w"))
+    n, names = F.size("w") - 2, ["a", "b", "token", *(["end"] if placed else [])]
+    zipped = F.arrays_zip(*(F.slice("w", F.lit(i), n) for i in (1, 2, 3)), *([F.col("e")] if placed else []))
+    rows = rows.select("key", "row", F.inline(zipped)).toDF("key", "row", *names).where(~_joint(F.col("token")))
+    seed = F.col("token").startswith(MARK) | F.when(_joint(F.col("b")), F.regexp_replace("token", r"[^A-Za-z0-9]++$", "").rlike(SECRET)).otherwise(F.lit(False))
+    rows = rows.select("key", "row", F.explode(_patterns(F.col("a"), F.col("b"))).alias("pattern"), *names[2:], seed.alias("seed"))
+    return rows.where("pattern is not null")
+
+
+#: Patterns and hits are joined by broadcast up to so many rows, counted first; beyond, by shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def score(edges: DataFrame, turns: int = TURNS) -> DataFrame:
-    """Score the graph of ``edges`` (pattern, instance, seed: distinct); returns instance and score of candidates.
+    """Score the graph of ``edges`` (pattern, instance, seed: distinct); returns ``instance`` and ``score`` of every instance.
 
-    A pattern's confidence is the sum of its instances' scores over one more than their number. A candidate's
-    score is 1 less the product of its patterns' doubts. Every sum is formed in part before it is shuffled.
+    A pattern's trust is the sum of what its instances count over one more than their number: 1 for a seed, its score for
+    an instance that was confident in the turn before, 0 for others, so that doubtful ones never raise each other. An
+    instance's score is 1 less the product of its patterns' doubts, over patterns of one word or of two, whichever is
+    more: they overlap and are not evidence twice. Every sum is formed in part before it is shuffled.
     """
-    seeds = edges.where("seed").groupBy("pattern").agg(F.count("*").alias("seeds"))
-    graph = materialize(edges.join(seeds.where(F.col("seeds") >= SUPPORT).select("pattern"), "pattern"))
-    scores = None
+    scores, two = None, F.col("pattern").contains(" ") & ~F.col("pattern").endswith(" =")
     for _ in range(turns):
-        known = graph if scores is None else graph.join(scores, "instance", "left")
-        now = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.lit(0.0) if scores is None else F.coalesce("score", F.lit(0.0)))
+        known = edges if scores is None else edges.join(scores, "instance", "left")
+        now = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.lit(0.0) if scores is None else F.when(F.col("score") >= CONFIDENT, F.col("score")).otherwise(F.lit(0.0)))
         trust = known.groupBy("pattern").agg((F.sum(now) / (F.count("*") + 1)).alias("trust"))
-        doubts = graph.where(~F.col("seed")).join(trust, "pattern").groupBy("instance").agg(F.sum(F.log(1 - F.col("trust"))).alias("doubt"))
-        scores = materialize(doubts.select("instance", (1 - F.exp("doubt")).alias("score")))
+        doubts = edges.join(trust, "pattern").groupBy("instance", two.alias("two")).agg(F.sum(F.log(1 - F.col("trust"))).alias("doubt"))
+        scores = materialize(doubts.groupBy("instance").agg((1 - F.exp(F.min("doubt"))).alias("score")))
     return scores
 
 
-def discover(occ: DataFrame) -> DataFrame:
-    """Identifiers beyond the seeds: key, row and ``found``, an array of spans, for the rows that have any."""
-    seeds = occ.select(F.explode("base").alias("s")).select(_pattern(F.col("s.left")).alias("pattern"), _instance(F.col("s.text")).alias("instance"), F.lit(True).alias("seed"))
-    cands = occ.select("key", "row", F.explode("cand").alias("s")).select("key", "row", "s", _pattern(F.col("s.left")).alias("pattern"), _instance(F.col("s.text")).alias("instance"))
-    edges = seeds.unionByName(cands.select("pattern", "instance", F.lit(False).alias("seed"))).where("pattern <> '' and instance <> ''")
-    edges = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+def discover(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Identifiers beyond the base kinds: ``k``, ``r`` (a hash of key and text) and ``found``, an array of spans, for the
+    rows that have any. Texts are read three times, and only what follows a pattern that introduces seeds is shuffled."""
+    texts = _texts(docs, key, text)
+    seeds = materialize(contexts(texts, seeded=True).where("seed").select("pattern", _instance(F.col("token")).alias("instance")).distinct())
+    supported = materialize(seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern"))
+    counts = contexts(texts).join(_small(supported), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
+    patterns = materialize(counts.where(F.col("seeds") >= SHARE * F.col("n")).select("pattern"))
+    after = contexts(texts, placed=True).join(_small(patterns), "pattern", "left_semi").where(~F.col("token").startswith(MARK))
+    lead = F.length("token") - F.length(F.regexp_replace("token", LEAD, ""))
+    end = F.col("end") - F.length("token") + F.length(F.regexp_replace("token", TRAIL, ""))
+    span = F.struct((F.col("end") - F.length("token") + lead).alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"))
+    after = materialize(after.select("key", "row", "pattern", _instance(F.col("token")).alias("instance"), "seed", span.alias("s")).where("instance <> ''"))
+    known = seeds.join(_small(patterns), "pattern", "left_semi").select("pattern", "instance", F.lit(True).alias("seed"))
+    edges = materialize(known.unionByName(after.select("pattern", "instance", "seed")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     good = score(edges).where(F.col("score") >= CONFIDENT).select("instance")
-    return cands.join(good, "instance").groupBy("key", "row").agg(F.collect_set("s").alias("found"))
+    return after.join(good, "instance").groupBy(F.col("key").alias("k"), F.col("row").alias("r")).agg(F.collect_set("s").alias("found"))
 
 
 def _listed(spans: Column) -> Column:
@@ -196,38 +259,46 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     A null text is empty and has no spans; a null key is a key like others; repeated rows give repeated
     results. Only key and text are read.
     """
-    occ = materialize(occurrences(docs, key, text))
-    more = discover(occ).select(F.col("key").alias("k"), F.col("row").alias("r"), "found")
+    occ = materialize(_texts(docs, key, text).select("key", "row", F.transform(base_spans(F.col("t")), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base")))
+    more = discover(docs, key, text)
     rows = occ.join(more, (F.col("row") == F.col("r")) & F.col("key").eqNullSafe(F.col("k")), "left")
 
     def count(kind: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
     counts = [count(i).alias(f"n_{k.name}") for i, k in enumerate(KINDS)]
-    every = F.concat("base", F.coalesce("found", F.array().cast(SPAN)))
+    every = F.concat("base", F.coalesce("found", F.array().cast(PLACE)))
     return rows.select(F.col("key").alias(key), *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(every).alias("spans"))
 
 
-#: Found identifiers are few where patterns are; up to so many rows of them are broadcast, more are joined by shuffle.
-BROADCAST_ROWS = 50_000
-
-
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every identifier in ``text`` replaced by its kind in brackets; other columns as they are.
 
-    A null text stays null. Base kinds are replaced in turn where they are read.
+    A null text stays null. Found identifiers are cut out by their place; between them, base kinds are replaced in
+    turn where they are read.
     """
     columns, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     names = dict(zip(columns, inner, strict=True))
-    occ = materialize(occurrences(docs, key, text))
-    more = materialize(discover(occ).select(F.col("key").alias("k"), F.col("row").alias("r"), F.transform("found", lambda s: s["text"]).alias("texts")))
-    few = more.count() <= BROADCAST_ROWS
-    t = F.col(names[text])
+    more = _small(materialize(discover(docs, key, text)))
+    t, turns = F.col(names[text]), (KINDS[0], KINDS[3], KINDS[2], KINDS[1], KINDS[3])  # the longer forms first; a phone number may come free beside another kind
     rows = docs.toDF(*inner).withColumn("r0", F.xxhash64(F.col(names[key]), F.coalesce(t, F.lit(""))))
-    rows = rows.join(F.broadcast(more) if few else more, (F.col("r0") == F.col("r")) & F.col(names[key]).eqNullSafe(F.col("k")), "left")
-    new = t
-    for k in (KINDS[0], KINDS[3], KINDS[2], KINDS[1], KINDS[3]):  # the longer forms first; a phone number may come free beside another kind
-        rows = rows.withColumn(names[text], _masked(new, k, lambda x, k=k: F.lit(f"[{k.name.upper()}]")))
-        new = F.col(names[text])
-    new = F.when(F.col("texts").isNull(), new).otherwise(F.aggregate("texts", new, lambda a, x: F.replace(a, x, F.lit(f"[{FOUND.upper()}]"))))
-    return rows.withColumn(names[text], new).select(*(F.col(i).alias(c) for c, i in names.items()))
+    rows = rows.join(more, (F.col("r0") == F.col("r")) & F.col(names[key]).eqNullSafe(F.col("k")), "left")
+
+    def named(x: Column, kind: Kind) -> Column:
+        return _masked(x, kind, lambda _: F.lit(f"[{kind.name.upper()}]"))
+
+    def masked(piece: Column, kinds: tuple[Kind, ...] = turns) -> Column:
+        return let(named(piece, kinds[0]), lambda x: masked(x, kinds[1:])) if kinds else piece
+
+    def between(spans: Column) -> Column:
+        """What lies before, between and after the spans."""
+        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
+        ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(t).cast("long")))
+        return F.zip_with(starts, ends, lambda a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int")))
+
+    whole = t
+    for k in turns:
+        rows = rows.withColumn(f"{names[text]}_", named(whole, k))
+        whole = F.col(f"{names[text]}_")
+    cut = F.array_join(F.transform(let(F.array_sort("found"), between), lambda x: masked(x)), f"[{FOUND.upper()}]")
+    return rows.withColumn(names[text], F.when(F.col("found").isNull(), whole).otherwise(cut)).select(*(F.col(i).alias(c) for c, i in names.items()))

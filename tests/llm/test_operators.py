@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import components, embeddings, html, jaccard, mincut, mixing, packing, pii, quality, sharding, simhash, tok, tokenbin, warc
 from tessera.llm.common import shared_dir
-from tests.llm.brute import pii_base
+from tests.llm.brute import pii_base, pii_found
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -470,6 +470,41 @@ def test_pii_discovers_by_context(spark):
     assert red[100] == "please reach them at [ID] now" and red[3] == "some words then reach them at [EMAIL] or call" and red[101] == rows[41][1]
 
 
+def secret(rng, n=40):
+    return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+
+def test_pii_found_spans_against_plain(spark):
+    """Keyed secrets, a key that is not one, a pattern that drifts, contexts of one and of two words, long identifiers."""
+    rng = random.Random(11)
+    texts = [f'{text_of(rng, 5)} token = "{secret(rng)}"!! {text_of(rng, 3)}' for _ in range(40)]
+    texts += ['token = "hunter2" and token: (swordfish).', "password: open-sesame", "Token=" + "z" * 90, "a token of thanks", "the token", None, "", "= :"]
+    texts += [f"build: {secret(rng)}" for _ in range(2)] + [f"version: 1.{i}" for i in range(30)]
+    texts += [f"write to u{i}@x.org" for i in range(30)] + [f"write to {w}" for w in ("joe_b", "HOME", "me,")] + [f"went to u{i}@y.org" for i in range(4)] + [f"went to {w}" for w in WORDS * 3]
+    texts += [f"mail u{i}@z.org, then" for i in range(20)] + [f"mail {w} {w}" for w in WORDS]
+    texts += [f"({i}) call +1 (017) 555-77{i:02d}; ip {i}.2.3.4" for i in range(20)] + ["call ext.77", "ip localhost", "tokens = none"]
+    want = pii_found(texts, pii.CONFIDENT, pii.SUPPORT, pii.SHARE, pii.TURNS)
+    df = clashing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: {tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("id:")} for r in pii.find(df).collect()}
+    assert {k: v for k, v in got.items() if v} == want
+    said = [texts[n][a:b] for n, spans in sorted(want.items()) for a, b in sorted(spans)]
+    assert {"hunter2", "swordfish", "z" * 90, "localhost", "ext.77"} <= set(said) and sum(len(x) == 40 for x in said) == 40
+    assert "open-sesame" not in said and not set(WORDS) & set(said)
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    for n, spans in want.items():
+        plain, at = "", 0
+        for a, b in sorted(spans):
+            plain, at = plain + texts[n][at:a] + "[ID]", b
+        assert red[n] == plain + texts[n][at:] or "@" in texts[n] or "+1" in texts[n]
+    assert red[40] == 'token = "[ID]" and token: ([ID]).' and red[44] == "the token" and red[45] is None
+
+
+def test_redact_goes_by_place(spark):
+    rows = [(i, f"reach them at u{i}@x.org now") for i in range(40)] + [(100, "xjoe_998y reach them at joe_998 then joe_99812, é joe_998"), (101, None)]
+    red = {r["doc_id"]: r["text"] for r in pii.redact(clashing(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert red[100] == "xjoe_998y reach them at [ID] then joe_99812, é joe_998" and red[101] is None
+
+
 def test_redact_leaves_nothing(spark):
     df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
     for r in pii.redact(df).collect():
