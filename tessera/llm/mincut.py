@@ -3,32 +3,39 @@
 from __future__ import annotations
 
 
-def min_cut(unary: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
+def min_cut(unary: list[int], edges: list[tuple[int, int, int, int]]) -> list[bool]:
     """Labels that minimise the cost: ``unary[i]`` (positive: label True saves so much) and, for each edge
-    (i, j, weight), the weight if its ends differ. Whole numbers only, so the result is exact.
+    (i, j, forth, back), ``forth`` if i is True and j False, ``back`` if it is the other way round. Whole numbers only,
+    so the result is exact.
 
     Nodes whose own cost outweighs all their edges are settled first and passed on to their neighbours;
     that never loses the optimum. What remains is cut by maximum flow from the True to the False terminal.
     """
     n = len(unary)
     cost, near = list(unary), [[] for _ in range(n)]
-    for i, j, w in edges:
-        if w > 0 and i != j:
-            near[i].append((j, w))
-            near[j].append((i, w))
-    pull = [sum(w for _, w in x) for x in near]
+    for i, j, forth, back in edges:
+        if (forth > 0 or back > 0) and i != j:
+            near[i].append((j, forth, back))
+            near[j].append((i, back, forth))
+    held = [[sum(forth for _, forth, _ in x), sum(back for _, _, back in x)] for x in near]  # what being True, or False, can cost at most
     label: list[bool | None] = [None] * n
-    ready = [i for i in range(n) if abs(cost[i]) >= pull[i]]
+
+    def sure(i: int) -> bool:
+        return cost[i] >= held[i][0] or -cost[i] >= held[i][1]
+
+    ready = [i for i in range(n) if sure(i)]
     while ready:
         i = ready.pop()
         if label[i] is not None:
             continue
-        label[i] = cost[i] > 0
-        for j, w in near[i]:
+        # with a tie between both, neither costs anything
+        label[i] = cost[i] > 0 if cost[i] >= held[i][0] and -cost[i] >= held[i][1] else cost[i] >= held[i][0]
+        for j, forth, back in near[i]:
             if label[j] is None:
-                cost[j] += w if label[i] else -w
-                pull[j] -= w
-                if abs(cost[j]) >= pull[j]:
+                cost[j] += forth if label[i] else -back
+                held[j][0] -= back
+                held[j][1] -= forth
+                if sure(j):
                     ready.append(j)
     rest = [i for i in range(n) if label[i] is None]
     if rest:
@@ -38,7 +45,7 @@ def min_cut(unary: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     return label  # type: ignore[return-value]
 
 
-def _flow(rest: list[int], cost: list[int], near: list[list[tuple[int, int]]], label: list) -> dict[int, bool]:
+def _flow(rest: list[int], cost: list[int], near: list[list[tuple[int, int, int]]], label: list) -> dict[int, bool]:
     number = {x: k for k, x in enumerate(rest)}
     s, t = len(rest), len(rest) + 1
     out: list[list[int]] = [[] for _ in range(t + 1)]
@@ -58,9 +65,9 @@ def _flow(rest: list[int], cost: list[int], near: list[list[tuple[int, int]]], l
             add(s, k, cost[x], 0)
         elif cost[x] < 0:
             add(k, t, -cost[x], 0)
-        for y, w in near[x]:
+        for y, forth, back in near[x]:
             if y in number and x < y:
-                add(k, number[y], w, w)
+                add(k, number[y], forth, back)
     while True:
         depth = [-1] * (t + 1)
         depth[s] = 0
