@@ -2,19 +2,19 @@
 
 A shard file holds, in ascending key order, the raw ids of its documents (little-endian, 2 or 4 bytes
 each), then the index: places of documents, the levels of the hash function, and per slot a fingerprint
-of the key and the document's number. A last block of fixed size says where each part lies, so that a
-key is found by reading the index and one stretch of ids.
+of the key and the document's number. A last block of fixed size says where each part lies.
 
 The hash function is built by levels (Limasset et al., 2017): keys that meet no other on a level own a
-bit there, the others go on to the next; a key's slot is the number of set bits before its own.
+bit there, the others go on to the next; a key's slot is the number of set bits before its own. That number is
+stored for every block of 512 bits, so a key is found by a few reads of fixed size, however large the shard.
 """
 
 from __future__ import annotations
 
-import io
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import attempt_name, materialize, open_fs, shared_dir
 from tessera.llm.tok import encoder
 
-MAGIC = b"TSBIN001"
+MAGIC = b"TSBIN002"
 #: magic, id width, documents, documents without key, distinct keys, ids, places of starts, keys, levels, slots
 TAIL = struct.Struct("<8sIQQQQQQQQ")
 GAMMA, LEVELS = 2, 64
+#: Bytes of a block of bits with a stored rank, and keys looked up at once.
+RANKED, BATCH = 64, 1 << 14
+#: Size of the sketch of keys: bounds are off by about 0.1 % of all rows.
+SKETCH = 4096
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -40,60 +45,76 @@ def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit keys: ``bits`` per level, and set bits before each level."""
+    """Minimal perfect hash of distinct 64-bit keys: per level its number of bits, the bits, and the set bits before each block."""
 
-    def __init__(self, bits: list[np.ndarray]):
-        self.bits = bits
-        self.ranks = []
-        seen = 0
-        for b in bits:
-            self.ranks.append(seen + np.concatenate(([0], np.cumsum(b, dtype=np.int64)))[:-1])
-            seen += int(b.sum())
-        self.size = seen
+    def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray]], size: int):
+        self.levels, self.size = levels, size
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        bits, left = [], keys.astype(np.uint64)
+        levels, left, seen = [], keys.astype(np.uint64), 0
         while len(left):
-            if len(bits) == LEVELS:
+            if len(levels) == LEVELS:
                 raise ValueError("keys are not distinct")
             m = max(64, GAMMA * len(left))
-            at = (_mix(left, len(bits)) % np.uint64(m)).astype(np.int64)
-            own = np.bincount(at, minlength=m) == 1
-            bits.append(own)
+            at = (_mix(left, len(levels)) % np.uint64(m)).astype(np.int64)
+            own = np.bincount(at, minlength=-(-m // (8 * RANKED)) * 8 * RANKED) == 1
+            before = seen + np.concatenate(([0], np.cumsum(own.reshape(-1, 8 * RANKED).sum(1))))
+            levels.append((m, np.packbits(own, bitorder="little"), before[:-1].astype("<u8")))
+            seen = int(before[-1])
             left = left[~own[at]]
-        return cls(bits)
+        return cls(levels, seen)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """Each key's slot; -1 where no level has it (a key that was never put in may get any slot)."""
         keys = keys.astype(np.uint64)
+        return np.concatenate([self._slots(keys[i : i + BATCH]) for i in range(0, len(keys), BATCH)]) if len(keys) else np.zeros(0, np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
         out, open_ = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for level, (b, ranks) in enumerate(zip(self.bits, self.ranks, strict=True)):
+        for level, (m, bits, before) in enumerate(self.levels):
             if not len(open_):
                 break
-            at = (_mix(keys[open_], level) % np.uint64(len(b))).astype(np.int64)
-            hit = b[at]
-            out[open_[hit]] = ranks[at[hit]]
+            at = (_mix(keys[open_], level) % np.uint64(m)).astype(np.int64)
+            hit = bits[at >> 3] >> (at & 7) & 1 == 1
+            block, within = at[hit] // (8 * RANKED), at[hit] % (8 * RANKED)
+            ones = np.concatenate((np.zeros((len(block), 1), np.int64), np.cumsum(_ONES[bits.reshape(-1, RANKED)[block]], 1)), 1)
+            low = _ONES[bits[at[hit] >> 3] & ((1 << (at[hit] & 7)) - 1)]
+            out[open_[hit]] = before[block].astype(np.int64) + ones[np.arange(len(block)), within >> 3] + low
             open_ = open_[~hit]
         return out
 
     def dump(self) -> bytes:
-        out = io.BytesIO()
-        out.write(struct.pack("<I", len(self.bits)))
-        for b in self.bits:
-            out.write(struct.pack("<Q", len(b)))
-            out.write(np.packbits(b).tobytes())
-        return out.getvalue()
+        """Number of levels and set bits, bits of each level, then each level's bits and ranks."""
+        head = struct.pack("<IQ", len(self.levels), self.size) + b"".join(struct.pack("<Q", m) for m, _, _ in self.levels)
+        return head + b"".join(bits.tobytes() + before.tobytes() for _, bits, before in self.levels)
+
+    @staticmethod
+    def places(read: Callable[[int, int], bytes]) -> tuple[int, list[tuple[int, int, int]]]:
+        """Size, and per level its bits and where bits and ranks lie, given ``read(n, at)``."""
+        n, size = struct.unpack("<IQ", read(12, 0))
+        at, out = 12 + 8 * n, []
+        for m in struct.unpack(f"<{n}Q", read(8 * n, 12)):
+            blocks = -(-m // (8 * RANKED))
+            out.append((m, at, at + blocks * RANKED))
+            at += blocks * (RANKED + 8)
+        return size, out
 
     @classmethod
     def load(cls, data: bytes) -> PerfectHash:
-        (n,), at, bits = struct.unpack_from("<I", data), 4, []
-        for _ in range(n):
-            (m,) = struct.unpack_from("<Q", data, at)
-            size = -(-m // 8)
-            bits.append(np.unpackbits(np.frombuffer(data, np.uint8, size, at + 8), count=m).astype(bool))
-            at += 8 + size
-        return cls(bits)
+        size, places = cls.places(lambda n, at: data[at : at + n])
+        return cls([(m, np.frombuffer(data, np.uint8, ranks - bits, bits), np.frombuffer(data, "<u8", (ranks - bits) // RANKED, ranks)) for m, bits, ranks in places], size)
+
+    @staticmethod
+    def slot(key: int, places: list[tuple[int, int, int]], read: Callable[[int, int], bytes]) -> int:
+        """One key's slot by reads of a block and its rank a level."""
+        for level, (m, bits, ranks) in enumerate(places):
+            at = int(_mix(np.array([key], np.int64).astype(np.uint64), level)[0]) % m
+            block, within = divmod(at, 8 * RANKED)
+            word = int.from_bytes(read(RANKED, bits + block * RANKED), "little")
+            if word >> within & 1:
+                return struct.unpack("<Q", read(8, ranks + 8 * block))[0] + (word & (1 << within) - 1).bit_count()
+        return -1
 
 
 def fingerprints(keys: np.ndarray) -> np.ndarray:
@@ -130,40 +151,60 @@ class ShardWriter:
         self.out.write(TAIL.pack(MAGIC, self.width, len(self.starts) - 1, self.nulls, len(distinct), self.n, *places))
 
 
+SLOT = np.dtype([("fingerprint", "<u4"), ("document", "<u8")])
+
+
 class ShardReader:
-    """Reads a shard: any key's ids in constant time, or all documents in order."""
+    """Reads a shard: any key's ids in constant time and memory, or all documents in order."""
 
     def __init__(self, uri: str):
         fs, path = open_fs(uri)
-        self.file = fs.open_input_file(path)
+        self.uri, self.file = uri, fs.open_input_file(path)
         size = self.file.size()
-        magic, self.width, self.docs, self.nulls, distinct, self.ids, starts, keys, levels, slots = TAIL.unpack(self.file.read_at(TAIL.size, size - TAIL.size))
+        self.end = size - TAIL.size
+        magic, self.width, self.docs, self.nulls, self.distinct, self.ids, *places = TAIL.unpack(self.file.read_at(TAIL.size, self.end))
         if magic != MAGIC:
             raise ValueError(f"{uri} is no token shard")
-        end = size - TAIL.size
-        self.starts = np.frombuffer(self.file.read_at(keys - starts, starts), "<u8")
-        self.keys = np.frombuffer(self.file.read_at(levels - keys, keys), "<i8")
-        self.mph = PerfectHash.load(self.file.read_at(slots - levels, levels))
-        self.slots = np.frombuffer(self.file.read_at(end - slots, slots), [("fingerprint", "<u4"), ("document", "<u8")])
-        if self.mph.size != distinct:
+        self.at_starts, self.at_keys, self.at_levels, self.at_slots = places
+        size, self.levels = PerfectHash.places(self._level)
+        if size != self.distinct:
             raise ValueError(f"{uri}: its index is damaged")
 
+    def _level(self, n: int, at: int) -> bytes:
+        return self.file.read_at(n, self.at_levels + at)
+
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids of the first document with ``key``; null if there is none. Reads a few blocks of fixed size and the ids."""
+        slot = PerfectHash.slot(key, self.levels, self._level)
+        if slot < 0:
+            return None
+        fingerprint, document = np.frombuffer(self.file.read_at(SLOT.itemsize, self.at_slots + SLOT.itemsize * slot), SLOT)[0]
+        if fingerprint != fingerprints(np.array([key], np.int64))[0]:
+            return None
+        own = struct.unpack("<q", self.file.read_at(8, self.at_keys + 8 * (int(document) - self.nulls)))[0]
+        return self.read(int(document)) if own == key else None
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.frombuffer(self.file.read_at(self.at_keys - self.at_starts, self.at_starts), "<u8")
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return np.frombuffer(self.file.read_at(self.at_levels - self.at_keys, self.at_keys), "<i8")
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key's first document, or -1 for a key whose fingerprint isn't there."""
-        at = self.mph.slots(keys)
-        if not len(self.slots):
+        at = PerfectHash.load(self._level(self.at_slots - self.at_levels, 0)).slots(keys)
+        slots = np.frombuffer(self.file.read_at(self.end - self.at_slots, self.at_slots), SLOT)
+        if not len(slots):
             return np.full(len(keys), -1, np.int64)
-        hit = self.slots[np.maximum(at, 0)]
+        hit = slots[np.maximum(at, 0)]
         return np.where((at >= 0) & (hit["fingerprint"] == fingerprints(keys)), hit["document"].astype(np.int64), -1)
 
     def read(self, document: int) -> np.ndarray:
-        a, b = int(self.starts[document]), int(self.starts[document + 1])
+        a, b = struct.unpack("<QQ", self.file.read_at(16, self.at_starts + 8 * document))
         return np.frombuffer(self.file.read_at((b - a) * self.width, a * self.width), f"<u{self.width}")
 
-    def get(self, key: int) -> np.ndarray | None:
-        found = int(self.find(np.array([key], np.int64))[0])
-        return None if found < 0 or int(self.keys[found - self.nulls]) != key else self.read(found)
-
     def __iter__(self) -> Iterator[tuple[int | None, int, bytes]]:
         """(key, start, ids as little-endian 32-bit bytes), each found by its key through the index."""
         found = self.find(self.keys)
@@ -173,35 +214,40 @@ class ShardReader:
         nth = np.arange(len(self.keys)) - (found - self.nulls)
         numbers = [*range(self.nulls), *(found + nth).tolist()]
         for k, d in enumerate(numbers):
-            key = None if k < self.nulls else int(self.keys[k - self.nulls])
-            yield key, int(self.starts[d]), self.read(d).astype("<u4").tobytes()
+            key, a, b = None if k < self.nulls else int(self.keys[k - self.nulls]), int(self.starts[d]), int(self.starts[d + 1])
+            yield key, a, np.frombuffer(self.file.read_at((b - a) * self.width, a * self.width), f"<u{self.width}").astype("<u4").tobytes()
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write ``docs`` as token shards; returns the manifest (bucket, path, n_docs, n_tokens).
 
-    Keys are dealt to shards by ranges. Where one key fills several ranges its rows are dealt evenly over
-    them, so a key with a third of all rows is no larger a task. A shard is written under a name of its own
-    attempt and then moved, so that a repeated task replaces it whole.
+    Keys are dealt to shards by ranges, whose bounds are quantiles of the keys themselves (a sketch of whole longs).
+    Where one key fills several ranges its rows are dealt evenly over them, so a key with a third of all rows is no
+    larger a task; rows without a key come first, in shards of their own as many as they need. A shard is written
+    under a name of its own attempt and then moved, so that a repeated task replaces it whole.
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.select(F.col(key).cast("double").alias("k")).where("k is not null").approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    bounds = np.array(cuts, np.float64)
+    k = F.col(key).cast("long")
+    stats = docs.agg(F.kll_sketch_agg_bigint(k, F.lit(SKETCH)).alias("s"), F.count(k).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    bare = -(-n * (stats["rows"] - stats["n"]) // max(1, stats["rows"]))  # shards for rows without a key
+    ranks = F.array(*(F.lit(i / n) for i in range(1, n)))
+    cuts = spark.createDataFrame([(bytes(stats["s"]),)], "s binary").select(F.kll_sketch_get_quantile_bigint("s", ranks)).first()[0] if n > 1 and stats["n"] else []
+    bounds = np.array(sorted(cuts), np.int64)
 
     def tokens(batches):
         enc = encoder(tokenizer)
         end, turn = end_id.to_bytes(enc.width, "little"), 0
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            # a float64 image of a key keeps its order, equal images go to one range or are dealt like equal keys
-            k = np.array([-np.inf if x is None else float(x) for x in keys.to_pylist()])
+            given = np.array([x is not None for x in keys.to_pylist()], bool)
+            k = keys.fill_null(0).to_numpy(zero_copy_only=False)
             low, high = np.searchsorted(bounds, k, "left"), np.searchsorted(bounds, k, "right")
             turns = turn + np.arange(len(k))
             turn += len(k)
-            exact = np.isin(k, bounds) & (high - low > 1)
-            bucket = np.where(exact, low + turns % (high - low + 1), low)
+            # a key that several bounds equal is dealt over the ranges between them
+            bucket = np.where(given, bare + np.where(high - low > 1, low + turns % (high - low + 1), low), turns % max(1, bare))
             ids = pa.array([enc.encode(t.as_py()) + end for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), keys, ids], ["bucket", "key", "ids"])
 
@@ -232,7 +278,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
         yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "path", "n_docs", "n_tokens"), x, strict=True)) for x in done], pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     ids = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(tokens, "bucket int, key long, ids binary")
-    dealt = ids.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "key")
+    dealt = ids.repartitionById(n + bare, F.col("bucket")).sortWithinPartitions("bucket", "key")
     return materialize(dealt.mapInArrow(save, "bucket int, path string, n_docs long, n_tokens long"), folder + "-manifest")
 
 

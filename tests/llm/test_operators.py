@@ -326,10 +326,25 @@ def test_token_shards_hot_key_and_lookup(spark):
     assert found == 3
 
 
+def test_token_shards_large_ids_and_rows_without_one(spark):
+    """Ids that are one double all stand in their own order; rows without an id are no single task."""
+    rows = [(2**62 + i, f"text {i}") for i in range(400)] + [(-(2**62) - i, "low") for i in range(40)] + [(None, f"none {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tokenbin.round_trip(df, tok.default_tokenizer()).collect(), key=lambda r: r["start"])
+    keys = [-(2**63) if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert keys == sorted(keys) and len(keys) == len(rows)
+    assert max(r["n_docs"] for r in tokenbin.write(df, tok.default_tokenizer()).collect()) < 300
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 20000)).astype(np.int64)
     mph = tokenbin.PerfectHash.load(tokenbin.PerfectHash.build(keys).dump())
     assert sorted(mph.slots(keys).tolist()) == list(range(len(keys)))
+    data = mph.dump()
+    size, places = tokenbin.PerfectHash.places(lambda n, at: data[at : at + n])
+    assert size == len(keys)
+    for k, want in zip(keys[::97].tolist(), mph.slots(keys[::97]).tolist()):
+        assert tokenbin.PerfectHash.slot(k, places, lambda n, at: data[at : at + n]) == want
     assert tokenbin.PerfectHash.build(keys[:0]).size == 0
 
 
