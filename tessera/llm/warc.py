@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import attempt_name, materialize, open_fs, shared_dir
 
 SKIPPABLE = 0x184D2A5D
-#: The dictionary is built from an archive's first records, as many as these bounds allow.
-SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 200, 1 << 20, 32 << 10
-#: Fewer records than LEAST_RECORDS train no dictionary; long ones are waited for until so many bytes are held.
+#: The dictionary is built from an archive's first records, as many as these bounds allow; of each, so many bytes.
+SAMPLE_RECORDS, SAMPLE_BYTES, SAMPLE_CLIP, DICT_BYTES = 200, 1 << 20, 64 << 10, 32 << 10
+#: Fewer records than LEAST_RECORDS train no dictionary (their own bytes are it then); long ones are waited for until so
+#: many bytes are held.
 LEAST_RECORDS, HELD_BYTES = 8, 32 << 20
 #: An archive is closed beyond so many bytes before compression.
 ARCHIVE_BYTES = 256 << 20
@@ -78,19 +80,23 @@ class ArchiveWriter:
         if len(self.held) >= SAMPLE_RECORDS or self.size >= (SAMPLE_BYTES if len(self.held) >= LEAST_RECORDS else HELD_BYTES):
             self._start()
 
+    def _dictionary(self) -> bytes:
+        """Trained on the held records; where these are too few or have too little in common, their own bytes, the first nearest the end."""
+        import zstandard
+
+        samples = [x[:SAMPLE_CLIP] for x in self.held]
+        if len(samples) >= LEAST_RECORDS:
+            with suppress(zstandard.ZstdError):
+                return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+        return b"".join(x[: max(8, DICT_BYTES // len(samples))] for x in reversed(samples))[-DICT_BYTES:]
+
     def _start(self) -> None:
         import zstandard
 
-        trained = b""
-        if len(self.held) >= LEAST_RECORDS:
-            try:  # too few or too uniform records give no dictionary; the frame is then empty
-                trained = zstandard.train_dictionary(DICT_BYTES, [x[: 64 << 10] for x in self.held]).as_bytes()
-            except zstandard.ZstdError:
-                trained = b""
-        self.sink.write(struct.pack("<II", SKIPPABLE, len(trained)) + trained)
-        made = zstandard.ZstdCompressionDict(trained) if trained else None
-        if made:
-            made.precompute_compress(level=LEVEL)
+        data = self._dictionary()
+        self.sink.write(struct.pack("<II", SKIPPABLE, len(data)) + data)
+        made = zstandard.ZstdCompressionDict(data)
+        made.precompute_compress(level=LEVEL)
         self.zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=True)
         for x in self.held:
             self.sink.write(self.zstd.compress(x))
@@ -111,8 +117,7 @@ def records(uri: str, chunk: int = 1 << 18) -> Iterator[bytes]:
         magic, n = struct.unpack("<II", source.read(8))
         if magic != SKIPPABLE:
             raise ValueError(f"{uri} has no dictionary frame")
-        trained = source.read(n)
-        zstd = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained) if n else None)
+        zstd = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(source.read(n)))
         data = source.read(chunk)
         while data:
             frame, out = zstd.decompressobj(), []
@@ -128,16 +133,17 @@ def records(uri: str, chunk: int = 1 << 18) -> Iterator[bytes]:
 def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Archive ``pages``; returns the manifest (path, n_records).
 
-    Which record holds a payload is settled on digests alone, summed before they are shuffled; the pages
-    themselves move once, by key, whose rows are few however common a payload is.
+    Which record holds a payload is settled on a table of keys and digests; the pages are read twice, once for that
+    table, and move once, by key, whose rows are few however common a payload is.
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark)
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).alias("u"), body.alias("body")).withColumn("digest", F.sha2("body", 256)).withColumn("n", F.octet_length("body").cast("long"))
-    seen = rows.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("times"))
+    heads = materialize(rows.where(F.col("n") >= MIN_REVISIT).select("k", "digest"))
+    seen = heads.groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("times"))
     again = seen.where("times > 1").select("digest", "first")
-    keys = rows.where(F.col("n") >= MIN_REVISIT).select("k", "digest").distinct().join(again, "digest").where("not (k <=> first)").select(F.col("k").alias("rk"), F.col("digest").alias("rd"), "first")
+    keys = heads.distinct().join(again, "digest").where("not (k <=> first)").select(F.col("k").alias("rk"), F.col("digest").alias("rd"), "first")
     marked = rows.join(keys, F.col("k").eqNullSafe(F.col("rk")) & (F.col("digest") == F.col("rd")), "left").withColumn("revisit", F.col("first").isNotNull())
     marked = marked.select("k", "u", F.when(~F.col("revisit"), F.col("body")).alias("body"), "n", "digest", "first", "revisit")
 

@@ -272,6 +272,19 @@ def test_warc_frames(tmp_path):
     assert len(raw) < len(zstandard.ZstdCompressor().compress(data[0])) * 300
 
 
+@pytest.mark.parametrize("data", [[b"x"], [b"WARC/1.1 a"] * 7, [b"same"] * 300, [bytes([i]) * 9 for i in range(20)], [b"", b""]])
+def test_warc_always_has_a_dictionary(tmp_path, data):
+    """Too few records, or too uniform ones, to train from: the dictionary is their own bytes."""
+    path = tmp_path / "c.warc.zst"
+    with open(path, "wb") as sink:
+        w = warc.ArchiveWriter(sink)
+        for x in data:
+            w.add(x)
+        w.close()
+    assert (struct.unpack("<II", path.read_bytes()[:8])[1] > 0) == any(data)
+    assert list(warc.records(str(path))) == data
+
+
 def test_warc_dictionary_of_long_records(tmp_path):
     """1 MB is reached before eight records: the dictionary is still built."""
     path = tmp_path / "b.warc.zst"
