@@ -69,28 +69,31 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("g"), batch.column("d"), batch.column("v"), lists], ["node", "g", "d", "x", "keys"])
 
 
-_EDGE = pa.schema([("node", pa.int64()), ("g", pa.int32()), ("d", pa.int32()), ("x", pa.list_(pa.float32())), ("p", pa.int32()), ("key", pa.int64()), ("pos", pa.int64())])
-_FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), *_EDGE])
-_FOUND_SQL = "u long, v long, node long, g int, d int, x array<float>, p int, key long, pos long"
+def _types(x: str) -> tuple[pa.Schema, pa.Schema, str]:
+    """Schemas of a partition's border rows and of what a pass finds, for vectors of ``x`` (float or double)."""
+    number = pa.float32() if x == "float" else pa.float64()
+    edge = [("node", pa.int64()), ("g", pa.string()), ("d", pa.int32()), ("x", pa.list_(number)), ("p", pa.int32()), ("key", pa.int64()), ("pos", pa.int64())]
+    return pa.schema(edge), pa.schema([("u", pa.int64()), ("v", pa.int64()), *edge]), f"u long, v long, node long, g string, d int, x array<{x}>, p int, key long, pos long"
 
 
-def _found(rows: dict) -> list[pa.RecordBatch]:
+def _found(rows: dict, schema: pa.Schema) -> list[pa.RecordBatch]:
     n = len(next(iter(rows.values())))
-    return pa.table([rows[f.name].cast(f.type) if f.name in rows else pa.nulls(n, f.type) for f in _FOUND], schema=_FOUND).combine_chunks().to_batches()
+    return pa.table([rows[f.name].cast(f.type) if f.name in rows else pa.nulls(n, f.type) for f in schema], schema=schema).combine_chunks().to_batches()
 
 
-def _windows(batches, window: int, threshold: float):
+def _windows(batches, window: int, threshold: float, x: str):
     """Links of close neighbours among rows sorted by (p, g, d, key), one partition at a time.
 
     The last ``window`` rows are carried over, so a partition is read as a stream. Its first and last ``window``
     rows follow at the end, with their position, to be compared across partitions.
     """
+    border, found, _ = _types(x)
     tail: tuple | None = None
     first, last, seen = [], None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch]).select(_EDGE.names[:-1]).append_column("pos", pa.array(np.arange(seen, seen + batch.num_rows)))
+        table = pa.Table.from_batches([batch]).select(border.names[:-1]).append_column("pos", pa.array(np.arange(seen, seen + batch.num_rows)))
         if seen < window:
             first.append(table.slice(0, window - seen))
         last = table if last is None else pa.concat_tables([last, table])
@@ -114,24 +117,26 @@ def _windows(batches, window: int, threshold: float):
                 us.append(node[a + close])
                 vs.append(node[a + close + step])
         if us:
-            yield from _found({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
+            yield from _found({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))}, found)
         tail = (node[-window:], group[-window:], rows[-window:])
     if seen:
         edge = pa.concat_tables([*first, last.slice(max(0, window - last.column("pos")[0].as_py()))])
-        yield from _found({c: edge.column(c).combine_chunks() for c in _EDGE.names})
+        yield from _found({c: edge.column(c).combine_chunks() for c in border.names}, found)
 
 
 def near_pairs(nodes: DataFrame, passes: int = PASSES, window: int = WINDOW, threshold: float = 0.93) -> DataFrame:
     """Verified links ``u``, ``v`` from the sorted passes over ``nodes`` (node, g, d, v), ``passes`` of them or more."""
+    x = nodes.schema["v"].dataType.elementType.simpleString()
+    found_sql = _types(x)[2]
     counts = materialize(nodes.groupBy("g", "d").agg(passes_for(F.count("*"), passes, window, threshold).alias("passes")))
-    keyed = nodes.join(counts, ["g", "d"]).mapInArrow(_keys, "node long, g int, d int, x array<float>, keys array<bigint>")
+    keyed = nodes.join(counts, ["g", "d"]).mapInArrow(_keys, f"node long, g string, d int, x array<{x}>, keys array<bigint>")
     each = keyed.select("node", "g", "d", "x", F.posexplode("keys").alias("p", "key"))
     n = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = each.repartitionByRange(n, "p", "g", "d", "key").sortWithinPartitions("p", "g", "d", "key")
-    found = materialize(dealt.mapInArrow(lambda b: _windows(b, window, threshold), _FOUND_SQL))
+    found = materialize(dealt.mapInArrow(lambda b: _windows(b, window, threshold, x), found_sql))
     # The rows beside the borders of all partitions: at most 2 * n * window, in the order of the pass.
     edges = found.where("u is null").drop("u", "v").repartition(1).sortWithinPartitions("p", "g", "d", "key", "pos")
-    across = edges.mapInArrow(lambda b: _windows(b, window, threshold), _FOUND_SQL).where("u is not null")
+    across = edges.mapInArrow(lambda b: _windows(b, window, threshold, x), found_sql).where("u is not null")
     return found.where("u is not null").select("u", "v").unionByName(across.select("u", "v")).distinct()
 
 
@@ -159,23 +164,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = P
     """One row per vector: key, n_links, component_id, kept.
 
     Vectors that are null, zero or empty, hold a null or non-finite component, or have no label or key link with
-    nothing and are kept; only vectors of one length are compared. Equal vectors of a label are one node with
-    their number, and a key that repeats names one vector. Only key, vector and label are read.
+    nothing and are kept; only vectors of one length are compared, in the precision that they have. Equal vectors of a
+    label are one node with their number. A key that repeats names a vector on each of its rows, each with the links
+    and component of its own. Only key, vector and label are read.
     """
-    v = F.col("v")
+    v, element = F.col("v"), vectors.schema[vector].dataType.elementType.simpleString()
     good = F.col("g").isNotNull() & F.col("k").isNotNull() & v.isNotNull() & (F.size(v) > 0)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     fine = good & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<float>").alias("v"), F.col(label).cast("int").alias("g")).withColumn("fine", fine)
+    given = F.col(vector).cast("array<float>" if element == "float" else "array<double>")
+    rows = vectors.select(F.col(key).cast("long").alias("k"), given.alias("v"), F.col(label).cast("string").alias("g")).withColumn("fine", fine)
     some = rows.where("fine").select("k", "v", "g")
-    nodes = materialize(some.groupBy("g", "v").agg(F.min("k").alias("node"), F.count("*").alias("times")).withColumn("d", F.size("v")))
+    nodes = some.groupBy("g", "v").agg(F.min("k").alias("low"), F.count("*").alias("times"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("d", F.size("v")))
     parts = materialize(connected_components(near_pairs(nodes.select("node", "g", "d", "v"), passes, window, threshold)))
-    sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    member = nodes.join(parts, "node").join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    least = parts.join(nodes.select("node", "low"), "node").groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.min("low").alias("low"))
+    sizes = materialize(least)
+    member = nodes.drop("low").join(parts, "node").join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("component", "d", "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "times", "v")
     counted = pairs.groupBy("component", "g", "d", "i", "j").applyInArrow(_count_links(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.join(parts, "node", "left").join(counted, "node", "left").select("g", "v", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    named = parts.join(sizes.select("component", F.col("low").alias("first")), "component").select("node", "first")
+    known = nodes.join(named, "node", "left").join(counted, "node", "left").select("g", "v", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("first", "low").alias("component_id"))
     linked = some.join(known, ["g", "v"]).select("k", "n_links", "component_id")
     alone = rows.where(~F.col("fine")).select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"))
     return linked.unionByName(alone).select(F.col("k").alias(key), "n_links", "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -576,6 +576,16 @@ def test_embeddings_against_all_pairs(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_repeated_ids_and_precision(spark):
+    """An id under two labels joins no groups; doubles are compared as doubles; labels may be words."""
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    near = [0.93, (1 - 0.93**2) ** 0.5 + 1e-9]  # a little under 0.93 in doubles, 0.93 in floats
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "x"), (3, b, "y"), (1, a, "x"), (5, near, "x"), (7, [3.0, 0.0], "y")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted(map(tuple, embeddings.near_duplicates(df).collect()))
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (5, 0, 5, True), (7, 0, 7, True)]
+
+
 def test_embeddings_group_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     rng = np.random.default_rng(5)
@@ -590,8 +600,8 @@ def test_embeddings_group_of_many_blocks(spark, monkeypatch):
 def test_embeddings_compare_across_partitions(spark):
     """With a window over all vectors every pair is compared, wherever the partitions' borders lie."""
     rng = np.random.default_rng(6)
-    rows = [(i, 0, 8, rng.random(8).tolist()) for i in range(90)]
-    got = embeddings.near_pairs(spark.createDataFrame(rows, "node long, g int, d int, v array<float>"), passes=1, window=100, threshold=0.0)
+    rows = [(i, "0", 8, rng.random(8).tolist()) for i in range(90)]
+    got = embeddings.near_pairs(spark.createDataFrame(rows, "node long, g string, d int, v array<float>"), passes=1, window=100, threshold=0.0)
     assert {(min(r), max(r)) for r in got.collect()} == set(itertools.combinations(range(90), 2))
 
 
