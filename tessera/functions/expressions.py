@@ -27,6 +27,11 @@ def filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def student_of(agent_id: Column) -> Column:
+    """The student that an agent id names: a key that is never null, empty for a graph without one."""
+    return F.coalesce(agent_id, F.lit(""))
+
+
 def node_type(node_id: Column) -> Column:
     """First character in upper case, ``?`` for an empty or null id."""
     return F.coalesce(filled(F.upper(F.substring(node_id, 1, 1))), F.lit("?"))

@@ -11,8 +11,8 @@ from tessera.functions import expressions as X
 KEYS = ("case_id", "source", "agent_id")
 
 
-def _node(kind: str, x: Column, pos: Column) -> Column:
-    """One node of any type as a common struct."""
+def _node(kind: str, x: Column, pos: Column, raw: bool) -> Column:
+    """One node of any type as a common struct; ``raw`` adds the whole node as JSON."""
     none = F.lit(None).cast("string")
     _, key = S.NODE_LISTS[kind]
     label = x["label"] if kind in "FIRO" else none
@@ -38,24 +38,25 @@ def _node(kind: str, x: Column, pos: Column) -> Column:
         citation.alias("citation"),
         authority.alias("authority"),
         X.node_weight(F.lit(kind), authority).alias("weight"),
-        F.to_json(x).alias("raw"),
+        *([F.to_json(x).alias("raw")] if raw else []),
     )
 
 
-def flatten_nodes(graphs: DataFrame) -> DataFrame:
-    """One row per node, types in the order F, I, R, A, C, O; a missing list is an empty one.
+def flatten_nodes(graphs: DataFrame, raw: bool = False) -> DataFrame:
+    """One row per node, types in the order F, I, R, A, C, O; a missing list is an empty one. With ``raw``, each node's
+    JSON too, which costs as much as all else and can't be pruned from a list that is exploded.
 
     The lists are joined before one explode, so a graph is read once and only the columns asked for later
     are read at all.
     """
     lists = []
     for kind, (column, _) in S.NODE_LISTS.items():
-        lists.append(F.coalesce(_typed(kind, column), F.array()))
+        lists.append(F.coalesce(_typed(kind, column, raw), F.array()))
     return graphs.select(*KEYS, F.explode(F.concat(*lists)).alias("n")).select(*KEYS, "n.*")
 
 
-def _typed(kind: str, column: str) -> Column:
-    return F.transform(F.col(column), lambda x, i: _node(kind, x, i))
+def _typed(kind: str, column: str, raw: bool) -> Column:
+    return F.transform(F.col(column), lambda x, i: _node(kind, x, i, raw))
 
 
 def flatten_edges(graphs: DataFrame) -> DataFrame:

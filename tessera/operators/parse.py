@@ -1,4 +1,4 @@
-"""From a model's answer to a checked graph: split, unwrap, decode, repair values, validate.
+"""From a model's answer to a checked graph: split, unwrap, decode, repair, validate.
 
 A response that can't be used becomes a row of the rejects with its reason; nothing raises.
 """
@@ -125,13 +125,15 @@ def with_defaults(graphs: DataFrame) -> DataFrame:
     return out.withColumns({c: q(F.col(c), F.array()) for c in [*(c for c, _ in S.NODE_LISTS.values()), "edges"]})
 
 
-def violations(graphs: DataFrame) -> DataFrame:
-    """One row per broken rule: case_id, source, agent_id, kind (id, enum, required, edge_ref), item, detail.
+VIOLATION = "array<struct<kind:string,item:string,detail:string>>"
+
 
-    Edge ends are held against the ids of their own graph inside the row, without a join.
+def broken_rules(ids: Column) -> Column:
+    """All broken rules of a graph as an array of (kind: id, enum, required or edge_ref; item; detail), in list order.
+
+    ``ids`` has the ids of the graph's own nodes; edge ends are held against them inside the row, without a join.
     """
-    keys = ["case_id", "source", "agent_id"]
-    q = F.coalesce
+    q, none = F.coalesce, F.array().cast(VIOLATION)
 
     def note(kind: str, item: Column, detail: Column, when: Column) -> Column:
         return F.when(when, F.struct(F.lit(kind).alias("kind"), q(item, F.lit("?")).alias("item"), detail.alias("detail")))
@@ -143,12 +145,10 @@ def violations(graphs: DataFrame) -> DataFrame:
             notes += [note("required", x[key], F.lit(f), x[f].isNull()) for f in required]
             return F.array(*notes)
 
-        return q(F.flatten(F.transform(F.col(items), one)), F.array().cast("array<struct<kind:string,item:string,detail:string>>"))
-
-    ids = F.concat(*(q(_ids(c, k), F.array().cast("array<string>")) for c, k in S.NODE_LISTS.values()))
+        return q(F.flatten(F.transform(F.col(items), one)), none)
 
     def ends(x: Column) -> Column:
-        return F.array(*(note("edge_ref", x["eid"], F.concat(F.lit(f"{e}="), q(x[e], F.lit(""))), ~q(F.array_contains(F.col("ids"), x[e]), F.lit(False))) for e in ("src", "dst")))
+        return F.array(*(note("edge_ref", x["eid"], F.concat(F.lit(f"{e}="), q(x[e], F.lit(""))), ~q(F.array_contains(ids, x[e]), F.lit(False))) for e in ("src", "dst")))
 
     found = F.concat(
         checks("facts", "fid", "F", {"polarity": "polarity"}, ("label",)),
@@ -158,36 +158,99 @@ def violations(graphs: DataFrame) -> DataFrame:
         checks("conclusions", "cid", "C", {"determination": "determination", "confidence": "confidence"}, ("determination", "support_refs")),
         checks("obligations", "oid", "O", {"status": "obligation_status"}, ("label", "required_by", "status", "jurisdiction")),
         checks("edges", "eid", "E", {"type": "edge_type"}, ("src", "dst", "type")),
-        q(F.flatten(F.transform("edges", ends)), F.array().cast("array<struct<kind:string,item:string,detail:string>>")),
+        q(F.flatten(F.transform("edges", ends)), none),
     )
-    return graphs.withColumn("ids", ids).select(*keys, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("v")).select(*keys, "v.*")
+    return F.filter(found, lambda x: x.isNotNull())
 
 
-def _ids(column: str, key: str) -> Column:
-    return F.transform(F.col(column), lambda x: x[key])
+def node_ids() -> Column:
+    return F.concat(*(F.coalesce(F.col(c)[k], F.array().cast("array<string>")) for c, k in S.NODE_LISTS.values()))
 
 
-def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid graphs, rejects) of ``responses`` (case_id, source, model_name, agent_id, text).
+def violations(graphs: DataFrame) -> DataFrame:
+    """One row per broken rule: case_id, source, agent_id, kind (id, enum, required, edge_ref), item, detail."""
+    keys = ["case_id", "source", "agent_id"]
+    return graphs.withColumn("ids", node_ids()).select(*keys, F.explode(broken_rules(F.col("ids"))).alias("v")).select(*keys, "v.*")
+
+
+#: Tokens of JSON text: strings (the last may be cut off), marks, and runs of anything else.
+JSON_TOKEN = r'"(?:[^"\\]++|\\.)*+"?|[\[\]{},:]|[^\s"\[\]{},:]++'
+
+
+def repair_json(blob: Column) -> Column:
+    """Text that isn't JSON as the JSON that it begins with: what stands after the object's end goes, and so does a comma
+    before a closing bracket; where the text is cut off, what is unfinished goes (a key without a value, a cut-off string
+    or word) and the brackets still open are closed. Null without any object."""
+    text = F.substring(blob, F.greatest(F.instr(blob, "{"), F.lit(1)), F.length(blob))
+    found = F.regexp_extract_all(text, F.lit(JSON_TOKEN), F.lit(0))
+    closer = ("}", "]")
+
+    def fold(tokens: Column) -> Column:
+        start = F.struct(F.lit(0).alias("i"), F.lit("").alias("open"), F.lit(0).alias("at"), F.lit("").alias("left"), F.lit("").alias("last"), F.lit(False).alias("done"))
 
-    The payload's own metadata is overwritten by the response's. Rejects carry a reason and the first 500
-    characters of what couldn't be used.
+        def step(a: Column, t: Column) -> Column:
+            stack = F.when(t == "{", F.concat(F.lit("}"), a["open"])).when(t == "[", F.concat(F.lit("]"), a["open"])).when(t.isin(*closer), F.substring(a["open"], F.lit(2), F.length(a["open"]))).otherwise(a["open"])
+            whole = t.startswith('"') & t.endswith('"') & (F.length(t) > 1) & ((a["last"] == ":") | a["open"].startswith("]"))
+            safe, before = t.isin(*closer) | whole, (t == ",") & ~a["last"].isin(",", ":")
+            i = a["i"] + 1
+            return F.when(a["done"], a).otherwise(
+                F.struct(
+                    i.alias("i"), stack.alias("open"), F.when(safe, i).when(before, a["i"]).otherwise(a["at"]).alias("at"), F.when(safe | before, stack).otherwise(a["left"]).alias("left"),
+                    t.alias("last"), (stack == "").alias("done"),
+                )
+            )
+
+        def close(a: Column) -> Column:
+            return F.concat(F.array_join(F.slice(tokens, F.lit(1), a["at"]), " "), a["left"])
+
+        return F.when((F.size(tokens) > 0) & (F.get(tokens, F.lit(0)) == "{"), F.aggregate(tokens, start, step, close))
+
+    bare = F.transform(F.array(found), lambda ts: F.filter(ts, lambda t, i: (t != ",") | ~F.coalesce(F.get(ts, i + 1).isin(*closer), F.lit(False))))
+    return F.element_at(F.transform(bare, fold), 1)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` computed once a row, whatever later filters and projections make of them."""
+    made = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return df.select("*", F.explode(F.array(made)).alias("_once")).select(*df.columns, "_once.*")
+
+
+def checked_responses(responses: DataFrame) -> DataFrame:
+    """Every response (case_id, source, model_name, agent_id, text) with the graph decoded from it: the graph's lists,
+    ``changes``, ``n_changes``, ``repaired``, ``blob``, and ``reason``, why it can't be used (null for valid graphs).
+
+    Each row is decided on its own, so responses that share ids don't touch each other. The payload's own metadata is
+    overwritten by the response's.
     """
     meta = ["case_id", "source", "model_name", "agent_id"]
-    prose, blob = split_response(F.col("text"))
-    rows = responses.withColumn("prose", prose).withColumn("blob", strip_fence(blob))
-    rows = rows.withColumn("g", F.from_json("blob", S.GRAPH_DDL + ", _broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
-    broken = F.col("blob").isNull() | F.col("g").isNull() | F.col("g._broken").isNotNull()
-    reason = F.when(F.col("blob").isNull(), "no graph found").when(broken, "graph can't be decoded")
-    rows = rows.withColumn("reason", reason)
     lists = [*(c for c, _ in S.NODE_LISTS.values()), "edges"]
-    graphs = with_defaults(sanitize(rows.where("reason is null").select(*meta, *(F.col(f"g.{c}").alias(c) for c in lists), "blob")))
-    bad = violations(graphs).groupBy("case_id", "source", "agent_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "kind", "item", "detail"))), "; ").alias("reason"))
-    b = bad.withColumnsRenamed({"case_id": "_c", "source": "_s", "agent_id": "_a"})
-    on = F.col("case_id").eqNullSafe(F.col("_c")) & F.col("source").eqNullSafe(F.col("_s")) & F.col("agent_id").eqNullSafe(F.col("_a"))
-    good = graphs.join(b, on, "left_anti").drop("blob")
-    rejects = rows.where("reason is not null").select(*meta, "reason", F.substring(F.coalesce("blob", "text"), 1, 500).alias("excerpt"))
-    return good, rejects.unionByName(graphs.join(b, on).select(*meta, "reason", F.substring("blob", 1, 500).alias("excerpt")))
+    ddl, mode = S.GRAPH_DDL + ", _broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    _, blob = split_response(F.col("text"))
+    rows = once(responses.select(*meta, "text"), blob=strip_fence(blob))
+    rows = once(rows, g=F.from_json("blob", ddl, mode))
+    broken = F.col("blob").isNotNull() & (F.col("g").isNull() | F.col("g._broken").isNotNull())
+    rows = once(rows, mended=F.when(broken, F.from_json(repair_json(F.col("blob")), ddl, mode)))
+    empty = F.lit(True)
+    for c in lists[:-1]:
+        empty = empty & (F.coalesce(F.size(F.col(f"mended.{c}")), F.lit(0)) <= 0)
+    usable = F.col("mended").isNotNull() & F.col("mended._broken").isNull() & ~empty
+    reason = F.when(F.col("blob").isNull(), "no graph found").when(broken & ~usable, "graph can't be decoded")
+    rows = once(rows, reason=reason, repaired=broken & usable, h=F.when(broken, F.col("mended")).otherwise(F.col("g")))
+    rows = rows.select(*meta, F.substring(F.coalesce("blob", "text"), 1, 500).alias("excerpt"), "reason", "repaired", *(F.col(f"h.{c}").alias(c) for c in lists))
+    fixed = with_defaults(sanitize(rows))
+    found = F.when(F.col("reason").isNull(), broken_rules(node_ids()))
+    told = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda v: F.concat_ws(" ", v["kind"], v["item"], v["detail"])))), "; ")
+    return once(fixed, _told=F.nullif(told, F.lit(""))).withColumn("reason", F.coalesce("reason", "_told")).drop("_told")
+
+
+def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid graphs, rejects) of ``responses`` (case_id, source, model_name, agent_id, text).
+
+    Rejects carry a reason and the first 500 characters of what couldn't be used. A graph whose JSON had to be mended
+    says so in ``repaired``.
+    """
+    rows = checked_responses(responses)
+    return rows.where("reason is null").drop("reason", "excerpt"), rows.where("reason is not null").select("case_id", "source", "model_name", "agent_id", "reason", "excerpt")
 
 
 def build_prompt(template: Column, statutes: Column, facts: Column, question: Column) -> Column:

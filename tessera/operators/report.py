@@ -23,7 +23,7 @@ def results_table(scores: DataFrame, cases: DataFrame, counts: DataFrame) -> Dat
 def graph_counts(teacher: DataFrame, student: DataFrame) -> DataFrame:
     """Node counts of student graphs, with the teacher graph's total (0 without one)."""
     t = teacher.groupBy("case_id").agg(F.max("total").alias("teacher_nodes"))
-    s = student.select("case_id", F.col("agent_id").alias("student"), F.col("total").alias("student_nodes"), "f", "i", "r", "a", "c", "o")
+    s = student.select("case_id", X.student_of(F.col("agent_id")).alias("student"), F.col("total").alias("student_nodes"), "f", "i", "r", "a", "c", "o")
     return s.join(t, "case_id", "left").na.fill(0, ["teacher_nodes"])
 
 

@@ -14,6 +14,12 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly where its files come in fewer parts than there are cores to read them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """Order lines with what graphs need; ``n`` numbers an order's lines, ``m`` those that are open."""
     w = Window.partitionBy("l_orderkey").orderBy(*ORDERING)
@@ -86,20 +92,21 @@ def order_graphs(rows: DataFrame, number: str, source: str) -> DataFrame:
     )
 
 
-def teacher_graphs(spark: SparkSession, d: str) -> DataFrame:
-    return order_graphs(lines(spark, d), "n", "reference")
+def teacher_graphs(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """Graphs of all lines; ``rows`` are the lines where a query has written them once for several readers."""
+    return order_graphs(lines(spark, d) if rows is None else rows, "n", "reference")
 
 
-def student_graphs(spark: SparkSession, d: str) -> DataFrame:
-    return order_graphs(lines(spark, d), "m", "agent")
+def student_graphs(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    return order_graphs(lines(spark, d) if rows is None else rows, "m", "agent")
 
 
-def given_alignment(spark: SparkSession, d: str) -> DataFrame:
+def given_alignment(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     """Each line's nodes with those of the same open line; orders of low priority are aligned with nothing.
 
     Only orders with a student graph are listed.
     """
-    rows = lines(spark, d).withColumn("case_id", F.col("l_orderkey").cast("string"))
+    rows = (lines(spark, d) if rows is None else rows).withColumn("case_id", F.col("l_orderkey").cast("string"))
     heads = rows.groupBy("case_id", "o_orderpriority").agg(F.count("m").alias("open")).where("open > 0")
     fixed = heads.select("case_id", "o_orderpriority", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(1).alias("n"), F.lit(1).alias("m")) for k in "ICO"))).alias("x"))
     each = rows.join(heads.select("case_id"), "case_id").select("case_id", "o_orderpriority", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("n"), F.col("m")) for k in "FRA"))).alias("x"))

@@ -153,7 +153,7 @@ def narrative(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT *, 'b' FROM y WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.case_id = y.case_id AND x.node_type = y.node_type AND x.key = y.key)""",
 )
 def label_diff(spark: SparkSession, d: str) -> DataFrame:
-    return explain.label_diff(A.teacher_graphs(spark, d), A.student_graphs(spark, d))
+    return explain.label_diff(*_graphs(spark, d)[:2])
 
 
 @query(
@@ -162,7 +162,7 @@ def label_diff(spark: SparkSession, d: str) -> DataFrame:
     SELECT t.l_orderkey::VARCHAR AS case_id, 'open' AS student, 3 * t.c - 3 * s.c AS node_delta, 0::BIGINT AS obligation_delta FROM t JOIN s ON t.l_orderkey = s.l_orderkey""",
 )
 def node_deltas(spark: SparkSession, d: str) -> DataFrame:
-    t, s = nodes.node_counts(A.teacher_graphs(spark, d)), nodes.node_counts(A.student_graphs(spark, d))
+    t, s = map(nodes.node_counts, _graphs(spark, d)[:2])
     both = report.graph_counts(t, s).join(t.select("case_id", F.col("o").alias("teacher_o")), "case_id")
     return report.node_deltas(both)
 
@@ -184,12 +184,18 @@ ei AS (SELECT mp.case_id, eid AS teacher_eid, mp.src AS teacher_src, mp.dst AS t
 pairs AS (SELECT DISTINCT case_id FROM al) """
 
 
+def _graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Teacher and student graphs and the lines they are made from, each written once."""
+    rows = materialize(A.lines(spark, d))
+    return materialize(A.teacher_graphs(spark, d, rows)), materialize(A.student_graphs(spark, d, rows)), rows
+
+
 def _given(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    t, s = materialize(A.teacher_graphs(spark, d)), materialize(A.student_graphs(spark, d))
+    t, s, rows = _graphs(spark, d)
     both = materialize(al.pair_sides(nodes.flatten_nodes(t), nodes.flatten_nodes(s)).drop("match_text"))
     te = nodes.flatten_edges(t).withColumns({"student": F.lit("open"), "side": F.lit("t")})
     se = nodes.flatten_edges(s).withColumns({"student": F.col("agent_id"), "side": F.lit("s")})
-    return both, materialize(A.given_alignment(spark, d)), te.unionByName(se)
+    return both, materialize(A.given_alignment(spark, d, rows)), te.unionByName(se)
 
 
 @query("v_miss", _DIFF + "SELECT * FROM vm")
@@ -407,7 +413,7 @@ al AS (SELECT t.case_id, t.node_type, t.node_id AS teacher_id, s.node_id AS stud
 @query("full_sweep", _SWEEP + _LGED)
 def full_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Order graphs aligned from scratch, citations first, and scored."""
-    t, s = materialize(A.teacher_graphs(spark, d)), materialize(A.student_graphs(spark, d))
+    t, s, _ = _graphs(spark, d)
     return sweep.sweep(t, s)[0].drop("student", "teacher_nodes", "student_nodes")
 
 
@@ -446,7 +452,7 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
         .when(kind == "signup", "No graph at all")
         .otherwise(c(lit(f"P {mark} "), "js"))
     )
-    rows = A.read(spark, d, "events").withColumn("js", js)
+    rows = A.spread(A.read(spark, d, "events")).withColumn("js", js)
     return rows.select(ident.alias("case_id"), lit("agent").alias("source"), lit("m").alias("model_name"), kind.alias("agent_id"), text.alias("text"))
 
 
@@ -487,16 +493,24 @@ def sanitize(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("parse_valid", "SELECT event_id::VARCHAR AS case_id, event_type AS agent_id, 1::BIGINT AS n_edges FROM events WHERE event_type = 'purchase'")
+#: A cut-off answer whose label was still complete is mended into a graph of one fact; the others lack their label.
+_CUT = "length(event_id::VARCHAR) + length(user_id::VARCHAR) <= 4"
+
+
+@query(
+    "parse_valid",
+    f"""SELECT event_id::VARCHAR AS case_id, event_type AS agent_id, (event_type = 'purchase')::BIGINT AS n_edges, event_type = 'error' AS repaired
+    FROM events WHERE event_type = 'purchase' OR event_type = 'error' AND {_CUT}""",
+)
 def parse_valid(spark: SparkSession, d: str) -> DataFrame:
     good, _ = parse.parse_responses(responses(spark, d))
-    return good.select("case_id", "agent_id", F.size("edges").cast("long").alias("n_edges"))
+    return good.select("case_id", "agent_id", F.size("edges").cast("long").alias("n_edges"), "repaired")
 
 
 @query(
     "parse_rejects",
-    """SELECT event_id::VARCHAR AS case_id, event_type AS agent_id, CASE event_type WHEN 'signup' THEN 'no graph found' WHEN 'error' THEN 'graph can''t be decoded' ELSE 'edge_ref E1 dst=R2' END AS reason
-    FROM events WHERE event_type <> 'purchase'""",
+    f"""SELECT event_id::VARCHAR AS case_id, event_type AS agent_id, CASE event_type WHEN 'signup' THEN 'no graph found' WHEN 'error' THEN 'required F' || event_id || ' label' ELSE 'edge_ref E1 dst=R2' END AS reason
+    FROM events WHERE event_type <> 'purchase' AND NOT (event_type = 'error' AND {_CUT})""",
 )
 def parse_rejects(spark: SparkSession, d: str) -> DataFrame:
     _, bad = parse.parse_responses(responses(spark, d))
