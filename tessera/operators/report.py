@@ -29,7 +29,7 @@ def graph_counts(teacher: DataFrame, student: DataFrame) -> DataFrame:
 
 def node_type_table(results: DataFrame) -> DataFrame:
     names = {"f": "F", "i": "I", "r": "R", "a": "A", "c": "C", "o": "O"}
-    return results.select(F.col("case_id").alias("Case"), F.col("student").alias("Student"), *(F.col(k).alias(f"n_{v}") for k, v in names.items()), F.col("student_nodes").alias("Total"))
+    return results.select(F.col("case_id").alias("Case"), F.col("student").alias("Student"), *(F.col(k).alias(v) for k, v in names.items()), F.col("student_nodes").alias("Total"))
 
 
 def tier_summary(results: DataFrame) -> DataFrame:

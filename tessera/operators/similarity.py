@@ -5,7 +5,7 @@ Nodes come as a table with the group, ``side`` (t or s), ``pos``, ``node_id`` an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
@@ -13,13 +13,34 @@ from tessera.functions.tables import materialize
 
 GROUP = ["case_id", "student", "node_type"]
 NODE = [*GROUP, "side", "pos"]
+#: Nodes of one side that meet those of the other in one place.
+BLOCK = 512
+
+
+def _met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of ``rows`` (with ``n_t`` and ``n_s``, how many of each side share a group or term), dealt into blocks ``i`` of
+    the teacher's and ``j`` of the student's, so that each pair meets once and no key, however common, meets in one place."""
+
+    def blocks(side: str) -> Column:
+        return F.ceil(F.col(f"n_{side}") / F.lit(BLOCK)).cast("int")
+
+    def dealt(side: str, own: str, other: str) -> DataFrame:
+        out = rows.where((F.col("side") == side) & (F.col(f"n_{'s' if side == 't' else 't'}") > 0))
+        out = out.withColumn(own, F.when(blocks(side) == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("pos"), blocks(side)).cast("int")))
+        return out.withColumn(other, F.explode(F.sequence(F.lit(0), blocks("s" if side == "t" else "t") - 1)))
+
+    return dealt("t", "i", "j"), dealt("s", "j", "i")
+
+
+def _sides() -> list[Column]:
+    return [F.count_if(F.col("side") == s).alias(f"n_{s}") for s in "ts"]
 
 
 def tfidf_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs with cosine >= threshold (> 0) of TF-IDF vectors over words and word pairs.
 
     idf = ln((1 + n) / (1 + df)) + 1 over the texts of the group, both sides, empty ones too. Only pairs that
-    share a term meet, in a join by (group, term) for which term counts are already dealt; the norms are a
+    share a term meet, in a join by (group, term) and, where a term is common, by blocks of it; the norms are a
     small sum by node. A group in which no text has a term falls back to equality of trimmed lower-case texts.
     """
     if threshold <= 0:
@@ -28,14 +49,14 @@ def tfidf_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     words = nodes.select(*NODE, X.tokens(F.col("match_text")).alias("words"))  # a step of its own, so that texts are cut once
     counted = words.select(*NODE, F.explode(X.terms(F.col("words"))).alias("term")).groupBy(*NODE, "term").agg(F.count("*").alias("tf"))
     # a hash leads the keys: sorts then settle nearly all rows by one number; the keys themselves still decide
-    counted = counted.withColumn("h", F.xxhash64(*GROUP, "term"))
-    by_term = Window.partitionBy("h", *GROUP, "term")
-    weighted = counted.withColumn("df", F.count("*").over(by_term)).join(n.select(*GROUP, "n"), GROUP)
+    counted = materialize(counted.withColumn("h", F.xxhash64(*GROUP, "term")))
+    by_term = counted.groupBy("h", *GROUP, "term").agg(*_sides()).join(n.select(*GROUP, "n"), GROUP)
+    weighted = counted.join(by_term, ["h", *GROUP, "term"]).withColumn("df", F.col("n_t") + F.col("n_s"))
     # both sides of the join and the norms read the term weights: they are written once
-    weighted = materialize(weighted.withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).select("h", *NODE, "term", "w"))
+    weighted = materialize(weighted.withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).select("h", *NODE, "term", "w", "n_t", "n_s"))
     norms = weighted.groupBy(*NODE).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    side = {s: weighted.where(F.col("side") == s).select("h", *GROUP, "term", F.col("pos").alias(f"{s}_pos"), F.col("w").alias(f"w_{s}")) for s in "ts"}
-    dots = side["t"].join(side["s"], ["h", *GROUP, "term"]).groupBy(*GROUP, "t_pos", "s_pos").agg(F.sum(F.col("w_t") * F.col("w_s")).alias("dot"))
+    t, s = (rows.select("h", *GROUP, "term", "i", "j", F.col("pos").alias(f"{side}_pos"), F.col("w").alias(f"w_{side}")) for rows, side in zip(_met(weighted), "ts", strict=True))
+    dots = t.join(s, ["h", *GROUP, "term", "i", "j"]).groupBy(*GROUP, "t_pos", "s_pos").agg(F.sum(F.col("w_t") * F.col("w_s")).alias("dot"))
     for s in "ts":
         dots = dots.join(norms.where(F.col("side") == s).select(*GROUP, F.col("pos").alias(f"{s}_pos"), F.col("norm").alias(f"norm_{s}")), [*GROUP, f"{s}_pos"])
     close = dots.withColumn("similarity", F.round(F.col("dot") / (F.col("norm_t") * F.col("norm_s")), 12)).select(*GROUP, "t_pos", "s_pos", "similarity")
@@ -50,16 +71,17 @@ def tfidf_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
 def embedding_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs with cosine >= threshold of given vectors (column ``vector``); nodes without one are an error.
 
-    Vectors are scaled to unit length once, so that a pair costs one product.
+    Vectors are scaled to unit length once, so that a pair costs one product; a group's sides meet block by block.
     """
     v = F.transform("vector", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     checked = F.when(F.col("vector").isNull(), F.raise_error(F.lit("a node has no vector"))).otherwise(F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))))
-    unit = nodes.withColumn("u", checked)
-    t = unit.where("side = 't'").select(*GROUP, F.col("pos").alias("t_pos"), F.col("u").alias("a"))
-    s = unit.where("side = 's'").select(*GROUP, F.col("pos").alias("s_pos"), F.col("u").alias("b"))
+    unit = materialize(nodes.select(*NODE, checked.alias("u")))
+    t, s = _met(unit.join(unit.groupBy(*GROUP).agg(*_sides()), GROUP))
+    t = t.select(*GROUP, "i", "j", F.col("pos").alias("t_pos"), F.col("u").alias("a"))
+    s = s.select(*GROUP, "i", "j", F.col("pos").alias("s_pos"), F.col("u").alias("b"))
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    return t.join(s, GROUP).withColumn("similarity", F.round(dot, 12)).where(F.col("similarity") >= F.lit(threshold)).select(*GROUP, "t_pos", "s_pos", "similarity")
+    return t.join(s, [*GROUP, "i", "j"]).withColumn("similarity", F.round(dot, 12)).where(F.col("similarity") >= F.lit(threshold)).select(*GROUP, "t_pos", "s_pos", "similarity")
 
 
 def citation_pairs(rules: DataFrame) -> DataFrame:

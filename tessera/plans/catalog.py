@@ -64,7 +64,7 @@ def edge_weights(spark: SparkSession, d: str) -> DataFrame:
     return nodes.edges_with_weights(nodes.flatten_edges(g), nodes.flatten_nodes(g)).select("case_id", "pos", "eid", "src", "dst", "type", "weight")
 
 
-@query("drawable_edges", _TN + "SELECT case_id, eid FROM ed WHERE (case_id, src) IN (SELECT case_id, node_id FROM nd) AND (case_id, dst) IN (SELECT case_id, node_id FROM nd)")
+@query("drawable_edges", _TN[:-1] + ", id AS MATERIALIZED (SELECT DISTINCT case_id, node_id FROM nd) SELECT ed.case_id, eid FROM ed JOIN id a ON ed.case_id = a.case_id AND src = a.node_id JOIN id b ON ed.case_id = b.case_id AND dst = b.node_id")
 def drawable_edges(spark: SparkSession, d: str) -> DataFrame:
     g = materialize(A.teacher_graphs(spark, d))
     return nodes.drawable_edges(nodes.flatten_edges(g), nodes.flatten_nodes(g)).select("case_id", "eid")
@@ -148,9 +148,10 @@ def narrative(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "label_diff",
     f"""WITH {Q.LINES}, {Q.nodes('tl', 'a')}, {Q.nodes('sl', 'b')},
-    x AS (SELECT case_id, node_type, lower(trim(label)) AS key, node_id FROM a), y AS (SELECT case_id, node_type, lower(trim(label)) AS key, node_id FROM b)
-    SELECT *, 'a' AS side FROM x WHERE NOT EXISTS (SELECT 1 FROM y WHERE x.case_id = y.case_id AND x.node_type = y.node_type AND x.key = y.key)
-    UNION ALL SELECT *, 'b' FROM y WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.case_id = y.case_id AND x.node_type = y.node_type AND x.key = y.key)""",
+    x AS MATERIALIZED (SELECT case_id, node_type, lower(trim(label)) AS key, node_id FROM a), y AS MATERIALIZED (SELECT case_id, node_type, lower(trim(label)) AS key, node_id FROM b),
+    kx AS MATERIALIZED (SELECT DISTINCT case_id, node_type, key FROM x), ky AS MATERIALIZED (SELECT DISTINCT case_id, node_type, key FROM y)
+    SELECT x.*, 'a' AS side FROM x LEFT JOIN ky ON x.case_id = ky.case_id AND x.node_type = ky.node_type AND x.key = ky.key WHERE ky.key IS NULL
+    UNION ALL SELECT y.*, 'b' FROM y LEFT JOIN kx ON y.case_id = kx.case_id AND y.node_type = kx.node_type AND y.key = kx.key WHERE kx.key IS NULL""",
 )
 def label_diff(spark: SparkSession, d: str) -> DataFrame:
     return explain.label_diff(*_graphs(spark, d)[:2])
@@ -552,7 +553,7 @@ def results_table(spark: SparkSession, d: str) -> DataFrame:
     return results(spark, d)
 
 
-@query("node_type_table", _LAB + 'SELECT case_id AS "Case", student AS "Student", f AS "n_F", i AS "n_I", r AS "n_R", a AS "n_A", c AS "n_C", o AS "n_O", student_nodes AS "Total" FROM res')
+@query("node_type_table", _LAB + 'SELECT case_id AS "Case", student AS "Student", f AS "F", i AS "I", r AS "R", a AS "A", c AS "C", o AS "O", student_nodes AS "Total" FROM res')
 def node_type_table(spark: SparkSession, d: str) -> DataFrame:
     return report.node_type_table(results(spark, d))
 

@@ -7,7 +7,7 @@ from tessera.plans.adapters import ORDERING
 _ORD = ", ".join(ORDERING)
 
 LINES = f"""
-ln AS (
+ln AS MATERIALIZED (
   SELECT li.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORD}) AS n,
          CASE WHEN l_linestatus = 'O' THEN row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY {_ORD}) END AS m,
          p_name, p_type, p_size, s_name, s_nationkey, n_name, o_orderpriority, o_orderstatus, o_orderdate
@@ -28,7 +28,7 @@ def nodes(src: str, name: str) -> str:
     """CTE ``name``: the nodes of graphs made from lines ``src`` (tl or sl)."""
     head = f"(SELECT DISTINCT l_orderkey, o_orderpriority, o_orderstatus FROM {src})"
     return f"""
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT l_orderkey::VARCHAR AS case_id, 'F' AS node_type, (k - 1)::INT AS pos, 'F' || k AS node_id, p_name AS label, p_name AS match_text,
          NULL::VARCHAR AS citation, NULL::VARCHAR AS authority, 1.0::DOUBLE AS weight FROM {src}
   UNION ALL SELECT l_orderkey::VARCHAR, 'I', 0, 'I1', o_orderpriority, o_orderpriority, NULL, NULL, 1.5 FROM {head}
@@ -45,7 +45,7 @@ def edges(src: str, name: str) -> str:
     """CTE ``name``: the edges of graphs made from lines ``src``."""
     uses = "'applies-to'" if src == "tl" else "CASE WHEN l_returnflag = 'R' THEN 'supports' ELSE 'applies-to' END"
     return f"""
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT l_orderkey::VARCHAR AS case_id, (3 * k - 3)::INT AS pos, 'E' || (3 * k - 2) AS eid, 'F' || k AS src, 'I1' AS dst, 'triggers' AS type,
          CASE WHEN l_returnflag = 'A' THEN 'returned' END AS justification FROM {src}
   UNION ALL SELECT l_orderkey::VARCHAR, (3 * k - 2)::INT, 'E' || (3 * k - 1), 'F' || k, 'A' || k, {uses}, NULL FROM {src}
