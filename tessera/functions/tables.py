@@ -1,24 +1,69 @@
-"""Intermediate tables in the shared folder."""
+"""Intermediate tables in the shared folder, and the package's own code on the workers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+import weakref
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_ROOTS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_SHIPPED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it again, which ends its lineage.
 
-    Where the setting is absent, as in tests, a temporary folder is set and used.
+def shared_root(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``, which all executors see; removed when the application ends.
+
+    Where the setting is absent and everything runs in one process, as in tests, a temporary folder is set and used. On a
+    cluster its absence is an error: a folder of one machine would be another one on each executor.
     """
+    context = spark.sparkContext
+    if context not in _ROOTS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            base = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
+            spark.conf.set("spark.checkpoint.dir", base)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(base)
+        root = f"{base.rstrip('/')}/tessera-{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        store = path.getFileSystem(context._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _ROOTS[context] = root
+    return _ROOTS[context]
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder in the shared one."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: lineage ends there, and a
+    lost executor costs nothing but its running tasks."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = folder or shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application, for the steps that run Python there."""
+    context = spark.sparkContext
+    if context in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.TemporaryDirectory(prefix="tessera-code-")
+    archive = os.path.join(folder.name, f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, str(file.relative_to(package.parent)))
+    context.addPyFile(archive)
+    _SHIPPED[context] = folder  # kept while the application may ask for it

@@ -8,6 +8,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import schema as S
+from tessera.functions.tables import materialize
+from tessera.operators import align, diff
+from tessera.operators.assign import greedy_assign
+
+#: Between a student and a threshold in the name that stands for both.
+_AT = "\x1f"
+
+
+def threshold_scores(nodes: DataFrame, edges: DataFrame, thresholds: Sequence[float] = S.CALIBRATION_THRESHOLDS, backend: str = "tfidf") -> DataFrame:
+    """Every pair of graphs aligned and scored at each threshold: threshold, case_id, student, counts and ``l_ged``.
+
+    ``nodes`` has both sides and ``edges`` too, as alignment and discrepancies take them. Similarities are computed once,
+    at the least threshold; rules matched by citation are the same at all. The pairs of all thresholds are then assigned
+    and scored in one job, each threshold standing for a student of its own.
+    """
+    nodes = materialize(nodes)
+    cited, pairs = align.candidates(nodes, backend, min(thresholds))
+    levels = F.broadcast(nodes.sparkSession.createDataFrame([(float(t),) for t in sorted(set(thresholds))], "threshold double"))  # as many rows as thresholds
+
+    def at(df: DataFrame) -> DataFrame:
+        return df.crossJoin(levels).withColumn("student", F.concat("student", F.lit(_AT), F.col("threshold").cast("string")))
+
+    every = materialize(at(nodes).drop("threshold", "match_text", "citation", "vector"))
+    assigned = greedy_assign(at(pairs).where(F.col("similarity") >= F.col("threshold")).drop("threshold"))
+    aligned = materialize(align.matched(every, at(cited).drop("threshold"), assigned, backend))
+    scores = diff.l_ged(diff.v_miss(every, aligned), diff.v_halluc(every, aligned), diff.e_diff(every, aligned, at(edges).drop("threshold")), every)
+    place = F.length("student") - F.instr(F.reverse(F.col("student")), _AT)
+    return scores.withColumn("threshold", F.substring_index("student", _AT, -1).cast("double")).withColumn("student", F.substring(F.col("student"), F.lit(1), place))
 
 
 def judge(scores: DataFrame, better: str, worse: str, targets: Mapping[str, int] = S.CALIBRATION_TARGETS) -> DataFrame:

@@ -54,3 +54,5 @@ TFIDF_THRESHOLD, EMBEDDING_THRESHOLD = 0.10, 0.55
 JSON_MARKER = "=== JSON GRAPH ==="
 CALIBRATION_THRESHOLDS = (0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40)
 CALIBRATION_TARGETS = {"v_miss_min": 18, "v_miss_max": 22, "v_halluc_max": 10}
+#: The fields of a graph, in order.
+GRAPH_FIELDS = ("case_id", "source", "model_name", "agent_id", *(column for column, _ in NODE_LISTS.values()), "edges")

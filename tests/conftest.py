@@ -13,7 +13,6 @@ def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "3")
-        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.default.parallelism", "4")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")

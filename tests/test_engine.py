@@ -332,6 +332,59 @@ def test_report_tables(spark):
     assert report.render_html(res).count("<tr>") == 5 + 5 + 4
 
 
+def test_sweep_tells_what_could_not_be_compared(spark):
+    """One bad graph takes out its own pairs only; a student without an agent id has scores like any other."""
+    t = frame(spark, baseline(), baseline(case_id="E2", facts=[fact("F1", "x"), fact("fact-2", "y")]), baseline(case_id="E3", rules=[], edges=[]))
+    mute = student(rules=[], edges=[edge("E1", "F1", "I1", "triggers")]) | {"agent_id": None}
+    s = frame(spark, mute, student(), student(edges=[edge("E1", "F1", "F99", "triggers")]) | {"agent_id": "bad"}, student(case_id="E2"), student(case_id="E4"))
+    scores, reports, errors = sweep.sweep(t, s)
+    assert {(r["case_id"], r["student"]): r["l_ged"] for r in scores.collect()} == {("E1", ""): 4.0, ("E1", "s"): 0.0}
+    assert {(r["case_id"], r["student_id"]) for r in reports.collect()} == {("E1", ""), ("E1", "s")}
+    assert {(r["case_id"], r["student"]): r["error"] for r in errors.collect()} == {("E1", "bad"): "edge_ref E1 dst=F99", ("E2", "s"): "teacher: id fact-2 not F and a number", ("E4", "s"): "no teacher graph"}
+    assert sweep.select_pairs(s, ["E1"], [""]).count() == 1
+
+
+def test_threshold_scores_are_those_of_each_threshold(spark):
+    words = ["the tool screens resumes", "the tool ranks resumes of applicants", "notice was given late", "notice was not given", "an audit took place", "no audit took place at all"]
+    t = frame(spark, baseline(facts=[fact(f"F{i + 1}", w) for i, w in enumerate(words[::2])]))
+    s = frame(spark, student(facts=[fact(f"F{i + 1}", w) for i, w in enumerate(words[1::2])]), baseline("agent", "w", facts=[fact("F1", "quite other words")]))
+    both = al.pair_sides(nodes.flatten_nodes(t), nodes.flatten_nodes(s))
+    pairs = both.select("case_id", "student").distinct()
+    e = nodes.flatten_edges(t).drop("agent_id").join(pairs, "case_id").withColumn("side", F.lit("t")).unionByName(nodes.flatten_edges(s).withColumnRenamed("agent_id", "student").withColumn("side", F.lit("s")))
+    levels, cols = (0.1, 0.3, 0.5), ("case_id", "student", "v_miss", "v_halluc", "e_diff", "l_ged")
+    got = {(r["threshold"], *(r[c] for c in cols)) for r in calibrate.threshold_scores(both, e, levels).collect()}
+    want = set()
+    for level in levels:
+        a = al.align(both, threshold=level)
+        want |= {(level, *(r[c] for c in cols)) for r in diff.l_ged(diff.v_miss(both, a), diff.v_halluc(both, a), diff.e_diff(both, a, e), both).collect()}
+    assert got == want and len({r[3] for r in want}) > 1
+    judged = calibrate.judge(calibrate.threshold_scores(both, e, levels).where("case_id = 'E1'"), "s", "w")
+    assert calibrate.recommend(judged).count() == 1
+
+
+def test_responses_that_share_ids(spark):
+    bad = GOOD.replace('"I1", "type"', '"F99", "type"')
+    df = spark.createDataFrame([("E1", "agent", "m", "s", t) for t in (GOOD, bad, GOOD, "none")], "case_id string, source string, model_name string, agent_id string, text string")
+    good, rejects = parse.parse_responses(df)
+    assert good.count() == 2 and sorted(r["reason"] for r in rejects.collect()) == ["edge_ref E1 dst=F99", "no graph found"]
+
+
+@pytest.mark.parametrize("text,want", [
+    ('{"a": 1, "b": [1, 2,], }x', {"a": 1, "b": [1, 2]}), ('{"a": {"b": [{"c": "d"}, {"e"', {"a": {"b": [{"c": "d"}]}}), ('x {"a": "} \\" ]"} y', {"a": '} " ]'}),
+    ('{"a": [ "p", "q', {"a": ["p"]}), ('{"a": "b", "c": "d"', {"a": "b", "c": "d"}), ('{"a": "b", "c": tru', {"a": "b"}), ('{"a": 1, "k', {"a": 1}), ("none", None), ("{", {}), ('{"a": {}', {"a": {}}),
+])
+def test_repair(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(parse.repair_json(F.col("t"))).first()[0]
+    assert (json.loads(got) if got else None) == (want or None)
+
+
+def test_mended_graphs_say_so(spark):
+    cut = GOOD[: GOOD.index('"edges"') + 12]
+    good, bad = parsed(spark, f"{S.JSON_MARKER} {cut}")
+    assert not bad and good[0]["repaired"] and [f["fid"] for f in good[0]["facts"]] == ["F1"] and good[0]["edges"] == []
+    assert not parsed(spark, GOOD)[0][0]["repaired"]
+
+
 def test_calibration(spark):
     rows = [(0.1, "b", 40, 19, 10.0), (0.1, "w", 1, 1, 9.0), (0.2, "b", 20, 9, 5.0), (0.2, "w", 1, 1, 9.0), (0.3, "b", 21, 3, 5.0), (0.3, "w", 1, 1, 9.0)]
     df = spark.createDataFrame(rows, "threshold double, student string, v_miss long, v_halluc long, l_ged double")
@@ -341,8 +394,9 @@ def test_calibration(spark):
 
 def test_sweep_resumes(spark):
     t = frame(spark, baseline(), baseline(case_id="E2"))
-    s = frame(spark, student(rules=[]), student(case_id="E2", agent_id="s"), student(case_id="Z9"))
-    scores, reports = sweep.sweep(t, s)
+    s = frame(spark, student(rules=[], edges=[edge("E1", "F1", "I1", "triggers")]), student(case_id="E2", agent_id="s"), student(case_id="Z9"))
+    scores, reports, errors = sweep.sweep(t, s)
+    assert [tuple(r) for r in errors.collect()] == [("Z9", "s", "no teacher graph")]
     assert {(r["case_id"], r["student"]): (r["l_ged"], r["teacher_nodes"], r["student_nodes"]) for r in scores.collect()} == {("E1", "s"): (4.0, 4, 3), ("E2", "s"): (0.0, 4, 4)}
     assert {r["case_id"]: len(r["v_miss"]) for r in reports.collect()} == {"E1": 1, "E2": 0}
     done = scores.where("case_id = 'E1'").select("case_id", "student")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import report
-from tessera.sources import cache, cases, graphs
+from tessera.sources import cache, cases, files, graphs
 from tessera.streaming import responses
 from tests.graphs import baseline, graph
 
@@ -37,6 +37,24 @@ def test_graph_files(spark, folder):
     assert spark.read.parquet(out).where("case_id = 'E1'").count() == 2
 
 
+def test_named_files(spark, tmp_path):
+    """Graphs, reports and responses go to a file each, under their canonical names, and come back whole."""
+    from tessera.operators import sweep
+    from tests.graphs import frame
+
+    t, s = frame(spark, baseline()), frame(spark, baseline("agent", "s", facts=[]) | {"edges": []})
+    both = t.unionByName(s)
+    names = {r["name"] for r in files.write_graph_files(both, str(tmp_path / "g")).collect()}
+    assert names == {"E1_reference.json", "E1_agent_s.json"} == {p.name for p in (tmp_path / "g").iterdir()}
+    back = graphs.read_graphs(spark, str(tmp_path / "g"))
+    assert sorted(map(str, back.drop("file", "broken").collect())) == sorted(map(str, both.collect()))
+    files.write_report_files(sweep.sweep(t, s).reports, str(tmp_path / "d"))
+    assert [(r["case_id"], r["student"], r["v_miss"]) for r in graphs.score_reports(graphs.read_discrepancies(spark, str(tmp_path / "d"))).collect()] == [("E1", "s", 2)]
+    df = spark.createDataFrame([("E1", "agent", "s", "line\r\nend"), ("E1", "reference", None, "é"), ("E2", "agent", "x", None)], "case_id string, source string, agent_id string, text string")
+    assert files.write_response_files(df, str(tmp_path / "r")).count() == 2
+    assert {(r["source"], r["agent_id"], r["text"]) for r in graphs.read_responses(spark, str(tmp_path / "r")).collect()} == {("agent", "s", "line\r\nend"), ("reference", None, "é")}
+
+
 def test_names(spark):
     df = spark.createDataFrame([("E1", "reference", None), ("E1", "agent", "s"), ("E1", "agent", None)], "c string, s string, a string")
     cols = [F.col(x) for x in "csa"]
