@@ -2,42 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.tables import materialize, shared_dir, ship
+
+__all__ = ["WS", "WS_RE", "attempt_name", "let", "materialize", "open_fs", "read", "shared_dir", "shipped", "spread", "words_of"]
+
 #: White space between words, as a set for trimming and as a regular expression.
 WS = " \t\n\x0b\x0c\r"
 WS_RE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one named in ``spark.checkpoint.dir``, which all executors see.
-
-    Where the setting is absent (tests in one process) a temporary folder is set and used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lineage ends there, and a
-    lost executor costs nothing but its running tasks."""
-    spark = df.sparkSession
-    path = folder or shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def open_fs(uri: str):
     """A file system and path for ``uri`` on an executor (local paths, and any store pyarrow knows)."""
     from pyarrow import fs
@@ -45,6 +23,12 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, once the workers have this package."""
+    ship(df.sparkSession)
+    return df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

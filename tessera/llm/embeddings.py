@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, shipped
 from tessera.llm.components import connected_components
 
 #: PASSES at least; more where a label's vectors are so many that a pair at the threshold would be missed more often than MISS.
@@ -129,14 +129,14 @@ def near_pairs(nodes: DataFrame, passes: int = PASSES, window: int = WINDOW, thr
     x = nodes.schema["v"].dataType.elementType.simpleString()
     found_sql = _types(x)[2]
     counts = materialize(nodes.groupBy("g", "d").agg(passes_for(F.count("*"), passes, window, threshold).alias("passes")))
-    keyed = nodes.join(counts, ["g", "d"]).mapInArrow(_keys, f"node long, g string, d int, x array<{x}>, keys array<bigint>")
+    keyed = nodes.join(counts, ["g", "d"]).transform(shipped).mapInArrow(_keys, f"node long, g string, d int, x array<{x}>, keys array<bigint>")
     each = keyed.select("node", "g", "d", "x", F.posexplode("keys").alias("p", "key"))
     n = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = each.repartitionByRange(n, "p", "g", "d", "key").sortWithinPartitions("p", "g", "d", "key")
-    found = materialize(dealt.mapInArrow(lambda b: _windows(b, window, threshold, x), found_sql))
+    found = materialize(dealt.transform(shipped).mapInArrow(lambda b: _windows(b, window, threshold, x), found_sql))
     # The rows beside the borders of all partitions: at most 2 * n * window, in the order of the pass.
     edges = found.where("u is null").drop("u", "v").repartition(1).sortWithinPartitions("p", "g", "d", "key", "pos")
-    across = edges.mapInArrow(lambda b: _windows(b, window, threshold, x), found_sql).where("u is not null")
+    across = edges.transform(shipped).mapInArrow(lambda b: _windows(b, window, threshold, x), found_sql).where("u is not null")
     return found.where("u is not null").select("u", "v").unionByName(across.select("u", "v")).distinct()
 
 
@@ -183,7 +183,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = P
     member = nodes.drop("low").join(parts, "node").join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("component", "d", "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "times", "v")
-    counted = pairs.groupBy("component", "g", "d", "i", "j").applyInArrow(_count_links(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    counted = pairs.transform(shipped).groupBy("component", "g", "d", "i", "j").applyInArrow(_count_links(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
     named = parts.join(sizes.select("component", F.col("low").alias("first")), "component").select("node", "first")
     known = nodes.join(named, "node", "left").join(counted, "node", "left").select("g", "v", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("first", "low").alias("component_id"))
     linked = some.join(known, ["g", "v"]).select("k", "n_links", "component_id")

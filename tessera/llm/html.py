@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import shipped
 from tessera.llm.mincut import min_cut
 
 # Elements of HTML by their role.
@@ -425,4 +426,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["key", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
-    return rows.mapInArrow(run, "key long, url string, text string, n_chars long").withColumnRenamed("key", key)
+    return rows.transform(shipped).mapInArrow(run, "key long, url string, text string, n_chars long").withColumnRenamed("key", key)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, shipped
 from tessera.llm.tok import encoder
 
 #: Pieces of one length are ranked in so many parts.
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["key", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(cut, "key long, piece int, start long, length long, ids_crc32 long")
+    return rows.transform(shipped).mapInArrow(cut, "key long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,5 +153,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
             yield pa.RecordBatch.from_arrays([*cols, pa.array(p.sequence[at] + rank - p.rank[at]), pa.array(p.offset[at])], ["key", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("key", "piece", "ids_crc32")).cast("long"))
-    out = ranked.mapInArrow(place, "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ranked.transform(shipped).mapInArrow(place, "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("key", key)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, shipped
 from tessera.llm.components import connected_components
 
 BITS, SHINGLE, RADIUS, SEED = 64, 4, 4, 42
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["key", "mark", "fp"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), text_mark(text).alias("mark"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, mark long, fp long")
+    return rows.transform(shipped).mapInArrow(run, "key long, mark long, fp long")
 
 
 def masks(free: int = 2**BITS - 1, radius: int = RADIUS, seed: int = 7) -> list[int]:
@@ -158,7 +158,7 @@ def links(distinct: DataFrame, bucket: int = BUCKET, splits: int = SPLITS) -> Da
             keyed = materialize(keyed)
         small = keyed if last else keyed.where(F.col("n") <= bucket)
         found = small.groupBy("table", "bucket").agg(F.collect_list("fp").alias("members"))
-        found = found.select("members").mapInArrow(_forests, "u long, v long")
+        found = found.select("members").transform(shipped).mapInArrow(_forests, "u long, v long")
         out = found if out is None else out.unionByName(found)
         if not last:
             rows = keyed.where(F.col("n") > bucket).select("fp", "table")

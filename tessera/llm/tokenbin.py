@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import attempt_name, materialize, open_fs, shared_dir
+from tessera.llm.common import attempt_name, materialize, open_fs, shared_dir, shipped
 from tessera.llm.tok import encoder
 
 MAGIC = b"TSBIN002"
@@ -277,9 +277,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
             close()
         yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "path", "n_docs", "n_tokens"), x, strict=True)) for x in done], pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ids = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(tokens, "bucket int, key long, ids binary")
+    ids = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).transform(shipped).mapInArrow(tokens, "bucket int, key long, ids binary")
     dealt = ids.repartitionById(n + bare, F.col("bucket")).sortWithinPartitions("bucket", "key")
-    return materialize(dealt.mapInArrow(save, "bucket int, path string, n_docs long, n_tokens long"), folder + "-manifest")
+    return materialize(dealt.transform(shipped).mapInArrow(save, "bucket int, path string, n_docs long, n_tokens long"), folder + "-manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -304,7 +304,7 @@ def read(spark: SparkSession, manifest: DataFrame, key: str = "doc_id") -> DataF
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     spread = paths.repartitionById(max(1, len(rows)), F.col("i"))
-    return spread.mapInArrow(load, "key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
+    return spread.transform(shipped).mapInArrow(load, "key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

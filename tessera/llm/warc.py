@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import attempt_name, materialize, open_fs, shared_dir
+from tessera.llm.common import attempt_name, materialize, open_fs, shared_dir, shipped
 
 SKIPPABLE = 0x184D2A5D
 #: The dictionary is built from an archive's first records, as many as these bounds allow; of each, so many bytes.
@@ -172,7 +172,7 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
             close()
         yield pa.RecordBatch.from_pylist(done, pa.schema([("path", pa.string()), ("n_records", pa.int64())]))
 
-    return materialize(marked.mapInArrow(save, "path string, n_records long"), folder + "-manifest")
+    return materialize(marked.transform(shipped).mapInArrow(save, "path string, n_records long"), folder + "-manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame, key: str = "page_id") -> DataFrame:
@@ -201,7 +201,7 @@ def read(spark: SparkSession, manifest: DataFrame, key: str = "page_id") -> Data
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     paths = manifest.select("path").repartition(n)  # whole archives, dealt in turn
-    return paths.mapInArrow(load, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long").withColumnRenamed("key", key)
+    return paths.transform(shipped).mapInArrow(load, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long").withColumnRenamed("key", key)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
