@@ -59,6 +59,11 @@ def tier_order(tier: Column) -> Column:
     return lookup(tier, S.TIER_ORDER, 99)
 
 
+def file_name() -> Column:
+    """Name of the file that a row was read from; its path comes percent-encoded."""
+    return F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B")))
+
+
 def citation_tokens(text: Column) -> Column:
     """Distinct section numbers cited in a text, lower case without closing marks."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CITATION), F.lit(1))

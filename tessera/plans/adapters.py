@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import schema as S
 from tessera.functions import expressions as X
 
+#: Types of a graph's lists.
+GRAPH_LISTS = dict(re.findall(r"(\w+) (ARRAY<.*>)", S.GRAPH_DDL))
 ORDERING = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
@@ -115,6 +120,38 @@ def given_alignment(spark: SparkSession, d: str, rows: DataFrame | None = None)
     return every.withColumn("similarity", hit.cast("double")).withColumn("method", F.when(hit, "given").otherwise("unaligned"))
 
 
+def nation_graphs(spark: SparkSession, d: str, student: bool = False) -> DataFrame:
+    """A small graph per nation: a fact, a rule and an edge for each supplier. The student's has those not in debt."""
+    nation = read(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    rows = read(spark, d, "supplier").join(F.broadcast(nation), "s_nationkey")  # nations: 25 rows
+    if student:
+        rows = rows.where("s_acctbal > 0")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
+    g = rows.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("n", "s_suppkey", "s_name", "n_name"))).alias("l"))
+
+    def ident(k: str, x: Column) -> Column:
+        return F.concat(F.lit(k), x["n"].cast("string"))
+
+    def listed(name: str, one=None) -> Column:
+        values = F.transform("l", lambda x: F.struct(*one(x))) if one else F.array()
+        return values.cast(GRAPH_LISTS[name]).alias(name)
+
+    none = F.lit(None).cast("string")
+    return g.select(
+        F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("case_id"),
+        F.lit("agent" if student else "reference").alias("source"),
+        F.lit("derived").alias("model_name"),
+        F.lit("paid" if student else None).cast("string").alias("agent_id"),
+        listed("facts", lambda x: (ident("F", x), x["s_name"], F.lit("present"), none)),
+        listed("issues"),
+        listed("rules", lambda x: (ident("R", x), F.concat(F.lit("§ "), (x["s_suppkey"] % 50).cast("string")), x["s_name"], F.lit("binding"), x["n_name"], none)),
+        listed("applications"),
+        listed("conclusions"),
+        listed("obligations"),
+        listed("edges", lambda x: (ident("E", x), ident("F", x), ident("R", x), F.lit("supports"), none)),
+    )
+
+
 def _numbered(df: DataFrame, case: Column, side: Column, kind: Column, ident: Column) -> DataFrame:
     df = df.withColumns({"case_id": case, "student": F.lit("s"), "side": side, "node_type": kind, "ident": ident})
     df = df.withColumn("pos", F.row_number().over(Window.partitionBy("case_id", "node_type", "side").orderBy("ident")))

@@ -612,18 +612,30 @@ def method_series(spark: SparkSession, d: str) -> DataFrame:
     return report.method_series(*_summaries(spark, d), ["q0", "q1"])
 
 
-_CAL = """WITH x AS (SELECT (doc_id % 7) * 0.05 + 0.10 AS threshold, 'q' || quality AS student, n_chars AS n FROM documents JOIN labels USING (doc_id)),
-s AS (SELECT round(threshold, 2)::DOUBLE AS threshold, student, count(*) % 40 AS v_miss, count(*) % 15 AS v_halluc, sum(n)::BIGINT * 0.5 AS g FROM x GROUP BY ALL),
-j AS (SELECT threshold, max(v_miss) FILTER (student = 'q1') AS v_miss, max(v_halluc) FILTER (student = 'q1') AS v_halluc, max(g) FILTER (student = 'q1') AS l_ged_better, max(g) FILTER (student = 'q0') AS l_ged_worse FROM s GROUP BY ALL),
+_LEVELS = f"""WITH RECURSIVE {Q.TEXT_NODES.replace('nd AS (', 'n0 AS MATERIALIZED (')}, {Q.tfidf('n0', 0.1, 'p0')},
+th AS (SELECT unnest([0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40]::DOUBLE[]) AS threshold),
+nd AS MATERIALIZED (SELECT n0.* REPLACE (n0.case_id || '@' || threshold AS case_id) FROM n0, th),
+pr AS MATERIALIZED (SELECT p0.* REPLACE (p0.case_id || '@' || threshold AS case_id) FROM p0, th WHERE sim >= threshold), {Q.greedy('pr', 'g')}, al AS MATERIALIZED ({_ALIGNED}) """
+_LEVEL_SCORES = _LEVELS + _FULL[len(_AL) :]
+
+
+@query("calibrate_scores", f"SELECT split_part(case_id, '@', 2)::DOUBLE AS threshold, split_part(case_id, '@', 1) AS case_id, v_miss, v_halluc, e_diff, l_ged FROM ({_LEVEL_SCORES})")
+def calibrate_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Texts aligned and scored at every threshold, from similarities computed once."""
+    n = materialize(A.text_nodes(spark, d))
+    return calibrate.threshold_scores(n, text_edges(n)).drop("student")
+
+
+_CAL = f"""WITH s AS (SELECT split_part(case_id, '@', 2)::DOUBLE AS threshold, split_part(case_id, '@', 1) AS student, v_miss, v_halluc, l_ged AS g FROM ({_LEVEL_SCORES})),
+j AS (SELECT threshold, max(v_miss) FILTER (student = 'src1') AS v_miss, max(v_halluc) FILTER (student = 'src1') AS v_halluc, max(g) FILTER (student = 'src1') AS l_ged_better, max(g) FILTER (student = 'src0') AS l_ged_worse FROM s GROUP BY ALL),
 k AS (SELECT *, coalesce(v_miss BETWEEN 18 AND 22, false) AS v_miss_ok, coalesce(v_halluc < 10, false) AS v_halluc_ok, coalesce(l_ged_better < l_ged_worse, false) AS ranking_ok FROM j),
 f AS (SELECT threshold, v_miss, v_halluc, l_ged_better::DOUBLE AS l_ged_better, l_ged_worse::DOUBLE AS l_ged_worse, v_miss_ok, v_halluc_ok, ranking_ok, v_miss_ok AND v_halluc_ok AND ranking_ok AS all_ok FROM k) """
 
 
 def _calibration(spark: SparkSession, d: str) -> DataFrame:
-    x = A.read(spark, d, "documents").select("doc_id", "n_chars").join(A.read(spark, d, "labels"), "doc_id")
-    s = x.groupBy(F.round((F.col("doc_id") % 7) * 0.05 + 0.10, 2).alias("threshold"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("student"))
-    s = s.agg((F.count("*") % 40).alias("v_miss"), (F.count("*") % 15).alias("v_halluc"), (F.sum("n_chars") * 0.5).alias("l_ged"))
-    return calibrate.judge(s, "q1", "q0")
+    """Two sources stand for two students of one case."""
+    n = materialize(A.text_nodes(spark, d).where("case_id in ('src0', 'src1')"))
+    return calibrate.judge(calibrate.threshold_scores(n, text_edges(n)).withColumn("student", F.col("case_id")), "src1", "src0")
 
 
 @query("calibration", _CAL + "SELECT * FROM f")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import expressions as X
+
 _STRIP = r"^\s+|\s+$"
 _QUOTES = r"^`+|`+$"
 
@@ -20,8 +22,7 @@ def _bare(c: Column) -> Column:
 
 def _read(spark: SparkSession, path: str, glob: str) -> DataFrame:
     df = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return df.select(name.alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("raw"))
+    return df.select(X.file_name().alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("raw"))
 
 
 def sections(raw: Column) -> Column:

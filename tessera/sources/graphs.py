@@ -12,7 +12,7 @@ from tessera.operators.nodes import node_counts
 
 
 def _stem() -> Column:
-    return F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "")
+    return F.regexp_replace(X.file_name(), r"\.[^.]*$", "")
 
 
 def _json(spark: SparkSession, path: str, ddl: str, glob: str) -> DataFrame:

@@ -30,9 +30,9 @@ def baseline(source="reference", agent=None, **change):
     g = graph(
         source=source,
         agent=agent,
-        facts=[fact("F1", "HireFlow is based in Austin Texas"), fact("F2", "ResumeRank is an automated employment decision tool")],
-        issues=[{"iid": "I1", "label": "whether the tool was audited for bias", "status": "dispositive"}],
-        rules=[rule("R1", "§ 20-871(d)(2)", "bias audit requirement")],
+        facts=[fact("F1", "The depot opened in spring"), fact("F2", "A scheduler assigns the drivers")],
+        issues=[{"iid": "I1", "label": "whether the drivers were told", "status": "dispositive"}],
+        rules=[rule("R1", "§ 20-871(d)(2)", "notice to drivers")],
         edges=[edge("E1", "F1", "I1", "triggers"), edge("E2", "R1", "I1", "applies-to")],
     )
     return g | change

@@ -68,6 +68,7 @@ def test_citations_match(spark):
     assert all(r["got"] == r["want"] for r in df.withColumn("got", X.citations_match(F.col("a"), F.col("b"))).collect())
 
 
+# Texts whose similarities are published.
 A, B = "HireFlow is based in Austin Texas", "ResumeRank is an automated employment decision tool"
 
 
@@ -305,10 +306,10 @@ def test_edge_reasons_in_order(spark):
     c = explain.justification_coverage(explain.edge_table(frame(spark, g))).first()
     assert (c["edges"], c["own"], c["derived"], c["unknown"]) == (6, 1, 4, 1)
     tr = {r["aid"]: r for r in explain.application_traces(frame(spark, g)).collect()}
-    assert tr["A1"]["facts"] == f"F1: {A}; F7: (missing)" and tr["A2"]["rule"] == "R9: (missing)"
+    assert tr["A1"]["facts"] == "F1: The depot opened in spring; F7: (missing)" and tr["A2"]["rule"] == "R9: (missing)"
     assert nodes.drawable_edges(nodes.flatten_edges(frame(spark, g)), nodes.flatten_nodes(frame(spark, g))).count() == 5
     story = explain.narrative(frame(spark, g)).first()["narrative"]
-    assert "- **I1** *(dispositive)*: whether the tool was audited for bias\n    - *Why connected:*\n        - **F1** →[*triggers*]→ **I1**: own" in story
+    assert "- **I1** *(dispositive)*: whether the drivers were told\n    - *Why connected:*\n        - **F1** →[*triggers*]→ **I1**: own" in story
     assert story.startswith("**F — Facts**") and story.endswith("- **O1** () — post it *(required by R1)*")
 
 
