@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, shipped
 from tessera.llm.tok import encoder
 
-#: Pieces of one length are ranked in so many parts.
-SALTS = 32
+#: Pieces of one length are ranked in so many parts at least, and in more where a part would have more than PART pieces.
+SALTS, PART = 32, 1 << 20
 
 
 @dataclass
@@ -131,15 +131,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     """
     spark = docs.sparkSession
     cut = materialize(pieces(docs, tokenizer, capacity, end_id, key, text))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").count().collect()  # at most capacity * SALTS rows
+    sizes = cut.groupBy("length").agg(F.greatest(F.lit(SALTS), F.ceil(F.count("*") / F.lit(PART))).cast("int").alias("salts"))  # at most capacity rows
+    salted = cut.join(F.broadcast(materialize(sizes)), "length").withColumn("salt", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.col("salts")).cast("int"))
+    counts = salted.groupBy("length", "salt").count().collect()  # at most capacity * SALTS rows, and one for every PART pieces
     histogram: dict[int, int] = {}
     base = {}
     for length, salt, n in sorted((r["length"], r["salt"], r["count"]) for r in counts):
         base[length, salt] = histogram.get(length, 0)
         histogram[length] = histogram.get(length, 0) + n
     keys = np.array(sorted(base), np.int64).reshape(-1, 2)
-    shared = spark.sparkContext.broadcast((plan(histogram, capacity), keys[:, 0] * SALTS + keys[:, 1], np.array([base[tuple(k)] for k in keys.tolist()], np.int64)))
+    shared = spark.sparkContext.broadcast((plan(histogram, capacity), keys[:, 0] << 32 | keys[:, 1], np.array([base[tuple(k)] for k in keys.tolist()], np.int64)))
 
     def place(batches):
         p, salts, bases = shared.value
@@ -147,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         for batch in batches:
             t = pa.Table.from_batches([batch])
             length, salt, rank = (t.column(c).to_numpy() for c in ("length", "salt", "rank"))
-            rank = rank - 1 + (bases[np.searchsorted(salts, length * SALTS + salt)] if len(salts) else 0)
+            rank = rank - 1 + (bases[np.searchsorted(salts, length << 32 | salt)] if len(salts) else 0)
             at = np.searchsorted(order, length << 44 | rank, "right") - 1
             cols = [t.column(c).combine_chunks() for c in ("key", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(p.sequence[at] + rank - p.rank[at]), pa.array(p.offset[at])], ["key", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])

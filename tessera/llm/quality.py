@@ -117,10 +117,7 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tupl
     repeated results, an empty table an empty ledger, and a null key stays null.
     """
     m = measure(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", "m.*")
-    mask = F.lit(0).cast("long")
-    for rule in rules:
-        mask = mask + F.when(F.expr(rule.fails), F.lit(rule.mask)).otherwise(F.lit(0)).cast("long")
-    return m.withColumn("failed_mask", mask).withColumnRenamed("key", key)
+    return m.withColumn("failed_mask", failed_mask(rules)).withColumnRenamed("key", key)
 
 
 def apply_policy(led: DataFrame, policy: str | int = "v2") -> DataFrame:
@@ -129,6 +126,26 @@ def apply_policy(led: DataFrame, policy: str | int = "v2") -> DataFrame:
     return led.withColumn("kept", F.col("failed_mask").bitwiseAND(F.lit(mask)) == 0)
 
 
+def failed_mask(rules: tuple[Rule, ...] = RULES) -> Column:
+    """The ledger's mask, over columns of :data:`MEASURES`."""
+    mask = F.lit(0).cast("long")
+    for rule in rules:
+        mask = mask + F.when(F.expr(rule.fails), F.lit(rule.mask)).otherwise(F.lit(0)).cast("long")
+    return mask
+
+
+def passing(docs: DataFrame, policy: str | int = "v2", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs``, all their columns as they are, whose ledger entry passes ``policy``.
+
+    The entry (measurements and mask) is made beside the row, so nothing is shuffled or joined. A null text is one
+    without words; repeated rows are decided alike; columns may have any names; an empty table stays empty.
+    """
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    rows = measure(docs.toDF(*inner), inner[docs.columns.index(text)]).select("*", "m.*")
+    led = apply_policy(rows.withColumn("failed_mask", failed_mask(rules)), policy)
+    return led.where("kept").select(*(F.col(i).alias(c) for c, i in zip(docs.columns, inner, strict=True)))
+
+
 def ablations(led: DataFrame, policy: str | int = "v2", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per rule: documents that fail it, that fail only it under the policy, and that the policy keeps without it.
 

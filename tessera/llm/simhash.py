@@ -6,7 +6,8 @@ code has an odd product with v. The codes of r differing bits span too little to
 every pair within radius r agrees on all kept bits of some table: no pair is missed.
 
 Only distinct fingerprints are put in tables. A bucket with many of them is split by further masks over
-its free bits, which keep the same guarantee; each split halves the free bits, so buckets end small.
+its free bits, which keep the same guarantee; each split halves the free bits. Buckets that are still large
+after the last split meet block by block, so no bucket is gathered in one place.
 """
 
 from __future__ import annotations
@@ -154,16 +155,21 @@ def links(distinct: DataFrame, bucket: int = BUCKET, splits: int = SPLITS) -> Da
             keyed = rows.join(table, F.col("table") == F.col("parent")).select("fp", F.col("next").alias("table"), F.col("fp").bitwiseAND(F.col("kept")).alias("bucket"))
         keyed = keyed.withColumn("n", F.count("*").over(Window.partitionBy("table", "bucket"))).where("n > 1")
         last = depth == len(levels) - 1
-        if not last:
-            keyed = materialize(keyed)
-        small = keyed if last else keyed.where(F.col("n") <= bucket)
-        found = small.groupBy("table", "bucket").agg(F.collect_list("fp").alias("members"))
-        found = found.select("members").transform(shipped).mapInArrow(_forests, "u long, v long")
+        keyed = materialize(keyed)
+        whole = keyed.where(F.col("n") <= bucket).groupBy("table", "bucket").agg(F.collect_list("fp").alias("members"))
+        found = whole.select("members")
+        rows = keyed.where(F.col("n") > bucket)
+        done = rows.isEmpty()
+        if last and not done:  # what is still large meets block by block
+            blocks = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
+            own = rows.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(depth)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            pairs = own.groupBy("table", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+            found = found.unionByName(pairs.agg(F.collect_list("fp").alias("members")).select("members"))
+        found = found.transform(shipped).mapInArrow(_forests, "u long, v long")
         out = found if out is None else out.unionByName(found)
-        if not last:
-            rows = keyed.where(F.col("n") > bucket).select("fp", "table")
-            if rows.isEmpty():
-                break
+        if done:
+            break
+        rows = rows.select("fp", "table")
     return out.distinct()
 
 

@@ -100,6 +100,33 @@ def test_simhash_against_all_pairs(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("splits", [0, 1])
+def test_simhash_large_buckets_meet_by_blocks(spark, splits):
+    """Fingerprints so close that buckets stay large after the last split: still every pair within the radius is chained."""
+    rng = random.Random(14)
+    centre = rng.getrandbits(64)
+    fps = {centre}
+    while len(fps) < 220:
+        x = rng.choice(sorted(fps)[:40])
+        for b in rng.sample(range(64), rng.randint(1, 6)):
+            x ^= 1 << b
+        fps.add(x)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
+    got = {(r["u"] % 2**64, r["v"] % 2**64) for r in simhash.links(df, bucket=16, splits=splits).collect()}
+    assert all((u ^ v).bit_count() <= 64 for u, v in got)
+    part = {x: x for x in fps}
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for u, v in got:
+        part[max(root(u), root(v))] = min(root(u), root(v))
+    assert [fps.index(root(x)) for x in fps] == [fps.index(min(y for y, q in zip(fps, brute_components(fps)) if q == p)) for x, p in zip(fps, brute_components(fps))]
+
+
 def test_representatives(spark):
     """One row of each group: keys that repeat with other texts, and rows without key, go only as copies."""
     rng = random.Random(8)
@@ -460,6 +487,14 @@ def test_quality_measures(spark, docs):
     assert quality.ledger(docs.limit(0)).count() == 0
 
 
+def test_passing_keeps_what_the_ledger_keeps(docs):
+    led = quality.apply_policy(quality.ledger(docs), "v2")
+    df = clashing(docs)
+    got = quality.passing(df, "v2")
+    assert got.columns == df.columns and quality.passing(df.limit(0)).count() == 0
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter(r["doc_id"] for r in led.where("kept").collect())
+
+
 def test_policies_and_ablations(docs):
     led = quality.ledger(docs)
     rows = led.collect()
@@ -768,6 +803,65 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs.limit(0), targets).count() == 0
 
 
+def plain_rake(cells, wants, keep, rounds=500):
+    """Raking over a dictionary of cells, one marginal after another, no cell above what it has."""
+    total, axes = sum(cells.values()), range(3)
+    goal = []
+    for a in axes:
+        have = {c[a] for c, n in cells.items() if n}
+        w = {k: v for k, v in wants[a].items() if k in have}
+        w = w if sum(w.values()) else dict.fromkeys(have, 1.0)
+        goal.append({k: v / sum(w.values()) * keep * total for k, v in w.items()})
+    x = {c: n * keep for c, n in cells.items()}
+    for _ in range(rounds):
+        for a in axes:
+            has = Counter()
+            for c, v in x.items():
+                has[c[a]] += v
+            x = {c: min(cells[c], v * (goal[a].get(c[a], 0.0) / has[c[a]] if has[c[a]] else 0.0)) for c, v in x.items()}
+    return {c: x[c] / n if n else keep for c, n in cells.items()}
+
+
+def test_mixing_against_plain(spark):
+    """Probabilities are those of a plain raking over all documents' words, a target without rows included, and the draw follows them."""
+    rng = random.Random(9)
+    rows = [(i, text_of(rng, rng.randint(0, 40)), rng.choice(("en", "en", "de", "xx", None)), rng.choice(("a", "a", "b", "b", None)), 0) for i in range(400)]
+    rows += [(1000, "", "en", "a", 0), (1001, None, "en", "a", 0), rows[3], rows[3], (None, "no id", "de", "b", 5)]
+    targets = mixing.Targets(source={"a": 0.4, "b": 0.3, "nobody": 0.3}, lang={"en": 0.4, "de": 0.3}, topics=3, temper=0.8, keep=0.4, other=0.2)
+    df = spark.createDataFrame(rows, DOC)
+    got = mixing.mix(df, targets).collect()
+    cells = Counter()
+    for r in got:
+        cells[r["source"] if r["source"] in targets.source else "other", r["lang"] if r["lang"] in targets.lang else "other", r["topic"]] += r["n_tokens"]
+    by_topic = Counter()
+    for c, n in cells.items():
+        by_topic[c[2]] += n
+    wants = [{**targets.source, "other": targets.other}, {**targets.lang, "other": targets.other}, {t: n**targets.temper for t, n in by_topic.items()}]
+    plain = plain_rake(cells, wants, targets.keep)
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((r[0], len((r[1] or "").split())) for r in rows)
+    for r in got:
+        c = (r["source"] if r["source"] in targets.source else "other", r["lang"] if r["lang"] in targets.lang else "other", r["topic"])
+        assert abs(r["probability"] - plain[c]) < 1e-6 and r["rake_error"] < 1e-6
+    marks = df.select("doc_id", F.xxhash64("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), F.lit("mix")).alias("h")).collect()
+    mark = {r["doc_id"]: (r["h"] % 2**64 >> 11) / 2**53 for r in marks}
+    assert all(r["kept"] == (mark[r["doc_id"]] < r["probability"]) for r in got)
+
+
+def test_raking_stops_at_the_best_round():
+    """One source is asked for more than it has: the result is no further from the targets than the first rounds were."""
+    tokens = np.array([[[10.0, 5.0], [3.0, 1.0]], [[100.0, 80.0], [60.0, 90.0]]])
+    wants = [np.array([0.9, 0.1]), np.array([0.2, 0.8]), np.array([0.5, 0.5])]
+    x, error = mixing.rake(tokens, wants, 0.5)
+    assert (x <= tokens).all() and (x >= 0).all() and error <= min(mixing.rake(tokens, wants, 0.5, rounds=n)[1] for n in (1, 2, 3, 10, 100))
+
+
+def test_mixing_at_the_ends_of_probability(spark):
+    rows = [(i, "a few words", "en", "a" if i % 2 else "b", 0) for i in range(200)]
+    all_, none = (mixing.mix(spark.createDataFrame(rows, DOC), mixing.Targets(source=s, lang={"en": 1.0}, topics=1, keep=k, other=0.0)).collect() for s, k in (({"a": 0.5, "b": 0.5}, 1.0), ({"a": 1.0, "b": 0.0}, 0.25)))
+    assert all(r["kept"] and r["probability"] == 1.0 for r in all_)
+    assert all(not r["kept"] and r["probability"] == 0.0 for r in none if r["source"] == "b")
+
+
 def test_mixing_draws_near_the_target(spark):
     rng = random.Random(4)
     rows = [(i, text_of(rng, 30), rng.choice(("en", "en", "en", "de")), rng.choice(("a", "a", "b")), 0) for i in range(3000)]
