@@ -175,8 +175,12 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def contexts(texts: DataFrame, seeded: bool = False, placed: bool = False) -> DataFrame:
-    """One row per token and pattern before it: key, row, pattern, ``token``, ``seed``; with ``placed`` also ``end``, its
-    place, and then seeds have no text of their own. With ``seeded``, only texts that may have a seed are cut into tokens.
+    """One row per token and pattern before it: key, row, pattern, ``token``, ``seed``. With ``seeded``, only texts that may
+    have a seed are cut into tokens.
+
+    With ``placed``, also what :func:`_end` tells a token's place from: its number ``i`` and the text's pieces ``p`` and
+    tokens ``m``. These are the same arrays on all rows of a text, which cost nothing as long as most rows are dropped
+    before they are written; and seeds have no text of their own then.
     """
     zero = F.array(F.lit(""), F.lit(""))
     if seeded:  # told by the text itself: a condition on the masked text would have it masked twice
@@ -184,31 +188,42 @@ def contexts(texts: DataFrame, seeded: bool = False, placed: bool = False) -> Da
         for k in KINDS:
             some = some | k.guard(F.col("t"))
         texts = texts.where(some)
+    keep = ["key", "row", *(["p", "m"] if placed else [])]
     if placed:
         rows = _bare(F.col("t"), lambda x: F.concat(F.lit(MARK), F.repeat(F.lit(FILL), F.length(x) - 1)), texts, "bare")
-
-        def cut(p: Column, m: Column) -> Column:
-            steps = F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda a, b: (F.length(a) + F.length(b)).cast("long"))
-            return F.struct(F.concat(zero, m).alias("w"), running(steps).alias("e"))
-
-        rows = rows.select("key", "row", _matches(F.col("bare"), PLACED, cut).alias("c")).select("key", "row", "c.w", "c.e")
+        rows = rows.withColumns({"p": F.split("bare", PLACED, -1), "m": F.regexp_extract_all("bare", F.lit(PLACED), F.lit(0))})
+        rows = rows.select(*keep, F.concat(zero, "m").alias("w"))
     else:
         rows = _bare(F.col("t"), lambda x: F.concat(F.lit(MARK), F.hex(F.xxhash64(x)), F.lit(MARK)), texts, "bare")
-        rows = rows.select("key", "row", F.concat(zero, F.regexp_extract_all("bare", F.lit(HASHED), F.lit(0))).alias("w"))
-    n, names = F.size("w") - 2, ["a", "b", "token", *(["end"] if placed else [])]
-    zipped = F.arrays_zip(*(F.slice("w", F.lit(i), n) for i in (1, 2, 3)), *([F.col("e")] if placed else []))
-    rows = rows.select("key", "row", F.inline(zipped)).toDF("key", "row", *names).where(~_joint(F.col("token")))
+        rows = rows.select(*keep, F.concat(zero, F.regexp_extract_all("bare", F.lit(HASHED), F.lit(0))).alias("w"))
+    n = F.size("w") - 2
+    zipped = F.arrays_zip(*(F.slice("w", F.lit(i), n) for i in (1, 2, 3)))
+    rows = rows.select(*keep, F.posexplode(zipped).alias("i", "x")).select(*keep, "x.*", "i").toDF(*keep, "a", "b", "token", "i").where(~_joint(F.col("token")))
     seed = F.col("token").startswith(MARK) | F.when(_joint(F.col("b")), F.regexp_replace("token", r"[^A-Za-z0-9]++$", "").rlike(SECRET)).otherwise(F.lit(False))
-    rows = rows.select("key", "row", F.explode(_patterns(F.col("a"), F.col("b"))).alias("pattern"), *names[2:], seed.alias("seed"))
+    rows = rows.select(*keep, F.explode(_patterns(F.col("a"), F.col("b"))).alias("pattern"), "token", *(["i"] if placed else []), seed.alias("seed"))
     return rows.where("pattern is not null")
 
 
+def _end(rows: DataFrame) -> DataFrame:
+    """Rows of placed contexts with ``end``, where the token ends in the text, for the arrays that it is told from."""
+
+    def total(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+
+    n = F.col("i") + 1
+    return rows.withColumn("end", total(F.slice("p", F.lit(1), n)) + total(F.slice("m", F.lit(1), n))).drop("i", "p", "m")
+
+
 #: Patterns and hits are joined by broadcast up to so many rows, counted first; beyond, by shuffle.
 BROADCAST_ROWS = 50_000
 
 
+def _few(df: DataFrame) -> bool:
+    return df.count() <= BROADCAST_ROWS
+
+
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _few(df) else df
 
 
 def score(edges: DataFrame, turns: int = TURNS) -> DataFrame:
@@ -237,7 +252,12 @@ def discover(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     supported = materialize(seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern"))
     counts = contexts(texts).join(_small(supported), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
     patterns = materialize(counts.where(F.col("seeds") >= SHARE * F.col("n")).select("pattern"))
-    after = contexts(texts, placed=True).join(_small(patterns), "pattern", "left_semi").where(~F.col("token").startswith(MARK))
+    after = contexts(texts, placed=True)
+    if _few(patterns):  # places are told after the join, for the few rows that stay
+        after = _end(after.join(F.broadcast(patterns), "pattern", "left_semi"))
+    else:  # and before it where rows are shuffled, since the arrays would go along
+        after = _end(after).join(patterns, "pattern", "left_semi")
+    after = after.where(~F.col("token").startswith(MARK))
     lead = F.length("token") - F.length(F.regexp_replace("token", LEAD, ""))
     end = F.col("end") - F.length("token") + F.length(F.regexp_replace("token", TRAIL, ""))
     span = F.struct((F.col("end") - F.length("token") + lead).alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"))

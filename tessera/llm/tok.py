@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 #: Entries kept per process, and the longest chunk and word kept: short ones recur, long ones rarely do.
-CACHE_ENTRIES, CHUNK_CHARS, WORD_CHARS = 500_000, 9, 11
+CACHE_ENTRIES, CHUNK_CHARS, WORD_CHARS = 200_000, 9, 11
 
 #: A word with marks after it. Such chunks need no normalizer or splitter, so the model alone encodes them.
 PLAIN = re.compile(r"([^\W\d_]*)([.,!#$%&*|;:?()]*)")
