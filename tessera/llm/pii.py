@@ -79,9 +79,9 @@ PLACE = "array<struct<start:bigint,kind:int,end:bigint>>"
 #: Quotes and brackets part tokens as white space does; runs of = and : are tokens of their own. A seed is masked
 #: as one token: MARK, its hash, MARK where only order matters; MARK and as many FILL as keep places where they do.
 MARK, FILL = "\x01", "\x02"
-PARTING = "\"'()[]<>{}|`"
-HASHED = r"[=:]++|\x01[^\x01]*+\x01|[^\x20\x09-\x0D=:\x01]++"
-PLACED = r"[=:]++|\x01\x02*+|[^\x20\x09-\x0D=:\x01\x02]++"
+PLAIN = r"[^\x20\x09-\x0D=:\x01\x02\"'()\[\]<>{}|`]++"
+HASHED = rf"[=:]++|\x01[^\x01]*+\x01|{PLAIN}"
+PLACED = rf"[=:]++|\x01\x02*+|{PLAIN}"
 #: Opaque keys: 32 hex digits or more, or 20 characters or more with a digit and letters of both cases.
 SECRET = r"^(?:(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+|(?=[^0-9]*+[0-9])(?=[^a-z]*+[a-z])(?=[^A-Z]*+[A-Z])[A-Za-z0-9+/_-]{20,}+)$"
 MAYBE_SECRET = r"[=:][\x20\x09-\x0D\"'()\[\]<>{}|`]*+[A-Za-z0-9+/_-]{20}"
@@ -140,11 +140,11 @@ def _masked(text: Column, kind: Kind, mask: Callable[[Column], Column]) -> Colum
 
 
 def _bare(text: Column, mask: Callable[[Column], Column], rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` with ``name``: the text with its seeds masked and what parts tokens as spaces."""
-    rows = rows.withColumn(name, F.translate(text, MARK + FILL, "\x03\x03"))
+    """``rows`` with ``name``: the text with its seeds masked."""
+    rows = rows.withColumn(name, F.when(text.contains(MARK) | text.contains(FILL), F.translate(text, MARK + FILL, "\x03\x03")).otherwise(text))
     for k in KINDS:
         rows = rows.withColumn(name, _masked(F.col(name), k, mask))
-    return rows.withColumn(name, F.translate(name, PARTING, " " * len(PARTING)))
+    return rows
 
 
 def _joint(token: Column) -> Column:
@@ -153,13 +153,14 @@ def _joint(token: Column) -> Column:
 
 def _word(token: Column) -> Column:
     """A word of a pattern: in lower case, digits alike, any seed like another."""
-    return F.when(token.startswith(MARK), MARK).otherwise(F.translate(F.lower(token), "123456789", "000000000"))
+    low = F.lower(token)
+    return F.when(token.startswith(MARK), MARK).when(token.rlike("[1-9]"), F.translate(low, "123456789", "000000000")).otherwise(low)
 
 
 def _patterns(a: Column, b: Column) -> Column:
-    """Patterns of the two tokens before an instance: one word (with = if it is a key), and two words."""
-    key = F.when(a != "", F.concat(_word(a), F.lit(" =")))
-    return F.when(_joint(b), F.array(key)).when((a != "") & ~_joint(a), F.array(_word(b), F.concat(_word(a), F.lit(" "), _word(b)))).otherwise(F.array(F.when(b != "", _word(b))))
+    """Patterns of the two words before an instance: one word (with = if it is a key), and two words."""
+    key = F.when(a != "", F.concat(a, F.lit(" =")))
+    return F.when(_joint(b), F.array(key)).when((a != "") & ~_joint(a), F.array(b, F.concat(a, F.lit(" "), b))).otherwise(F.array(F.when(b != "", b)))
 
 
 #: What an instance sheds at its ends.
@@ -200,7 +201,8 @@ def contexts(texts: DataFrame, seeded: bool = False, placed: bool = False) -> Da
     zipped = F.arrays_zip(*(F.slice("w", F.lit(i), n) for i in (1, 2, 3)))
     rows = rows.select(*keep, F.posexplode(zipped).alias("i", "x")).select(*keep, "x.*", "i").toDF(*keep, "a", "b", "token", "i").where(~_joint(F.col("token")))
     seed = F.col("token").startswith(MARK) | F.when(_joint(F.col("b")), F.regexp_replace("token", r"[^A-Za-z0-9]++$", "").rlike(SECRET)).otherwise(F.lit(False))
-    rows = rows.select(*keep, F.explode(_patterns(F.col("a"), F.col("b"))).alias("pattern"), "token", *(["i"] if placed else []), seed.alias("seed"))
+    rows = rows.select(*keep, _word(F.col("a")).alias("a"), _word(F.col("b")).alias("b"), "token", "i", seed.alias("seed"))
+    rows = rows.select(*keep, F.explode(_patterns(F.col("a"), F.col("b"))).alias("pattern"), "token", *(["i"] if placed else []), "seed")
     return rows.where("pattern is not null")
 
 
