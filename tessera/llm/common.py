@@ -31,7 +31,7 @@ def shipped(df: DataFrame) -> DataFrame:
     """``df``, once the workers have this package and get their rows in small batches."""
     spark = df.sparkSession
     ship(spark)
-    if spark.conf.get(BATCH_SETTING, "") == BATCH_DEFAULT and not spark.sparkContext.getConf().contains(BATCH_SETTING):
+    if spark.conf.get(BATCH_SETTING, "1") == BATCH_DEFAULT and not spark.sparkContext.getConf().contains(BATCH_SETTING):
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     return df
 
