@@ -29,11 +29,11 @@ from tessera.llm.tokenbin import PerfectHash, _mix
 BREAK = b"\xff"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + BREAK * 10)
 #: Words of a stream row; keys looked at together; distinct words held by a mapper.
-BLOCK, KEYS, HELD = 1 << 18, 1 << 20, 1 << 19
+BLOCK, KEYS, HELD = 1 << 17, 1 << 18, 1 << 18
 #: Candidates counted in one pass, and frequent words encoded in one; more take further passes.
 SLOTS, VOCABULARY = 1 << 22, 1 << 20
 #: Cells of a sieve for each phrase that can be frequent, and the most cells there are.
-CELLS, MOST_CELLS = 4, 1 << 24
+CELLS, MOST_CELLS = 2, 1 << 24
 #: Counts that go through a shuffle together; mappers for each core, and sums in the tree's first row.
 CHUNK, MAPPERS, FAN = 1 << 15, 2, 16
 #: Frequent phrases of one length that workers hold at once (12 bytes each and their hash).
@@ -182,6 +182,11 @@ class Index:
         return np.where((slots >= 0) & (self.keys[slots] == own), slots, -1)[back]
 
 
+def mappers(stream: DataFrame) -> DataFrame:
+    """``stream`` in a few partitions a core, so that what each of them finds is sent a bounded number of times."""
+    return stream.coalesce(max(1, MAPPERS * stream.sparkSession.sparkContext.defaultParallelism)).transform(shipped)
+
+
 def tree_sum(stream: DataFrame, size: int, slots_of: Callable, finish: Callable[[np.ndarray], bytes]) -> bytes:
     """Counts of the numbers below ``size`` that ``slots_of`` finds in the stream, as ``finish`` tells of each chunk of them.
 
@@ -219,7 +224,7 @@ def tree_sum(stream: DataFrame, size: int, slots_of: Callable, finish: Callable[
         return run
 
     kind, n = "chunk int, branch int, counts binary", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mapped = stream.coalesce(max(1, MAPPERS * spark.sparkContext.defaultParallelism)).transform(shipped).mapInArrow(count, kind)
+    mapped = mappers(stream).mapInArrow(count, kind)
     branches = mapped.repartition(n, "chunk", "branch").mapInArrow(add(False), kind)
     table = branches.repartition(n, "chunk").mapInArrow(add(True), kind).toArrow()
     found = dict(zip(table["chunk"].to_pylist(), table["counts"].to_pylist(), strict=True))
@@ -252,10 +257,15 @@ def next_level(stream: DataFrame, min_count: int, cells: int) -> Level:
         return keys[np.frombuffer(open_.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
 
     def distinct(batches) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64)
         for slots, words in pairs(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(through(slots, words)))], ["key"])
+            held = np.union1d(held, through(slots, words))
+            if len(held) > SLOTS:
+                yield pa.RecordBatch.from_arrays([pa.array(held)], ["key"])
+                held = held[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(held)], ["key"])
 
-    candidates = materialize(stream.transform(shipped).mapInArrow(distinct, "key long").distinct())
+    candidates = materialize(mappers(stream).mapInArrow(distinct, "key long").distinct())
     passes = -(-candidates.count() // SLOTS)
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for p in range(passes):
