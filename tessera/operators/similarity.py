@@ -82,11 +82,3 @@ def embedding_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     s = s.select(*GROUP, "i", "j", F.col("pos").alias("s_pos"), F.col("u").alias("b"))
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     return t.join(s, [*GROUP, "i", "j"]).withColumn("similarity", F.round(dot, 12)).where(F.col("similarity") >= F.lit(threshold)).select(*GROUP, "t_pos", "s_pos", "similarity")
-
-
-def citation_pairs(rules: DataFrame) -> DataFrame:
-    """Teacher and student rules that share a citation token, met by the token itself."""
-    tok = rules.select(*NODE, F.explode(X.citation_tokens(F.col("citation"))).alias("token"))
-    t = tok.where("side = 't'").select(*GROUP, "token", F.col("pos").alias("t_pos"))
-    s = tok.where("side = 's'").select(*GROUP, "token", F.col("pos").alias("s_pos"))
-    return t.join(s, [*GROUP, "token"]).select(*GROUP, "t_pos", "s_pos").distinct().withColumn("similarity", F.lit(1.0))

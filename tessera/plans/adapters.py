@@ -117,7 +117,7 @@ def given_alignment(spark: SparkSession, d: str, rows: DataFrame | None = None)
     each = rows.join(heads.select("case_id"), "case_id").select("case_id", "o_orderpriority", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("n"), F.col("m")) for k in "FRA"))).alias("x"))
     every = fixed.unionByName(each).select("case_id", F.lit("open").alias("student"), F.col("x.k").alias("node_type"), F.concat("x.k", F.col("x.n").cast("string")).alias("teacher_id"), F.when(F.col("o_orderpriority") != "5-LOW", F.concat("x.k", F.col("x.m").cast("string"))).alias("student_id"))
     hit = F.col("student_id").isNotNull()
-    return every.withColumn("similarity", hit.cast("double")).withColumn("method", F.when(hit, "given").otherwise("unaligned"))
+    return every.withColumn("similarity", hit.cast("double")).withColumn("method", F.when(hit, "given").otherwise("none"))
 
 
 def nation_graphs(spark: SparkSession, d: str, student: bool = False) -> DataFrame:

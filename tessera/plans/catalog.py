@@ -11,7 +11,7 @@ from tessera import schema as S
 from tessera.functions import expressions as X
 from tessera.functions.tables import materialize
 from tessera.operators import align as al
-from tessera.operators import assign, calibrate, diff, explain, nodes, parse, report, similarity, sweep
+from tessera.operators import assign, calibrate, citations, diff, explain, nodes, parse, report, similarity, sweep
 from tessera.plans import adapters as A
 from tessera.plans import sql as Q
 from tessera.sources import cache
@@ -259,10 +259,27 @@ _CITED = _CIT[:-1] + f""", pr AS (SELECT DISTINCT a.case_id, 'R' AS node_type, a
 
 @query("citation_match", _CITED + "SELECT case_id, t_pos, s_pos FROM cg WHERE ok")
 def citation_match(spark: SparkSession, d: str) -> DataFrame:
-    m = assign.greedy_assign(similarity.citation_pairs(A.rule_nodes(spark, d)))
+    m = citations.citation_matches(A.rule_nodes(spark, d))
     return m.select("case_id", F.col("t_pos").cast("long").alias("t_pos"), F.col("s_pos").cast("long").alias("s_pos"))
 
 
+@query(
+    "greedy_ties",
+    """WITH p AS (SELECT p_brand AS case_id, p_partkey AS pos, p_size <= 25 AS half, p_partkey % 2 = 0 AS t FROM part),
+    r AS (SELECT *, row_number() OVER (PARTITION BY case_id, half, t ORDER BY pos) AS nth, least(count(*) FILTER (t) OVER (PARTITION BY case_id, half), count(*) FILTER (NOT t) OVER (PARTITION BY case_id, half)) AS met FROM p),
+    l AS (SELECT case_id, pos, half, t, row_number() OVER (PARTITION BY case_id, t ORDER BY pos) AS nth FROM r WHERE nth > met)
+    SELECT a.case_id, a.pos AS t_pos, b.pos AS s_pos, 1.0::DOUBLE AS similarity FROM r a JOIN r b ON a.case_id = b.case_id AND a.half = b.half AND a.nth = b.nth AND a.t AND NOT b.t
+    UNION ALL SELECT a.case_id, a.pos, b.pos, 0.5 FROM l a JOIN l b ON a.case_id = b.case_id AND a.nth = b.nth AND a.half <> b.half AND a.t AND NOT b.t""",
+)
+def greedy_ties(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of a brand, those with even numbers against the others: two blocks of ties, then what is left of them."""
+    part = A.read(spark, d, "part").select(F.col("p_brand").alias("case_id"), F.col("p_partkey").cast("int").alias("pos"), (F.col("p_size") <= 25).alias("half"))
+    t, s = (part.where(F.col("pos") % 2 == k).select("case_id", F.col("pos").alias(f"{x}_pos"), F.col("half").alias(f"{x}_half")) for k, x in ((0, "t"), (1, "s")))
+    pairs = t.join(s, "case_id").withColumns({"student": F.lit("s"), "node_type": F.lit("F"), "similarity": F.when(F.col("t_half") == F.col("s_half"), 1.0).otherwise(0.5)})
+    m = assign.greedy_assign(pairs, fold_pairs=1_000)
+    return m.select("case_id", F.col("t_pos").cast("long").alias("t_pos"), F.col("s_pos").cast("long").alias("s_pos"), "similarity")
+
+
 _RULES = _CITED[:-1] + f""", rest AS (SELECT * FROM nd WHERE NOT EXISTS (SELECT 1 FROM cg WHERE ok AND cg.case_id = nd.case_id AND nd.pos = CASE nd.side WHEN 't' THEN t_pos ELSE s_pos END)),
 {Q.tfidf('rest', 0.1, 'p2')}, {Q.greedy('p2', 'tg')},
 mt AS (SELECT case_id, t_pos, s_pos, 1.0::DOUBLE AS sim, 'citation' AS method FROM cg WHERE ok UNION ALL SELECT case_id, t_pos, s_pos, sim, 'tfidf' FROM tg WHERE ok) """
@@ -270,8 +287,8 @@ mt AS (SELECT case_id, t_pos, s_pos, 1.0::DOUBLE AS sim, 'citation' AS method FR
 
 @query(
     "align_rules",
-    _RULES + """SELECT t.case_id, t.node_id AS teacher_id, s.node_id AS student_id, round(coalesce(sim, 0), 6)::DOUBLE AS similarity, coalesce(method, 'unaligned') AS method,
-    CASE WHEN method IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS reported_similarity, CASE WHEN method IS NULL THEN 'unaligned' ELSE 'citation' END AS reported_method
+    _RULES + """SELECT t.case_id, t.node_id AS teacher_id, s.node_id AS student_id, round(coalesce(sim, 0), 6)::DOUBLE AS similarity, coalesce(method, 'none') AS method,
+    CASE WHEN method IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS reported_similarity, CASE WHEN method IS NULL THEN 'none' ELSE 'citation' END AS reported_method
     FROM nd t LEFT JOIN mt ON t.case_id = mt.case_id AND t.pos = t_pos LEFT JOIN nd s ON s.case_id = t.case_id AND s.side = 's' AND s.pos = s_pos WHERE t.side = 't'""",
 )
 def align_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -508,6 +525,33 @@ def parse_valid(spark: SparkSession, d: str) -> DataFrame:
     return good.select("case_id", "agent_id", F.size("edges").cast("long").alias("n_edges"), "repaired")
 
 
+#: One break of JSON's rules for each event, by its number: missing commas between fields and nodes, a node and a list that aren't closed,
+#: bare keys and words, single quotes and words of another language, a line feed and quotes inside a string, comments and an ellipsis, an
+#: answer cut off inside its second node, a missing colon and a missing value, commas that are too many.
+_DAMAGED = """'{' || CASE k WHEN 3 THEN 'facts' ELSE '"facts"' END || ': [{' || CASE k WHEN 3 THEN 'fid: F1, label: user ' || user_id
+  WHEN 4 THEN chr(39) || 'fid' || chr(39) || ': ' || chr(39) || 'F1' || chr(39) || ', ' || chr(39) || 'label' || chr(39) || ': ' || chr(39) || 'user ' || user_id || chr(39) || ', "support_quote": None'
+  ELSE '"fid": "F1"' || CASE k WHEN 0 THEN ' ' ELSE ', ' END || '"label"' || CASE k WHEN 10 THEN ' ' ELSE ': ' END || '"' || CASE k WHEN 5 THEN 'user' || chr(10) WHEN 6 THEN 'the "user" ' ELSE 'user ' END || user_id || '"' END
+  || CASE k WHEN 10 THEN ', "support_quote": ' WHEN 11 THEN ',,' ELSE '' END || CASE k WHEN 2 THEN '' ELSE '}' END || CASE k WHEN 1 THEN chr(10) WHEN 11 THEN ',,' ELSE ', ' END
+  || CASE k WHEN 7 THEN '// more facts' || chr(10) || '... ' ELSE '' END || '{"fid": "F2", "la' || CASE k WHEN 8 THEN '' ELSE 'bel": "b"}' || CASE k WHEN 9 THEN '' ELSE ']' END
+  || ', /* law */ "rules": [{"rid": "R1", "citation": "c", "label": "l", "jurisdiction": "j"}], "edges": [{"eid": "E1", "src": "F1", "dst": "R1", "type": "supports"}]}' END"""
+
+
+@query(
+    "parse_repaired",
+    """SELECT event_id::VARCHAR AS case_id, event_id % 12 AS damage, CASE event_id % 12 WHEN 8 THEN 1 ELSE 2 END::BIGINT AS n_facts,
+    CASE event_id % 12 WHEN 5 THEN 'user' || chr(10) WHEN 6 THEN 'the "user" ' ELSE 'user ' END || user_id || CASE event_id % 12 WHEN 8 THEN '' ELSE '|b' END AS labels,
+    CASE event_id % 12 WHEN 8 THEN 0 ELSE 1 END::BIGINT AS n_rules, CASE event_id % 12 WHEN 8 THEN 0 ELSE 1 END::BIGINT AS n_edges, true AS repaired FROM events""",
+)
+def parse_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Events as answers whose JSON is broken in twelve ways: all of them become valid graphs."""
+    lit = F.lit
+    rows = A.spread(A.read(spark, d, "events")).withColumn("k", F.col("event_id") % 12)
+    text = F.concat(lit(f"Notes. {S.JSON_MARKER} "), F.expr(_DAMAGED))
+    good, _ = parse.parse_responses(rows.select(F.col("event_id").cast("string").alias("case_id"), lit("agent").alias("source"), lit("m").alias("model_name"), F.col("k").cast("string").alias("agent_id"), text.alias("text")))
+    labels = F.array_join(F.transform("facts", lambda x: x["label"]), "|")
+    return good.select("case_id", F.col("agent_id").cast("long").alias("damage"), F.size("facts").cast("long").alias("n_facts"), labels.alias("labels"), F.size("rules").cast("long").alias("n_rules"), F.size("edges").cast("long").alias("n_edges"), "repaired")
+
+
 @query(
     "parse_rejects",
     f"""SELECT event_id::VARCHAR AS case_id, event_type AS agent_id, CASE event_type WHEN 'signup' THEN 'no graph found' WHEN 'error' THEN 'required F' || event_id || ' label' ELSE 'edge_ref E1 dst=R2' END AS reason

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.functions import expressions as X
 from tessera.operators import align as al
-from tessera.operators import assign, calibrate, diff, explain, nodes, parse, report, similarity, sweep
+from tessera.operators import assign, calibrate, citations, diff, explain, nodes, parse, report, similarity, sweep
 from tests.graphs import baseline, edge, fact, frame, graph, rule
 
 
@@ -148,6 +148,72 @@ def test_greedy_with_ties(spark, limit):
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
 
+PAIR = "case_id string, student string, node_type string, t_pos int, s_pos int, similarity double"
+
+
+def test_ties_take_few_rounds(spark):
+    """300 x 300 tied pairs are one block; with gaps in it, rounds follow the pairs folded, not the matches."""
+    rng = random.Random(7)
+    every = [(t, s, 1.0) for t in range(300) for s in range(300)]
+    gaps = [x for x in every if rng.random() < 0.9 and x[0] < 220] + [(t, s, 0.5) for t in range(220, 300) for s in range(0, 300, 7)]
+    for pairs, most in ((every, 1), (gaps, 5)):
+        df = spark.createDataFrame([("c", "s", "F", *x) for x in pairs], PAIR)
+        found, rounds = assign.solve_in_rounds(df)
+        assert rounds <= most and sorted((r["t_pos"], r["s_pos"], r["similarity"]) for r in found.collect()) == greedy(pairs)
+
+
+def test_rounds_agree_with_the_fold(spark):
+    """Groups of many shapes, so that blocks, first pairs and folds of a few pairs all have their part."""
+    rng, rows, want = random.Random(21), [], {}
+    for g in range(25):
+        n, m, levels = rng.randint(1, 12), rng.randint(1, 12), [round(rng.random(), 3) for _ in range(rng.randint(1, 4))]
+        side = [rng.randrange(3) for _ in range(n + m)]
+        pairs = [(t, s, levels[(side[t] + side[n + s]) % len(levels)]) for t in range(n) for s in range(m) if rng.random() < 0.95]
+        rows += [(f"c{g}", "s", "F", *x) for x in pairs]
+        want[f"c{g}"] = greedy(pairs)
+    got = {}
+    for r in assign.solve_in_rounds(spark.createDataFrame(rows, PAIR), fold_pairs=3)[0].collect():
+        got.setdefault(r["case_id"], []).append((r["t_pos"], r["s_pos"], r["similarity"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def cite(rules):
+    """The first student rule left that shares a token, for each teacher rule in order."""
+    out, used = set(), set()
+    for case in {r[0] for r in rules}:
+        t, s = (sorted((p, set(tok)) for c, side, p, tok in rules if c == case and side == x) for x in "ts")
+        for p, a in t:
+            q = next((q for q, b in s if (case, q) not in used and a & b), None)
+            if q is not None:
+                used.add((case, q))
+                out.add((case, p, q))
+    return out
+
+
+def rule_table(spark, rules):
+    text = lambda tok: " and ".join(f"§ {x}" for x in tok) or "nothing"
+    return spark.createDataFrame([(c, "s", "R", side, p, text(tok)) for c, side, p, tok in rules], "case_id string, student string, node_type string, side string, pos int, citation string")
+
+
+def test_citations_in_order(spark):
+    rng = random.Random(5)
+    rules = [(f"c{g}", side, p, rng.choices(["1-1", "1-2", "2(a)", "2(b)", "3-9", "4"], k=rng.choice((0, 1, 1, 1, 2, 3)))) for g in range(20) for side in "ts" for p in range(rng.randint(0, 9))]
+    rules += [("alone", side, p, ["7-7"]) for side, n in (("t", 9), ("s", 5)) for p in range(n)]
+    got = citations.citation_matches(rule_table(spark, rules))
+    assert {(r["case_id"], r["t_pos"], r["s_pos"]) for r in got.collect()} == cite(rules) and got.where("similarity <> 1").count() == 0
+    assert citations.citation_matches(rule_table(spark, rules).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("extra", [[], ["9-9"]])
+def test_a_token_of_many_rules_makes_no_product(spark, extra):
+    """5,000 rules on each side cite the same, and with ``extra`` one cites more: matches come in order, and no pairs are made."""
+    rules = [("c", side, p, ["5-5", *(extra if p == 17 else [])]) for side in "ts" for p in range(5000)]
+    m = citations.citation_matches(rule_table(spark, rules))
+    assert [(r["t_pos"], r["s_pos"]) for r in m.orderBy("t_pos").collect()] == [(p, p) for p in range(5000)]
+    work = list(citations.first_unused([(p, ["a", "b"]) for p in range(20_000)], [(p, ["b", "c"]) for p in range(20_000)]))
+    assert work == [(p, p) for p in range(20_000)]
+
+
 # --- discrepancies ---------------------------------------------------------------------------------------------------
 
 
@@ -379,6 +445,56 @@ def test_repair(spark, text, want):
     assert (json.loads(got) if got else None) == (want or None)
 
 
+BROKEN = [
+    ('{"f": [{"a": "1" "b": "2"} {"a": "3"}] "g": []}', {"f": [{"a": "1", "b": "2"}, {"a": "3"}], "g": []}),
+    ('{"f": [{"a": "he said "yes" to it", "b": "line\nfeed\t"}]}', {"f": [{"a": 'he said "yes" to it', "b": "line\nfeed\t"}]}),
+    ("{'f': [{'a': 'tenant\\'s duty', b: True, c: None, d: NaN, e: -1.5e3, g: 01}]}", {"f": [{"a": "tenant's duty", "b": True, "c": None, "d": None, "e": -1500.0, "g": "01"}]}),
+    ("{f: [{a: F1, b: the tenant pays}]}", {"f": [{"a": "F1", "b": "the tenant pays"}]}),
+    ('{"f": [{"a": "1", "b": "2", {"a": "3"}]}', {"f": [{"a": "1", "b": "2"}, {"a": "3"}]}),
+    ('{"f": [{"a": "1"}, // more\n ... ], # note "x"\n "g": [] /* none */}', {"f": [{"a": "1"}], "g": []}),
+    ('{"f": [{"a": "1"}, "g": [{"a": "2"}]}', {"f": [{"a": "1"}], "g": [{"a": "2"}]}),
+    ('{"f": [{"a": ["x", "y", "b": "2"}]}', {"f": [{"a": ["x", "y"], "b": "2"}]}), ('{"f": [{"a": ["x", "y"}, {"a": []}]}', {"f": [{"a": ["x", "y"]}, {"a": []}]}),
+    ('{"f": [{"a": "1,\n "b": "2"}]}', {"f": [{"a": "1", "b": "2"}]}), ('{"f": [{"a": }, {"b" "2"}], "g": [}', {"f": [{}, {"b": "2"}], "g": []}),
+    ('{"f": [{"a": "C:\\x \\\\ \\u00e9 \\""}]}]]}}', {"f": [{"a": 'C:x \\ é "'}]}), ('{"f": [],, "g": [,1,,2,]}', {"f": [], "g": [1, 2]}), ('{"f": [{"a": "1"} }', {"f": [{"a": "1"}]}),
+    ('{"f": [{"a": "http://x.y/z", "b": "a, b: c {d} [e]"}]', {"f": [{"a": "http://x.y/z", "b": "a, b: c {d} [e]"}]}), ('{"f": [{"a": "1"}}, {"a": "2"}]}', {"f": [{"a": "1"}, {"a": "2"}]}),
+    ('{"f": [{"a": ""}, {"a": "", "b": ""}]', {"f": [{"a": ""}, {"a": "", "b": ""}]}), ('{"facts": [{"fid": "F1", "label": "a"}, {"fid": "F2", "la', {"facts": [{"fid": "F1", "label": "a"}]}),
+    ('{"facts": [{"fid": "F1", "label": "a"}, {"fid": "F2", "label": "b", "polarity": "pre', {"facts": [{"fid": "F1", "label": "a"}, {"fid": "F2", "label": "b"}]}), ('{"facts": [{"fid": "F1", "la', {"facts": [{"fid": "F1"}]}),
+]
+
+
+def test_repair_of_broken_rules(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(BROKEN)], "i int, t string")
+    for r in df.select("i", parse.repair_json(F.col("t")).alias("r")).collect():
+        assert json.loads(r["r"]) == BROKEN[r["i"]][1], BROKEN[r["i"]][0]
+
+
+def test_repair_of_whole_json_and_of_every_cut(spark):
+    """Correct JSON keeps its value; wherever it is cut, what comes out is JSON and holds no node that wasn't there."""
+    whole = json.loads(GOOD)
+    texts = [GOOD[:i] for i in range(1, len(GOOD) + 1)]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(4).orderBy("i").select(parse.repair_json(F.col("t"))).collect()]
+    assert json.loads(got[-1]) == whole
+    for text, out in zip(texts, got):
+        for key, value in (json.loads(out) if out else {}).items():
+            assert all(x.items() <= y.items() for x, y in zip(value, whole[key])) if isinstance(value, list) else value == whole[key], text
+
+
+def test_repair_of_a_long_answer(spark):
+    """Work grows with the tokens: 45,000 of them, escapes without end, and a node of many pieces."""
+    nodes_ = ", ".join(f'{{"fid": "F{i}" "label": "x \\" y"}}' for i in range(5000))
+    refs = ", ".join(f'"F{i}"' for i in range(3000))
+    texts = ['{"facts": [' + nodes_ + ', {"fid": "F', '{"facts": [{"fid": "F1", "label": "' + '\\"' * 60_000 + '"}, {"fid', '{"conclusions": [{"cid": "C1" "determination": "x", "support_refs": [' + refs]
+    got = [json.loads(r[0]) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).orderBy("i").select(parse.repair_json(F.col("t"))).collect()]
+    assert [x["fid"] for x in got[0]["facts"]] == [f"F{i}" for i in range(5000)] and got[1]["facts"][0]["label"] == '"' * 60_000
+    assert got[2]["conclusions"][0]["support_refs"] == [f"F{i}" for i in range(3000)]
+
+
+def test_a_cut_node_goes_and_its_graph_stays(spark):
+    good, bad = parsed(spark, '{"facts": [{"fid": "F1", "label": "a"}, {"fid": "F2", "la')
+    assert not bad and good[0]["repaired"] and [f["fid"] for f in good[0]["facts"]] == ["F1"]
+    assert parsed(spark, '{"facts": [{"fid": "F1", "la')[1] == ["required F1 label"]
+
+
 def test_mended_graphs_say_so(spark):
     cut = GOOD[: GOOD.index('"edges"') + 12]
     good, bad = parsed(spark, f"{S.JSON_MARKER} {cut}")
