@@ -36,29 +36,49 @@ def _sides() -> list[Column]:
     return [F.count_if(F.col("side") == s).alias(f"n_{s}") for s in "ts"]
 
 
+def _counted_terms(words: Column) -> Column:
+    """Terms of a text as sorted (h, k, tf): 96 bits that stand for group and term, and how often the text has it."""
+    # the group is hashed once a row; both hashes of a (group, term) would have to meet another's for an error
+    keys = F.transform(X.terms(words), lambda t: F.struct(F.xxhash64(F.col("_g"), t).alias("h"), F.hash(F.col("_k"), t).alias("k")))
+
+    def runs(s: Column) -> Column:
+        last = F.transform(s, lambda x, i: F.when(~F.coalesce(F.get(s, i + 1) == x, F.lit(False)), F.struct(x["h"].alias("h"), x["k"].alias("k"), (i + 1).alias("end"))))
+        return F.filter(last, lambda x: x.isNotNull())
+
+    def counts(r: Column) -> Column:
+        return F.transform(r, lambda x, i: F.struct(x["h"].alias("h"), x["k"].alias("k"), (x["end"] - F.coalesce(F.get(r, i - 1)["end"], F.lit(0))).alias("tf")))
+
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    return once(once(F.sort_array(keys), runs), counts)
+
+
 def tfidf_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs with cosine >= threshold (> 0) of TF-IDF vectors over words and word pairs.
 
-    idf = ln((1 + n) / (1 + df)) + 1 over the texts of the group, both sides, empty ones too. Only pairs that
-    share a term meet, in a join by (group, term) and, where a term is common, by blocks of it; the norms are a
-    small sum by node. A group in which no text has a term falls back to equality of trimmed lower-case texts.
+    idf = ln((1 + n) / (1 + df)) + 1 over the texts of the group, both sides, empty ones too. Terms are counted inside
+    their row and go on as numbers. A term that only one text of its group has is never joined: it counts in that text's
+    norm alone, which its row can tell. Of the others, those that both sides have meet in a join by term and, where a
+    term is common, by blocks of it. A group in which no text has a term falls back to equality of trimmed lower-case texts.
     """
     if threshold <= 0:
         raise ValueError("a join by terms needs a threshold above 0")
-    n = nodes.groupBy(*GROUP).agg(F.count("*").alias("n"), F.count_if(F.lower("match_text").rlike(X.TOKEN)).alias("with_terms"))
-    words = nodes.select(*NODE, X.tokens(F.col("match_text")).alias("words"))  # a step of its own, so that texts are cut once
-    counted = words.select(*NODE, F.explode(X.terms(F.col("words"))).alias("term")).groupBy(*NODE, "term").agg(F.count("*").alias("tf"))
-    # a hash leads the keys: sorts then settle nearly all rows by one number; the keys themselves still decide
-    counted = materialize(counted.withColumn("h", F.xxhash64(*GROUP, "term")))
-    by_term = counted.groupBy("h", *GROUP, "term").agg(*_sides()).join(n.select(*GROUP, "n"), GROUP)
-    weighted = counted.join(by_term, ["h", *GROUP, "term"]).withColumn("df", F.col("n_t") + F.col("n_s"))
-    # both sides of the join and the norms read the term weights: they are written once
-    weighted = materialize(weighted.withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).select("h", *NODE, "term", "w", "n_t", "n_s"))
-    norms = weighted.groupBy(*NODE).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    t, s = (rows.select("h", *GROUP, "term", "i", "j", F.col("pos").alias(f"{side}_pos"), F.col("w").alias(f"w_{side}")) for rows, side in zip(_met(weighted), "ts", strict=True))
-    dots = t.join(s, ["h", *GROUP, "term", "i", "j"]).groupBy(*GROUP, "t_pos", "s_pos").agg(F.sum(F.col("w_t") * F.col("w_s")).alias("dot"))
-    for s in "ts":
-        dots = dots.join(norms.where(F.col("side") == s).select(*GROUP, F.col("pos").alias(f"{s}_pos"), F.col("norm").alias(f"norm_{s}")), [*GROUP, f"{s}_pos"])
+    n = materialize(nodes.groupBy(*GROUP).agg(F.count("*").alias("n"), F.count_if(F.lower("match_text").rlike(X.TOKEN)).alias("with_terms")))
+    cut = nodes.select(*NODE, "match_text").join(n.select(*GROUP, "n"), GROUP).withColumns({"_g": F.xxhash64(*GROUP), "_k": F.hash(*GROUP)})
+    terms = F.element_at(F.transform(F.array(X.tokens(F.col("match_text"))), _counted_terms), 1)
+    vectors = materialize(cut.select(F.monotonically_increasing_id().alias("nid"), *NODE, "n", terms.alias("terms")))
+    squares = F.aggregate("terms", F.lit(0).cast("long"), lambda a, x: a + x["tf"].cast("long") * x["tf"])
+    rows = vectors.select("nid", "side", "n", F.inline("terms"))
+    common = rows.groupBy("h", "k").agg(*_sides()).where("n_t + n_s > 1")
+    idf = lambda df: F.log((1.0 + F.col("n")) / (1.0 + df)) + 1.0
+    shared = materialize(rows.join(common, ["h", "k"]).select("h", "k", "nid", "side", "tf", (F.col("tf") * idf(F.col("n_t") + F.col("n_s"))).alias("w"), "n_t", "n_s"))
+    parts = shared.groupBy("nid").agg(F.sum(F.col("w") * F.col("w")).alias("w2"), F.sum(F.col("tf").cast("long") * F.col("tf")).alias("tf2"))
+    lone = vectors.select("nid", *NODE, "n", squares.alias("sq")).join(parts, "nid", "left").na.fill(0, ["w2", "tf2"])
+    norms = materialize(lone.select("nid", *NODE, F.sqrt(F.col("w2") + (F.col("sq") - F.col("tf2")) * idf(F.lit(1.0)) * idf(F.lit(1.0))).alias("norm")))
+    t, s = (rows.select("h", "k", "i", "j", F.col("nid").alias(f"{side}_nid"), F.col("w").alias(f"w_{side}")) for rows, side in zip(_met(shared.withColumn("pos", F.col("nid"))), "ts", strict=True))
+    dots = t.join(s, ["h", "k", "i", "j"]).groupBy("t_nid", "s_nid").agg(F.sum(F.col("w_t") * F.col("w_s")).alias("dot"))
+    for side, keep in (("t", GROUP), ("s", [])):
+        own = norms.where(F.col("side") == side).select(F.col("nid").alias(f"{side}_nid"), *keep, F.col("pos").alias(f"{side}_pos"), F.col("norm").alias(f"norm_{side}"))
+        dots = dots.join(own, f"{side}_nid")
     close = dots.withColumn("similarity", F.round(F.col("dot") / (F.col("norm_t") * F.col("norm_s")), 12)).select(*GROUP, "t_pos", "s_pos", "similarity")
     bare = n.where("with_terms = 0").select(*GROUP)
     text = F.lower(F.trim("match_text"))
