@@ -670,6 +670,27 @@ def calibrate_scores(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.threshold_scores(n, text_edges(n)).drop("student")
 
 
+_CURVE = _FULL[: _FULL.index("vm AS (")]
+
+
+@query(
+    "calibration_curve",
+    _CURVE + """m AS (SELECT t.case_id, t.node_id AS teacher_id, s.node_id AS student_id, t.weight AS wt, s.weight AS ws, round(g.sim, 9) AS sim FROM g JOIN nd t ON t.case_id = g.case_id AND t.node_type = g.node_type AND t.side = 't' AND t.pos = t_pos
+      JOIN nd s ON s.case_id = g.case_id AND s.node_type = g.node_type AND s.side = 's' AND s.pos = s_pos WHERE ok),
+    ev AS (SELECT case_id, sim, -1 AS m, -1 AS h, 0 AS e, -wt - ws AS w FROM m
+      UNION ALL SELECT te.case_id, least(a.sim, b.sim), 0, 0, 1, greatest(a.wt, b.wt) FROM te JOIN m a ON te.case_id = a.case_id AND src = a.teacher_id JOIN m b ON te.case_id = b.case_id AND dst = b.teacher_id
+      WHERE te.side = 't' AND NOT EXISTS (SELECT 1 FROM te s WHERE s.side = 's' AND s.case_id = te.case_id AND s.src = a.student_id AND s.dst = b.student_id AND s.type = te.type)),
+    st AS (SELECT case_id, count(*) FILTER (side = 't') AS m, count(*) FILTER (side = 's') AS h, sum(weight) AS w FROM nd GROUP BY case_id),
+    su AS (SELECT case_id, sim, sum(m) AS m, sum(h) AS h, sum(e) AS e, sum(w) AS w FROM ev GROUP BY ALL)
+    SELECT sim AS threshold, su.case_id, (st.m + sum(su.m) OVER z)::BIGINT AS v_miss, (st.h + sum(su.h) OVER z)::BIGINT AS v_halluc, (sum(su.e) OVER z)::BIGINT AS e_diff, (st.w + sum(su.w) OVER z)::DOUBLE AS l_ged
+    FROM su JOIN st ON su.case_id = st.case_id WINDOW z AS (PARTITION BY su.case_id ORDER BY sim DESC)""",
+)
+def calibration_curve(spark: SparkSession, d: str) -> DataFrame:
+    """Texts scored at every similarity at which a score changes, from one assignment."""
+    n = materialize(A.text_nodes(spark, d))
+    return calibrate.calibration_curve(calibrate.events(n, text_edges(n))).drop("student")
+
+
 _CAL = f"""WITH s AS (SELECT split_part(case_id, '@', 2)::DOUBLE AS threshold, split_part(case_id, '@', 1) AS student, v_miss, v_halluc, l_ged AS g FROM ({_LEVEL_SCORES})),
 j AS (SELECT threshold, max(v_miss) FILTER (student = 'src1') AS v_miss, max(v_halluc) FILTER (student = 'src1') AS v_halluc, max(g) FILTER (student = 'src1') AS l_ged_better, max(g) FILTER (student = 'src0') AS l_ged_worse FROM s GROUP BY ALL),
 k AS (SELECT *, coalesce(v_miss BETWEEN 18 AND 22, false) AS v_miss_ok, coalesce(v_halluc < 10, false) AS v_halluc_ok, coalesce(l_ged_better < l_ged_worse, false) AS ranking_ok FROM j),

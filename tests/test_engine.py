@@ -429,6 +429,34 @@ def test_threshold_scores_are_those_of_each_threshold(spark):
     assert calibrate.recommend(judged).count() == 1
 
 
+def test_curve_is_the_scores_of_each_threshold(spark):
+    """Also where ids repeat, on both sides, so that an id's partner changes as the threshold falls."""
+    rng = random.Random(3)
+    words = "the tool screens ranks resumes of applicants notice was given late not an audit took place".split()
+    some = lambda n, ids: [fact(f"F{i}", " ".join(rng.choices(words, k=5))) for i in ids[:n]]
+    ids = [1, 2, 3, 3, 4, 5, 2]
+    es = [edge(f"E{i}", f"F{a}", f"F{b}", rng.choice(("supports", "triggers"))) for i, (a, b) in enumerate(itertools.permutations(range(1, 6), 2))]
+    t = frame(spark, *(graph(case=f"E{c}", facts=some(7, ids), edges=es) for c in range(4)))
+    s = frame(spark, *(graph(case=f"E{c}", source="agent", agent="s", facts=some(6, ids), edges=rng.sample(es, 9)) for c in range(4)))
+    both = al.pair_sides(nodes.flatten_nodes(t), nodes.flatten_nodes(s))
+    e = nodes.flatten_edges(t).drop("agent_id").withColumn("student", F.lit("s")).withColumn("side", F.lit("t")).unionByName(nodes.flatten_edges(s).withColumnRenamed("agent_id", "student").withColumn("side", F.lit("s")))
+    cols = ("case_id", "v_miss", "v_halluc", "e_diff", "l_ged")
+    changes = calibrate.events(both, e, least=0.1)
+    curve = sorted((r["case_id"], -r["threshold"], *(r[c] for c in cols[1:])) for r in calibrate.calibration_curve(changes).collect())
+    assert len(curve) > 12 and len({r[4] for r in curve}) > 3
+    levels = (0.15, 0.35, 0.55, 0.8)
+    got = {(r["threshold"], *(r[c] for c in cols)) for r in calibrate.threshold_scores(both, e, levels).collect()}
+    want = set()
+    for level in levels:
+        a = al.align(both, threshold=level)
+        scores = diff.l_ged(diff.v_miss(both, a), diff.v_halluc(both, a), diff.e_diff(both, a, e), both).collect()
+        want |= {(level, *(r[c] for c in cols)) for r in scores}
+        for r in scores:  # the curve's last point at or above the level
+            at = [x for x in curve if x[0] == r["case_id"] and -x[1] >= level]
+            assert not at or at[-1][2:] == tuple(r[c] for c in cols[1:])
+    assert got == want
+
+
 def test_responses_that_share_ids(spark):
     bad = GOOD.replace('"I1", "type"', '"F99", "type"')
     df = spark.createDataFrame([("E1", "agent", "m", "s", t) for t in (GOOD, bad, GOOD, "none")], "case_id string, source string, model_name string, agent_id string, text string")
