@@ -5,7 +5,9 @@ and opaque keys behind ``=`` or ``:``. What stands before a seed is a lexical pa
 with its ``=`` or ``:``, and the last two words. Patterns with enough seeds are counted over the whole
 corpus; those that introduce seeds often enough stay, and whatever follows one of them is an instance. On the
 graph of patterns and instances confidence is scored in turns: a pattern's from its instances, an instance's
-from its patterns. Instances that confident patterns vouch for are identifiers too, of kind ``id``.
+from its patterns. Opaque keys are identifiers whatever their pattern is worth, and so are instances that confident
+patterns vouch for; both are of kind ``id``. An instance that occurs more often elsewhere than behind a pattern is
+an ordinary word there: it counts against the pattern, which does not vouch for it.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from tessera.llm.common import let, materialize
 #: Turns of scoring, the least confidence of a found identifier, the fewest distinct seeds behind a pattern, and
 #: the least share of a pattern's occurrences in the corpus that introduce a seed.
 TURNS, CONFIDENT, SUPPORT, SHARE = 3, 0.9, 3, 0.1
+#: What an instance of which nothing is known takes from a pattern's trust, where an ordinary word takes 1: with a digit, and without.
+UNKNOWN_DIGIT, UNKNOWN_WORD = 0.05, 0.5
 #: Prefix sums are formed in runs of this length, so that their cost stays near linear.
 RUN = 256
 
@@ -229,45 +233,81 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def score(edges: DataFrame, turns: int = TURNS) -> DataFrame:
-    """Score the graph of ``edges`` (pattern, instance, seed: distinct); returns ``instance`` and ``score`` of every instance.
+    """Score the graph of ``edges`` (pattern, instance, seed, ordinary: distinct); returns ``instance`` and ``score`` of those a pattern vouches for.
 
-    A pattern's trust is the sum of what its instances count over one more than their number: 1 for a seed, its score for
-    an instance that was confident in the turn before, 0 for others, so that doubtful ones never raise each other. An
+    A pattern's trust is what speaks for it over one more than all that speaks: a seed for it with 1, an instance that was
+    confident in the turn before with its score; an ordinary word against it with 1, and any other instance with a part of
+    that. So a few odd instances cost little, and those that turn out well raise the trust of their other patterns. An
     instance's score is 1 less the product of its patterns' doubts, over patterns of one word or of two, whichever is
     more: they overlap and are not evidence twice. Every sum is formed in part before it is shuffled.
     """
     scores, two = None, F.col("pattern").contains(" ") & ~F.col("pattern").endswith(" =")
+    unknown = F.when(F.col("instance").rlike("[0-9]"), UNKNOWN_DIGIT).otherwise(UNKNOWN_WORD)
     for _ in range(turns):
         known = edges if scores is None else edges.join(scores, "instance", "left")
-        now = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.lit(0.0) if scores is None else F.when(F.col("score") >= CONFIDENT, F.col("score")).otherwise(F.lit(0.0)))
-        trust = known.groupBy("pattern").agg((F.sum(now) / (F.count("*") + 1)).alias("trust"))
-        doubts = edges.join(trust, "pattern").groupBy("instance", two.alias("two")).agg(F.sum(F.log(1 - F.col("trust"))).alias("doubt"))
+        sure = F.lit(0.0) if scores is None else F.when(F.col("score") >= CONFIDENT, F.col("score")).otherwise(F.lit(0.0))
+        good = F.when(F.col("seed"), F.lit(1.0)).otherwise(sure)
+        bad = F.when(good > 0, 0.0).when(F.col("ordinary"), 1.0).otherwise(unknown)
+        trust = known.groupBy("pattern").agg((F.sum(good) / (F.sum(good) + F.sum(bad) + 1)).alias("trust"))
+        vouched = edges.where("seed or not ordinary").join(trust, "pattern")
+        doubts = vouched.groupBy("instance", two.alias("two")).agg(F.sum(F.log(1 - F.col("trust"))).alias("doubt"))
         scores = materialize(doubts.groupBy("instance").agg((1 - F.exp(F.min("doubt"))).alias("score")))
     return scores
 
 
+#: Texts are looked through for so many words at most before they are cut into tokens; with more patterns, all are cut.
+SOUGHT = 64
+
+
+def _mentions(texts: DataFrame, patterns: DataFrame, extra: Column | None = None) -> DataFrame:
+    """Texts that may hold one of ``patterns``, by its last word, or that meet ``extra``: only those need to be cut into tokens."""
+    some = patterns.limit(SOUGHT + 1).collect()
+    if len(some) > SOUGHT:
+        return texts
+    low, cond = F.translate(F.lower("t"), "123456789", "000000000"), F.lit(False) if extra is None else extra
+    for word in sorted({r["pattern"].removesuffix(" =").split(" ")[-1] for r in some}):
+        if word == MARK:
+            for k in KINDS:
+                cond = cond | k.guard(F.col("t"))
+        else:
+            cond = cond | low.contains(word)
+    return texts.where(cond)
+
+
+def _elsewhere(texts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` (pattern, instance, seed, k) with ``ordinary``: the corpus has the instance more often elsewhere than behind the pattern.
+    Where every instance is a seed, the texts aren't read for that."""
+    sought = materialize(edges.where("not seed").select("instance").distinct())
+    if sought.isEmpty():
+        return edges.withColumn("ordinary", F.lit(False))
+    words = texts.select(F.explode(F.regexp_extract_all("t", F.lit(PLAIN), F.lit(0))).alias("token")).select(_instance(F.col("token")).alias("instance"))
+    counts = words.join(_small(sought), "instance", "left_semi").groupBy("instance").agg(F.count("*").alias("c"))
+    return edges.join(counts, "instance", "left").withColumn("ordinary", ~F.col("seed") & (F.coalesce("c", F.lit(0)) > 2 * F.col("k"))).drop("c")
+
+
 def discover(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Identifiers beyond the base kinds: ``k``, ``r`` (a hash of key and text) and ``found``, an array of spans, for the
-    rows that have any. Texts are read three times, and only what follows a pattern that introduces seeds is shuffled."""
+    rows that have any. Only texts that may hold a seed or a pattern are cut into tokens, and only what follows a pattern that
+    introduces seeds, or is a seed itself, is shuffled."""
     texts = _texts(docs, key, text)
     seeds = materialize(contexts(texts, seeded=True).where("seed").select("pattern", _instance(F.col("token")).alias("instance")).distinct())
     supported = materialize(seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern"))
-    counts = contexts(texts).join(_small(supported), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
-    patterns = materialize(counts.where(F.col("seeds") >= SHARE * F.col("n")).select("pattern"))
-    after = contexts(texts, placed=True)
+    counts = contexts(_mentions(texts, supported)).join(_small(supported), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
+    patterns = materialize(counts.where(F.col("seeds") >= SHARE * F.col("n")).select("pattern", F.lit(True).alias("kept")))
+    after = contexts(_mentions(texts, patterns, F.col("t").rlike(MAYBE_SECRET)), placed=True).where(~F.col("token").startswith(MARK))
     if _few(patterns):  # places are told after the join, for the few rows that stay
-        after = _end(after.join(F.broadcast(patterns), "pattern", "left_semi"))
+        after = _end(after.join(F.broadcast(patterns), "pattern", "left").where("kept or seed"))
     else:  # and before it where rows are shuffled, since the arrays would go along
-        after = _end(after).join(patterns, "pattern", "left_semi")
-    after = after.where(~F.col("token").startswith(MARK))
+        after = _end(after).join(patterns, "pattern", "left").where("kept or seed")
     lead = F.length("token") - F.length(F.regexp_replace("token", LEAD, ""))
     end = F.col("end") - F.length("token") + F.length(F.regexp_replace("token", TRAIL, ""))
     span = F.struct((F.col("end") - F.length("token") + lead).alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"))
-    after = materialize(after.select("key", "row", "pattern", _instance(F.col("token")).alias("instance"), "seed", span.alias("s")).where("instance <> ''"))
-    known = seeds.join(_small(patterns), "pattern", "left_semi").select("pattern", "instance", F.lit(True).alias("seed"))
-    edges = materialize(known.unionByName(after.select("pattern", "instance", "seed")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    good = score(edges).where(F.col("score") >= CONFIDENT).select("instance")
-    return after.join(good, "instance").groupBy(F.col("key").alias("k"), F.col("row").alias("r")).agg(F.collect_set("s").alias("found"))
+    after = materialize(after.select("key", "row", "pattern", _instance(F.col("token")).alias("instance"), "seed", "kept", span.alias("s")).where("instance <> ''"))
+    known = seeds.join(_small(patterns), "pattern", "left_semi").select("pattern", "instance", F.lit(True).alias("seed"), F.lit(0).alias("k"))
+    edges = known.unionByName(after.where("kept").select("pattern", "instance", "seed", F.lit(1).alias("k"))).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("k").alias("k"))
+    good = score(materialize(_elsewhere(texts, materialize(edges)))).where(F.col("score") >= CONFIDENT).select("instance", F.lit(True).alias("good"))
+    hits = after.join(good, "instance", "left").where("seed or good and kept")
+    return hits.groupBy(F.col("key").alias("k"), F.col("row").alias("r")).agg(F.collect_set("s").alias("found"))
 
 
 def _listed(spans: Column) -> Column:
@@ -279,7 +319,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, counts per base kind, base_sha256, spans.
 
     A null text is empty and has no spans; a null key is a key like others; repeated rows give repeated
-    results. Only key and text are read.
+    results; texts of any length are read whole; an empty table gives no rows. Only key and text are read.
     """
     occ = materialize(_texts(docs, key, text).select("key", "row", F.transform(base_spans(F.col("t")), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base")))
     more = discover(docs, key, text)

@@ -61,7 +61,7 @@ def pii_tokens(text):
     return out
 
 
-def pii_found(texts, confident, support, share, turns):
+def pii_found(texts, confident, support, share, turns, unknown):
     """Found identifiers by text: {number: {(start, end)}}, by the plain method on whole lists."""
 
     def joint(t):
@@ -97,19 +97,37 @@ def pii_found(texts, confident, support, share, turns):
         one[1] += is_seed
         one[2][inst] = one[2].get(inst, False) or is_seed
     good = {p: {i: s for i, s in insts.items() if i} for p, (n, seeds, insts) in by.items() if sum(insts.values()) >= support and seeds >= share * n}
+    said = {}
+    for text in texts:
+        for m in re.finditer(r"[^\x20\x09-\x0D=:\"'()\[\]<>{}|`\x01\x02]+", text or ""):
+            low, high = shed(m[0])
+            said[m[0][low:high].lower()] = said.get(m[0][low:high].lower(), 0) + 1
+    behind = {}
+    for _, p, inst, _, base, _, _ in rows:
+        if not base:
+            behind[p, inst] = behind.get((p, inst), 0) + 1
+
+    def ordinary(p, i):
+        return not good[p][i] and said.get(i, 0) > 2 * behind.get((p, i), 0)
+
     scores = {}
     for _ in range(turns):
-        trust = {p: sum(1.0 if s else (scores.get(i, 0) if scores.get(i, 0) >= confident else 0.0) for i, s in insts.items()) / (len(insts) + 1) for p, insts in good.items()}
+        trust = {}
+        for p, insts in good.items():
+            pro = {i: 1.0 if s else (scores.get(i, 0) if scores.get(i, 0) >= confident else 0.0) for i, s in insts.items()}
+            con = sum(0 if x else 1 if ordinary(p, i) else unknown[0] if re.search("[0-9]", i) else unknown[1] for i, x in pro.items())
+            trust[p] = sum(pro.values()) / (sum(pro.values()) + con + 1)
         doubt = {}
         for p, insts in good.items():
             two = " " in p and not p.endswith(" =")
             for i in insts:
-                doubt[i, two] = doubt.get((i, two), 1.0) * (1 - trust[p])
+                if not ordinary(p, i):
+                    doubt[i, two] = doubt.get((i, two), 1.0) * (1 - trust[p])
         scores = {}
         for (i, _), v in doubt.items():
             scores[i] = max(scores.get(i, 0.0), 1 - v)
     out = {}
-    for n, p, inst, _, base, a, b in rows:
-        if p in good and not base and inst and scores[inst] >= confident:
+    for n, p, inst, seed, base, a, b in rows:
+        if not base and inst and (seed or p in good and scores.get(inst, 0) >= confident):
             out.setdefault(n, set()).add((a, b))
     return out

@@ -546,12 +546,12 @@ def test_pii_found_spans_against_plain(spark):
     texts += [f"write to u{i}@x.org" for i in range(30)] + [f"write to {w}" for w in ("joe_b", "HOME", "me,")] + [f"went to u{i}@y.org" for i in range(4)] + [f"went to {w}" for w in WORDS * 3]
     texts += [f"mail u{i}@z.org, then" for i in range(20)] + [f"mail {w} {w}" for w in WORDS]
     texts += [f"({i}) call +1 (017) 555-77{i:02d}; ip {i}.2.3.4" for i in range(20)] + ["call ext.77", "ip localhost", "tokens = none"]
-    want = pii_found(texts, pii.CONFIDENT, pii.SUPPORT, pii.SHARE, pii.TURNS)
+    want = pii_found(texts, pii.CONFIDENT, pii.SUPPORT, pii.SHARE, pii.TURNS, (pii.UNKNOWN_DIGIT, pii.UNKNOWN_WORD))
     df = clashing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     got = {r["doc_id"]: {tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("id:")} for r in pii.find(df).collect()}
     assert {k: v for k, v in got.items() if v} == want
     said = [texts[n][a:b] for n, spans in sorted(want.items()) for a, b in sorted(spans)]
-    assert {"hunter2", "swordfish", "z" * 90, "localhost", "ext.77"} <= set(said) and sum(len(x) == 40 for x in said) == 40
+    assert {"hunter2", "swordfish", "z" * 90, "localhost", "ext.77"} <= set(said) and sum(len(x) == 40 for x in said) == 42  # a key stands by itself, also behind a word that has but two
     assert "open-sesame" not in said and not set(WORDS) & set(said)
     red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
     for n, spans in want.items():
@@ -562,6 +562,30 @@ def test_pii_found_spans_against_plain(spark):
     assert red[40] == 'token = "[ID]" and token: ([ID]).' and red[44] == "the token" and red[45] is None
 
 
+@pytest.mark.parametrize("share", [5, 15, 30, 50])
+def test_pii_finds_values_of_another_form(spark, share):
+    """Opaque keys are found at every share of other values, and what isn't opaque by the company it keeps."""
+    rng = random.Random(share)
+    other = lambda i: rng.choice((f"pw-{rng.randrange(10**6)}", f"user{i}x", f"{rng.randrange(10**9)}"))
+    values = [other(i) if rng.randrange(100) < share else secret(rng) for i in range(400)]
+    rows = [(i, f'{text_of(rng, 4)} token = "{v}" {text_of(rng, 3)}') for i, v in enumerate(values)] + [(900 + i, "token = none, or none at all, none") for i in range(5)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {v for i, v in enumerate(values) if any(rows[i][1][int(x.split(":")[1]) : int(x.split(":")[2])] == v for x in got[i].split(",") if x.startswith("id:"))}
+    assert found >= {v for v in values if len(v) == 40} and len(found) >= 0.98 * len(set(values))
+    assert not any("id:" in got[900 + i] for i in range(5))
+
+
+def test_pii_brings_hidden_seeds_back(spark):
+    """Half of the keys behind one word lose their form; they come back by context, while a context that drifts brings nothing."""
+    rng = random.Random(19)
+    hidden = {i: "".join(rng.choice("0123456789abcdef") for _ in range(12)) for i in range(0, 60, 2)}
+    rows = [(i, f"{text_of(rng, 4)} session: {hidden.get(i) or secret(rng)} {text_of(rng, 4)}") for i in range(60)]
+    rows += [(100 + i, f"{text_of(rng, 3)} about: {secret(rng) if i < 9 else w} {text_of(rng, 3)} {w}") for i, w in enumerate(rng.choice(WORDS) for _ in range(60))]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("id:" in got[i] for i in hidden) >= 0.8 * len(hidden) and all("id:" in got[i] for i in range(1, 60, 2))
+    assert all("id:" in got[100 + i] for i in range(9)) and not any("id:" in got[100 + i] for i in range(9, 60))
+
+
 def test_redact_goes_by_place(spark):
     rows = [(i, f"reach them at u{i}@x.org now") for i in range(40)] + [(100, "xjoe_998y reach them at joe_998 then joe_99812, é joe_998"), (101, None)]
     red = {r["doc_id"]: r["text"] for r in pii.redact(clashing(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
