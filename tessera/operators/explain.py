@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
-from tessera.operators.nodes import KEYS, flatten_edges, flatten_nodes, index_nodes
+from tessera.operators.nodes import KEYS, flatten_edges, flatten_nodes, index_nodes, labelled_ids
+from tessera.operators.parse import once
 
 K = list(KEYS)
 FULL = ["case_id", "source", "agent"]
@@ -25,42 +26,48 @@ def _apps(graphs: DataFrame) -> DataFrame:
     return keyed(graphs.select(*K, F.posexplode("applications").alias("pos", "a"))).select(*FULL, "pos", "a.*")
 
 
+def _indexed(graphs: DataFrame, *columns: str, **more: Column) -> DataFrame:
+    """Graphs with what their rows are looked up by: ids and labels of all nodes from the last to the first, so that of equal ids the last counts."""
+    last_first = F.reverse(labelled_ids())
+    keys = [*(F.col(c) for c in FULL[:2]), F.coalesce("agent_id", F.lit("")).alias("agent")]
+    return once(graphs.select(*keys, *columns, last_first.alias("named"), *(c.alias(n) for n, c in more.items())), ids=F.transform("named", lambda x: x["id"]), names=F.transform("named", lambda x: x["label"]))
+
+
+def _found(ids: Column, values: Column, wanted: Column) -> Column:
+    """The value at the first place where ``ids`` has ``wanted``; null if it is nowhere."""
+    return F.get(values, (F.array_position(ids, wanted) - 1).cast("int"))
+
+
+def _named(wanted: Column) -> Column:
+    return F.coalesce(_found(F.col("ids"), F.col("names"), wanted), F.lit("(missing)"))
+
+
 def edge_table(graphs: DataFrame) -> DataFrame:
     """One row per edge with its ends' labels and a reason: its own, else one derived from the nodes around it.
 
     Derived reasons are tried in a fixed order: an application it leads to, one it leaves, an application that
-    ties the fact to the issue, the obligation it leads to.
+    ties the fact to the issue, the obligation it leads to. All of it is in the graph's row, and nothing is joined.
     """
-    edges = keyed(flatten_edges(graphs))
-    names = labels(graphs)
-    out = edges
-    for end in ("src", "dst"):
-        out = out.join(names.select(*FULL, F.col("node_id").alias(end), F.col("label").alias(f"{end}_label")), [*FULL, end], "left")
-    apps = _apps(graphs)
-    by_id = apps.groupBy(*FULL, "aid").agg(F.max_by(F.struct("reasoning", "result"), "pos").alias("x"))
-    into = by_id.select(*FULL, F.col("aid").alias("dst"), F.col("x.reasoning").alias("into"))
-    leaving = by_id.select(*FULL, F.col("aid").alias("src"), F.col("x.reasoning").alias("leaving"), F.col("x.result").alias("result"))
-    ties = apps.where("reasoning <> ''").select(*FULL, F.col("issue_ref").alias("dst"), F.explode("fact_refs").alias("src"), "pos", "aid", "reasoning")
-    ties = ties.groupBy(*FULL, "src", "dst").agg(F.min_by(F.struct("aid", "reasoning"), "pos").alias("tie"))
-    obligations = keyed(graphs.select(*K, F.posexplode("obligations").alias("pos", "o"))).groupBy(*FULL, F.col("o.oid").alias("dst")).agg(F.max_by("o.label", "pos").alias("duty"))
-    out = out.join(into, [*FULL, "dst"], "left").join(leaving, [*FULL, "src"], "left").join(ties, [*FULL, "src", "dst"], "left").join(obligations, [*FULL, "dst"], "left")
-    kind = F.col("type")
+    of = lambda items, field: F.transform(F.reverse(F.coalesce(F.col(items), F.array())), lambda x: x[field])
+    rows = _indexed(
+        graphs, "edges", "applications", aids=of("applications", "aid"), whys=of("applications", "reasoning"), results=of("applications", "result"), oids=of("obligations", "oid"), duties=of("obligations", "label")
+    )
+    rows = rows.select(*FULL, "ids", "names", "applications", "aids", "whys", "results", "oids", "duties", F.posexplode("edges").alias("pos", "e")).select("*", "e.*")
+    kind, src, dst = F.col("type"), F.col("src"), F.col("dst")
+    into, leaving, result = (_found(F.col("aids"), F.col(c), e) for c, e in (("whys", dst), ("whys", src), ("results", src)))
+    tie = F.get(F.filter("applications", lambda a: (a["reasoning"] != "") & (a["issue_ref"] == dst) & F.array_contains(a["fact_refs"], src)), 0)
+    duty = _found(F.col("oids"), F.col("duties"), dst)
     reasons = [
-        (kind.isin("applies-to", "supports", "contradicts") & (F.col("into") != ""), F.concat(F.lit("*(from "), "dst", F.lit("'s reasoning)* "), "into")),
-        (
-            kind.isin("satisfies-element", "fails-element", "supports") & (F.col("leaving") != ""),
-            F.concat(F.lit("*(from "), "src", F.lit(" — result="), F.coalesce("result", F.lit("")), F.lit(")* "), "leaving"),
-        ),
-        ((kind == "triggers") & F.col("tie").isNotNull(), F.concat(F.lit("*(from "), "tie.aid", F.lit(" which subsumes "), "src", F.lit(" under "), "dst", F.lit(")* "), "tie.reasoning")),
-        (F.col("duty") != "", F.concat(F.lit("*(from obligation "), "dst", F.lit(")* "), "duty")),
+        (kind.isin("applies-to", "supports", "contradicts") & (into != ""), F.concat(F.lit("*(from "), dst, F.lit("'s reasoning)* "), into)),
+        (kind.isin("satisfies-element", "fails-element", "supports") & (leaving != ""), F.concat(F.lit("*(from "), src, F.lit(" — result="), F.coalesce(result, F.lit("")), F.lit(")* "), leaving)),
+        ((kind == "triggers") & tie.isNotNull(), F.concat(F.lit("*(from "), tie["aid"], F.lit(" which subsumes "), src, F.lit(" under "), dst, F.lit(")* "), tie["reasoning"])),
+        (duty != "", F.concat(F.lit("*(from obligation "), dst, F.lit(")* "), duty)),
     ]
     derived = F.coalesce(*(F.when(c, v) for c, v in reasons), F.lit("—"))
-    origin = F.when(X.filled(F.col("justification")).isNotNull(), "own").when(derived != "—", "derived").otherwise("unknown")
-
-    def end(c: str) -> Column:
-        return F.concat(F.col(c), F.lit(" — "), F.substring(F.coalesce(f"{c}_label", F.lit("(missing)")), 1, 60))
-
-    return out.select(*FULL, "pos", F.col("eid").alias("edge"), end("src").alias("source_node"), "type", end("dst").alias("target_node"), F.coalesce(X.filled(F.col("justification")), derived).alias("justification"), origin.alias("origin"))
+    out = rows.select(*FULL, "pos", F.col("eid").alias("edge"), *(F.concat(e, F.lit(" — "), F.substring(_named(e), 1, 60)).alias(n) for e, n in ((src, "source_node"), (dst, "target_node"))), "type", "justification", derived.alias("derived"))
+    own = X.filled(F.col("justification"))
+    origin = F.when(own.isNotNull(), "own").when(F.col("derived") != "—", "derived").otherwise("unknown")
+    return out.select(*FULL, "pos", "edge", "source_node", "type", "target_node", F.coalesce(own, "derived").alias("justification"), origin.alias("origin"))
 
 
 def justification_coverage(table: DataFrame) -> DataFrame:
@@ -69,22 +76,16 @@ def justification_coverage(table: DataFrame) -> DataFrame:
 
 
 def application_traces(graphs: DataFrame) -> DataFrame:
-    """One row per application with its rule, facts (in order, joined by ``; ``) and issue spelled out."""
-    names = labels(graphs)
-    apps = _apps(graphs)
+    """One row per application with its rule, facts (in order, joined by ``; ``) and issue spelled out, from the graph's own row."""
 
-    def named(c: str) -> DataFrame:
-        return names.select(*FULL, F.col("node_id").alias(c), F.col("label").alias(f"{c}_label"))
+    def spelled(x: Column) -> Column:
+        return F.concat(F.coalesce(x, F.lit("")), F.lit(": "), _named(x))
 
-    def spelled(c: str) -> Column:
-        return F.concat(F.coalesce(c, F.lit("")), F.lit(": "), F.coalesce(f"{c}_label", F.lit("(missing)")))
-
-    facts = apps.select(*FULL, "pos", F.posexplode("fact_refs").alias("k", "fact")).join(named("fact"), [*FULL, "fact"], "left")
-    facts = facts.groupBy(*FULL, "pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", spelled("fact").alias("f")))), lambda x: x["f"]), "; ").alias("facts"))
-    out = apps.join(named("rule_ref"), [*FULL, "rule_ref"], "left").join(named("issue_ref"), [*FULL, "issue_ref"], "left").join(facts, [*FULL, "pos"], "left")
-    return out.select(
-        *FULL, "pos", "aid", spelled("rule_ref").alias("rule"), F.coalesce("facts", F.lit("")).alias("facts"), spelled("issue_ref").alias("issue"), "result", F.coalesce("reasoning", F.lit("")).alias("reasoning")
-    )
+    apps = _indexed(graphs, "applications").select(*FULL, "ids", "names", F.posexplode("applications").alias("pos", "a")).select("*", "a.*")
+    facts = F.array_join(F.transform("fact_refs", spelled), "; ")
+    return apps.select(
+        *FULL, "pos", "aid", spelled(F.col("rule_ref")).alias("rule"), F.coalesce(facts, F.lit("")).alias("facts"), spelled(F.col("issue_ref")).alias("issue"), "result", F.coalesce("reasoning", F.lit("")).alias("reasoning")
+    )
 
 
 def inbound_edges(graphs: DataFrame) -> DataFrame:

@@ -59,6 +59,22 @@ def _typed(kind: str, column: str, raw: bool) -> Column:
     return F.transform(F.col(column), lambda x, i: _node(kind, x, i, raw))
 
 
+def labelled_ids() -> Column:
+    """All nodes of a graph as (id, label), in list order, inside its row."""
+
+    def of(kind: str) -> Column:
+        column, key = S.NODE_LISTS[kind]
+        have = {"F": ("label",), "I": ("label",), "R": ("label", "citation"), "A": ("reasoning",), "C": ("determination",), "O": ("label",)}[kind]
+
+        def one(x: Column) -> Column:
+            parts = (x[f] if f in have else F.lit(None).cast("string") for f in ("label", "reasoning", "determination", "citation"))
+            return F.struct(x[key].alias("id"), X.label_of(*parts).alias("label"))
+
+        return F.coalesce(F.transform(F.col(column), one), F.array())
+
+    return F.concat(*map(of, S.NODE_LISTS))
+
+
 def flatten_edges(graphs: DataFrame) -> DataFrame:
     return graphs.select(*KEYS, F.posexplode("edges").alias("pos", "e")).select(*KEYS, "pos", "e.*")
 

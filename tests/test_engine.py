@@ -369,6 +369,11 @@ def test_edge_reasons_in_order(spark):
     assert t["E3"]["justification"] == "*(from A1 — result=violated)* because"
     assert t["E4"]["justification"] == "*(from A1 which subsumes F1 under I1)* because"
     assert t["E5"]["justification"] == "*(from obligation O1)* post it" and t["E6"]["justification"] == "—" and t["E6"]["target_node"] == "X9 — (missing)"
+    for f in (explain.edge_table, explain.application_traces):
+        assert "Exchange" not in f(frame(spark, g))._jdf.queryExecution().executedPlan().toString()
+    twice = g | {"facts": [*g["facts"], fact("F1", "the last one counts")], "applications": [app, mute]}
+    t = {r["edge"]: r for r in explain.edge_table(frame(spark, twice, twice)).collect()}
+    assert t["E1"]["source_node"] == "F1 — the last one counts" and explain.edge_table(frame(spark, twice, twice)).count() == 12
     c = explain.justification_coverage(explain.edge_table(frame(spark, g))).first()
     assert (c["edges"], c["own"], c["derived"], c["unknown"]) == (6, 1, 4, 1)
     tr = {r["aid"]: r for r in explain.application_traces(frame(spark, g)).collect()}
