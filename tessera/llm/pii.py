@@ -6,7 +6,7 @@ with its ``=`` or ``:``, and the last two words. Patterns with enough seeds are
 corpus; those that introduce seeds often enough stay, and whatever follows one of them is an instance. On the
 graph of patterns and instances confidence is scored in turns: a pattern's from its instances, an instance's
 from its patterns. Opaque keys are identifiers whatever their pattern is worth, and so are instances that confident
-patterns vouch for; both are of kind ``id``. An instance that occurs more often elsewhere than behind a pattern is
+patterns vouch for; both are of kind ``id`` (a key that holds a base match is not seen as one). An instance that occurs more often elsewhere than behind a pattern is
 an ordinary word there: it counts against the pattern, which does not vouch for it.
 """
 
