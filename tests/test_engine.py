@@ -525,7 +525,7 @@ def test_repair_of_a_long_answer(spark):
 def test_a_cut_node_goes_and_its_graph_stays(spark):
     good, bad = parsed(spark, '{"facts": [{"fid": "F1", "label": "a"}, {"fid": "F2", "la')
     assert not bad and good[0]["repaired"] and [f["fid"] for f in good[0]["facts"]] == ["F1"]
-    assert parsed(spark, '{"facts": [{"fid": "F1", "la')[1] == ["required F1 label"]
+    assert parsed(spark, S.JSON_MARKER + '{"facts": [{"fid": "F1", "la')[1] == ["required F1 label"]
 
 
 def test_mended_graphs_say_so(spark):
