@@ -407,7 +407,11 @@ def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     Rejects carry a reason and the first 500 characters of what couldn't be used. A graph whose JSON had to be mended
     says so in ``repaired``.
     """
-    rows = checked_responses(responses)
+    return split_checked(checked_responses(responses))
+
+
+def split_checked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid graphs and rejects of checked responses; who writes both should write ``rows`` once before, so that they are decoded once."""
     return rows.where("reason is null").drop("reason", "excerpt"), rows.where("reason is not null").select("case_id", "source", "model_name", "agent_id", "reason", "excerpt")
 
 

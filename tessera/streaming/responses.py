@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.parse import parse_responses
+from tessera.functions.tables import materialize
+from tessera.operators.parse import checked_responses, split_checked
 
 RESPONSE_DDL = "case_id STRING, source STRING, model_name STRING, agent_id STRING, text STRING"
 
@@ -18,7 +19,7 @@ def follow(spark: SparkSession, path: str, out: str, checkpoint: str) -> Streami
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        good, bad = parse_responses(batch)
+        good, bad = split_checked(materialize(checked_responses(batch)))
         good.write.mode("overwrite").parquet(f"{out}/graphs/batch={number}")
         bad.write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
 
