@@ -27,10 +27,13 @@ def split_response(text: Column) -> tuple[Column, Column]:
 
 
 def strip_fence(blob: Column) -> Column:
-    """Without a leading fence line and without the last later line that begins with a fence and what follows it."""
+    """Without a leading fence line and without the last later line that begins with a fence and what follows it.
+
+    Outside a fence the end stays as it is: where an answer is cut off, white space there is part of its unfinished string.
+    """
     trimmed = F.regexp_replace(blob, r"^\s+|\s+$", "")
     body = F.regexp_replace(trimmed, r"(?s)^\x60{3}[^\n]*\n?", "")
-    return F.when(trimmed.startswith(FENCE), F.regexp_replace(body, r"(?s)(^|\n)\s*\x60{3}(?!.*\n\s*\x60{3}).*$", "")).otherwise(trimmed)
+    return F.when(trimmed.startswith(FENCE), F.regexp_replace(body, r"(?s)(^|\n)\s*\x60{3}(?!.*\n\s*\x60{3}).*$", "")).otherwise(F.regexp_replace(blob, r"^\s+", ""))
 
 
 def view_split(text: Column) -> tuple[Column, Column]:
