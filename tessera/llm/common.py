@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.tables import materialize, shared_dir, ship
+from tessera.functions.tables import materialize, shared_dir, ship, small_batches
 
 __all__ = ["WS", "WS_RE", "attempt_name", "let", "materialize", "open_fs", "read", "shared_dir", "shipped", "spread", "words_of"]
 
@@ -23,16 +23,10 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-#: Texts go to Python in batches of so many bytes, unless the session's settings say otherwise than the default does.
-BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
-
-
 def shipped(df: DataFrame) -> DataFrame:
     """``df``, once the workers have this package and get their rows in small batches."""
-    spark = df.sparkSession
-    ship(spark)
-    if spark.conf.get(BATCH_SETTING, "1") == BATCH_DEFAULT and not spark.sparkContext.getConf().contains(BATCH_SETTING):
-        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    ship(df.sparkSession)
+    small_batches(df.sparkSession)
     return df
 
 

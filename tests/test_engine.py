@@ -2,7 +2,9 @@
 
 import itertools
 import json
+import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.functions import expressions as X
 from tessera.operators import align as al
-from tessera.operators import assign, calibrate, citations, diff, explain, nodes, parse, report, similarity, sweep
+from tessera.operators import assign, blocks, calibrate, citations, diff, explain, nodes, parse, report, similarity, sweep
 from tests.graphs import baseline, edge, fact, frame, graph, rule
 
 
@@ -113,6 +115,47 @@ def test_rules_by_citation_then_text(spark):
     assert pair(t, [rule("R9", "§ 1", "zz")]) == {"R1": ("R9", 1.0), "R2": (None, 0.0)}
 
 
+def _plain_tfidf(rows):
+    """All pairs of rows (case, side, pos, text) with a cosine of 0.1 or more, by dictionaries."""
+    found, terms = {}, {}
+    for case, side, pos, text in rows:
+        w = re.findall(r"\w{2,}", text.lower())
+        terms[case, side, pos] = Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    for case in {r[0] for r in rows}:
+        own = {k: v for k, v in terms.items() if k[0] == case}
+        df = Counter(t for v in own.values() for t in v)
+        vec = {k: {t: n * (math.log((1 + len(own)) / (1 + df[t])) + 1) for t, n in v.items()} for k, v in own.items()}
+        norm = {k: math.sqrt(sum(x * x for x in v.values())) for k, v in vec.items()}
+        for a, b in itertools.product(own, own):
+            if (a[1], b[1]) == ("t", "s") and norm[a] and norm[b]:
+                sim = round(sum(x * vec[b].get(t, 0) for t, x in vec[a].items()) / norm[a] / norm[b], 9)
+                if sim >= 0.1:
+                    found[case, a[2], b[2]] = sim
+    return found
+
+
+@pytest.mark.parametrize("small,texts,products", [(256, 4096, 1 << 21), (0, 4096, 1 << 21), (0, 7, 64), (40, 11, 50)])
+def test_tfidf_in_rows_and_in_blocks(spark, monkeypatch, small, texts, products):
+    monkeypatch.setattr(similarity, "SMALL", small)
+    monkeypatch.setattr(similarity, "TEXTS", texts)
+    monkeypatch.setattr(blocks, "PRODUCTS", products)
+    rng = random.Random(5)
+    rows = [(f"c{c}", side, p, " ".join(rng.choice(["alpha", "Beta", "gamma", "x", "delta", "ünder", "zeta9", "§", "_a"]) for _ in range(rng.randrange(9)))) for c, n in enumerate((3, 20, 45)) for side in "ts" for p in range(n)]
+    rows += [("one", "t", 0, "alone here"), ("none", "t", 0, ""), ("none", "s", 0, "")]
+    df = spark.createDataFrame(rows, "case_id string, side string, pos int, match_text string").withColumns({"student": F.lit("s"), "node_type": F.lit("F")})
+    got = {(r["case_id"], r["t_pos"], r["s_pos"]): round(r["similarity"], 9) for r in similarity.tfidf_pairs(df, 0.1).collect()}
+    assert got == _plain_tfidf(rows)
+
+
+def test_no_term_is_a_row(spark, monkeypatch):
+    """What is joined and shuffled grows with texts and blocks, not with the products of their terms."""
+    df = spark.createDataFrame([("c", "s", "F", side, p, "one two three four") for side in "ts" for p in range(30)], "case_id string, student string, node_type string, side string, pos int, match_text string")
+    for small in (256, 0):
+        monkeypatch.setattr(similarity, "SMALL", small)
+        plan = similarity.tfidf_pairs(df, 0.1)._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode" not in plan and "inline" not in plan and "sum((w_t" not in plan
+
+
 def test_threshold_is_inclusive_and_fallback(spark):
     df = spark.createDataFrame([("c", "s", "F", side, p, t) for side, p, t in [("t", 1, "a"), ("t", 2, " B "), ("s", 1, "b"), ("s", 2, ""), ("t", 3, "")]], "case_id string, student string, node_type string, side string, pos int, match_text string")
     assert [(r["t_pos"], r["s_pos"], r["similarity"]) for r in similarity.tfidf_pairs(df, 0.1).collect()] == [(2, 1, 1.0)]
