@@ -166,14 +166,31 @@ def tfidf_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
 def embedding_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs with cosine >= threshold of given vectors (column ``vector``); nodes without one are an error.
 
-    Vectors are scaled to unit length once, so that a pair costs one product; a group's sides meet block by block.
+    Vectors are scaled to unit length once; a group's sides meet block by block, and two blocks are one product of matrices.
     """
     v = F.transform("vector", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     checked = F.when(F.col("vector").isNull(), F.raise_error(F.lit("a node has no vector"))).otherwise(F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))))
     unit = materialize(nodes.select(*NODE, checked.alias("u")))
     t, s = _met(unit.join(unit.groupBy(*GROUP).agg(*_sides()), GROUP))
-    t = t.select(*GROUP, "i", "j", F.col("pos").alias("t_pos"), F.col("u").alias("a"))
-    s = s.select(*GROUP, "i", "j", F.col("pos").alias("s_pos"), F.col("u").alias("b"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    return t.join(s, [*GROUP, "i", "j"]).withColumn("similarity", F.round(dot, 12)).where(F.col("similarity") >= F.lit(threshold)).select(*GROUP, "t_pos", "s_pos", "similarity")
+    ship(nodes.sparkSession)
+    small_batches(nodes.sparkSession)
+
+    def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.schema(list(_PAIRS.items())).empty_table()
+        x, y = ([v.values.to_numpy() for v in side.column(c)] for side, c in ((a, "t_u"), (b, "s_u")))
+        width = max(map(len, x + y))
+        left, right = (np.stack([np.pad(v, (0, width - len(v))) for v in side]) for side in (x, y))
+        dots = left @ right.T
+        i, j = np.nonzero(dots >= threshold - blocks.SLACK)
+        group = [pa.array([a.column(f"t_{c}")[0].as_py()] * len(i), pa.string()) for c in GROUP]
+        return pa.Table.from_batches([_found(_PAIRS, group, a.column("t_pos").to_numpy()[i], b.column("s_pos").to_numpy()[j], dots[i, j])])
+
+    def met(rows: DataFrame, side: str):
+        keys = [*GROUP, "i", "j"]
+        named = rows.select(*(F.col(c).alias(f"{side}_{c}") for c in keys), F.col("pos").cast("int").alias(f"{side}_pos"), F.col("u").alias(f"{side}_u"))
+        return named.groupBy(*(f"{side}_{c}" for c in keys))
+
+    found = met(t, "t").cogroup(met(s, "s")).applyInArrow(multiply, _PAIRS_DDL)
+    return found.withColumn("similarity", F.round("similarity", 12)).where(F.col("similarity") >= F.lit(threshold))

@@ -343,6 +343,21 @@ def test_parse_shapes(spark, text):
     assert good[0]["facts"][0]["polarity"] == "present" and good[0]["issues"][0]["status"] == "dispositive" and good[0]["rules"] == []
 
 
+def test_vectors_meet_as_matrices(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    rng = random.Random(2)
+    rows = [(f"c{c}", "s", "F", side, p, [rng.gauss(0, 1) for _ in range(3)]) for c, n in enumerate((2, 11)) for side in "ts" for p in range(n)]
+    df = spark.createDataFrame(rows, "case_id string, student string, node_type string, side string, pos int, vector array<double>")
+    pairs = similarity.embedding_pairs(df, 0.3)
+    assert "zip_with" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for a, b in itertools.product(rows, rows):
+        sim = sum(x * y for x, y in zip(a[5], b[5])) / math.sqrt(sum(x * x for x in a[5]) * sum(y * y for y in b[5]))
+        if a[0] == b[0] and (a[3], b[3]) == ("t", "s") and sim >= 0.3:
+            want[a[0], a[4], b[4]] = round(sim, 9)
+    assert {(r["case_id"], r["t_pos"], r["s_pos"]): round(r["similarity"], 9) for r in pairs.collect()} == want
+
+
 def test_parts_grow_in_number_not_in_rows(spark):
     df = adapters.spread(spark.range(0, 1000, 1, 1), rows=100)
     sizes = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
