@@ -14,7 +14,7 @@ from tessera import schema as S
 from tessera.functions import expressions as X
 from tessera.operators import align as al
 from tessera.operators import assign, blocks, calibrate, citations, diff, explain, nodes, parse, report, similarity, sweep
-from tessera.plans import adapters
+from tessera.plans import adapters, catalog
 from tests.graphs import baseline, edge, fact, frame, graph, rule
 
 
@@ -221,6 +221,34 @@ def test_rounds_agree_with_the_fold(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
 
+def test_kinds_stand_for_their_nodes(spark):
+    """Pairs of kinds, tied and not, give the matches of the walk over all pairs of nodes, in one round and in several."""
+    rng, nodes_, alike, want = random.Random(3), [], [], {}
+    for g in range(25):
+        kinds = rng.randint(1, 5)
+        own = {side: [(p, rng.randrange(kinds)) for p in rng.sample(range(40), rng.randint(1, 12))] for side in "ts"}
+        sims = {(a, b): rng.choice((0.1, 0.2, 0.5)) for a in range(kinds) for b in range(kinds) if rng.random() < 0.7}
+        nodes_ += [(f"c{g}", "s", "F", side, p, k) for side, rows in own.items() for p, k in rows]
+        alike += [(f"c{g}", "s", "F", a, b, x) for (a, b), x in sims.items()]
+        want[f"c{g}"] = greedy([(t, s, sims[a, b]) for t, a in own["t"] for s, b in own["s"] if (a, b) in sims])
+    n = spark.createDataFrame(nodes_, "case_id string, student string, node_type string, side string, pos int, kind int")
+    like = spark.createDataFrame(alike, "case_id string, student string, node_type string, t_kind int, s_kind int, similarity double")
+    for most in (None, 2):
+        got = {}
+        for r in assign.greedy_by_kind(n, like, most).collect():
+            got.setdefault(r["case_id"], []).append((r["t_pos"], r["s_pos"], r["similarity"]))
+        assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_ties_of_a_brand_make_no_pairs(spark, tmp_path):
+    """6,000 parts of one brand would be 9 million pairs; only kinds are paired."""
+    parts = spark.range(6000).selectExpr("id AS p_partkey", "'b' AS p_brand", "CAST(id % 50 + 1 AS INT) AS p_size")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["greedy_ties"](spark, str(tmp_path))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 3000
+    assert got.where("similarity not in (0.5, 1)").count() == 0
+
+
 def cite(rules):
     """The first student rule left that shares a token, for each teacher rule in order."""
     out, used = set(), set()
