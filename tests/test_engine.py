@@ -249,6 +249,19 @@ def test_ties_of_a_brand_make_no_pairs(spark, tmp_path):
     assert got.where("similarity not in (0.5, 1)").count() == 0
 
 
+@pytest.mark.parametrize("fold", [20_000, 0])
+def test_alike_texts_are_assigned_by_kind(spark, fold):
+    rng = random.Random(9)
+    rows = [(f"c{c}", "s", "F", side, p, " ".join(rng.choice(["alpha", "Beta", "beta", "x", "zeta9", "§"]) for _ in range(rng.randrange(3)))) for c, n in enumerate((4, 30)) for side in "ts" for p in range(n)]
+    df = spark.createDataFrame(rows, "case_id string, student string, node_type string, side string, pos int, match_text string")
+    got, want = {}, {}
+    for r in al.assign_texts(df, 0.1, fold).collect():
+        got.setdefault(r["case_id"], []).append((r["t_pos"], r["s_pos"]))
+    for r in similarity.tfidf_pairs(df, 0.1).collect():
+        want.setdefault(r["case_id"], []).append((r["t_pos"], r["s_pos"], r["similarity"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [x[:2] for x in greedy(v)] for k, v in want.items()}
+
+
 def cite(rules):
     """The first student rule left that shares a token, for each teacher rule in order."""
     out, used = set(), set()
