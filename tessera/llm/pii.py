@@ -292,6 +292,9 @@ def discover(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     texts = _texts(docs, key, text)
     seeds = materialize(contexts(texts, seeded=True).where("seed").select("pattern", _instance(F.col("token")).alias("instance")).distinct())
     supported = materialize(seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern"))
+    # what speaks against a pattern in the texts that have seeds speaks against it in all: so common words go before all texts are counted
+    near = contexts(texts, seeded=True).join(_small(supported), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
+    supported = materialize(near.where(F.col("seeds") >= SHARE * F.col("n")).select("pattern"))
     counts = contexts(_mentions(texts, supported)).join(_small(supported), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
     patterns = materialize(counts.where(F.col("seeds") >= SHARE * F.col("n")).select("pattern", F.lit(True).alias("kept")))
     after = contexts(_mentions(texts, patterns, F.col("t").rlike(MAYBE_SECRET)), placed=True).where(~F.col("token").startswith(MARK))

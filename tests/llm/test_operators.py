@@ -899,6 +899,15 @@ def test_mixing_draws_near_the_target(spark):
     assert abs(n["a"] / (n["a"] + n["b"]) - 0.5) < 0.05
 
 
+def test_common_words_go_before_all_texts_are_counted(spark, monkeypatch):
+    """A word before three seeds that comes far oftener in the very texts that have seeds is no pattern to look for elsewhere."""
+    seen = []
+    monkeypatch.setattr(pii, "_mentions", lambda texts, patterns, extra=None: (seen.append({r["pattern"] for r in patterns.collect()}), texts)[1])
+    rows = [(i, f"{'and so ' * 15}and u{i}@x.org by contact v{i}@y.org", "en", "src0", 9) for i in range(6)]
+    pii.discover(spark.createDataFrame(rows, DOC)).collect()
+    assert "contact" in seen[0] and "and" not in seen[0]
+
+
 # --- near copies of the pipeline ---------------------------------------------------------------------------------------
 
 
