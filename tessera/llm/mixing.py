@@ -21,9 +21,11 @@ from tessera.llm.common import materialize, shipped
 
 #: What isn't named in a target goes by this name; the cells are as many as the targets' names allow.
 OTHER = "other"
-#: Topics are clusters of hashed word counts; how many documents they are fitted on, and how.
-DIMENSIONS, SAMPLE, ROUNDS, SEED = 1024, 2000, 12, 3
+#: Topics are clusters of hashed word counts, fitted on all documents in so many rounds.
+DIMENSIONS, ROUNDS = 1024, 12
 WORDS_KEPT = 300_000
+#: Vectors are whole numbers of this part of 1, and a document's weight in a sum of this one; so sums are exact however rows are dealt.
+SCALE, WEIGHT = 1 << 14, 1 << 10
 
 
 @dataclass(frozen=True)
@@ -53,12 +55,37 @@ class _Places(dict):
 _places = _Places()
 
 
-def word_vector(text: str | None) -> tuple[np.ndarray, int]:
-    """Unit vector of damped hashed word counts, and the number of words."""
+def word_vector(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Unit vector of damped hashed word counts, as the places that aren't zero and what stands there times SCALE; and the number of words."""
     words = (text or "").split()
-    counts = np.log1p(np.bincount(list(map(_places.__getitem__, words)), minlength=DIMENSIONS)) if words else np.zeros(DIMENSIONS)
-    norm = np.linalg.norm(counts)
-    return (counts / norm if norm else counts), len(words)
+    if not words:
+        return np.zeros(0, np.uint16), np.zeros(0, np.int16), 0
+    counts = np.bincount(list(map(_places.__getitem__, words)), minlength=DIMENSIONS)
+    at = np.flatnonzero(counts)
+    damped = np.log1p(counts[at])
+    return at.astype(np.uint16), np.rint(damped / np.linalg.norm(damped) * SCALE).astype(np.int16), len(words)
+
+
+def with_vectors(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` plus ``at`` and ``value`` (:func:`word_vector`, as bytes) and ``n_tokens`` (words)."""
+    place = docs.columns.index(text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", at binary, value binary, n_tokens long"
+
+    def run(batches):
+        for batch in batches:
+            got = [word_vector(t.as_py()) for t in batch.column(place)]
+            found = [pa.array([g[k].tobytes() for g in got], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found, pa.array([g[2] for g in got], pa.int64())], [*batch.schema.names, "at", "value", "n_tokens"])
+
+    return docs.transform(shipped).mapInArrow(run, schema)
+
+
+def _dense(at: pa.Array, value: pa.Array) -> np.ndarray:
+    sizes = [len(x) // 2 for x in at.to_pylist()]
+    out = np.zeros((len(sizes), DIMENSIONS))
+    places, values = (np.frombuffer(b"".join(x.to_pylist()), t) for x, t in ((at, np.uint16), (value, np.int16)))
+    out[np.repeat(np.arange(len(sizes)), sizes), places] = values
+    return out
 
 
 @dataclass(frozen=True)
@@ -68,52 +95,100 @@ class Topics:
     means: dict[str, np.ndarray]
     centroids: np.ndarray
 
-    def nearest(self, vector: np.ndarray, lang: str) -> int:
-        return int((self.centroids @ (vector - self.means[lang] if lang in self.means else vector)).argmax())
+    def nearest(self, vectors: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The topic of each vector, the first for one without words; and how long its difference from its language's mean is."""
+        names = sorted(set(langs))
+        means = np.stack([self.means[g] for g in names])
+        lang = np.searchsorted(names, langs)
+        dots = vectors @ self.centroids.T - (means @ self.centroids.T)[lang]
+        square = (vectors * vectors).sum(1) - 2 * (vectors @ means.T)[np.arange(len(lang)), lang] + (means * means).sum(1)[lang]
+        topic = np.round(dots / SCALE, 9).argmax(1)
+        return np.where(vectors.any(1), topic, 0), np.sqrt(np.maximum(square, 0))
 
 
-def fit_topics(docs: DataFrame, topics: int, sample: int = SAMPLE) -> Topics:
-    """Spherical k-means on a bounded sample: at most ``sample`` documents (doc_id, text, lang_cell), those of the lowest
-    hashes of doc_id, by their whole texts. Only this fit is sampled; every document is then given its topic. The driver
-    holds a vector of DIMENSIONS numbers for each document of the sample, never a text."""
-    mark = F.xxhash64(F.col("doc_id"), F.lit("topics"))
-    top = docs.select(F.col("doc_id"), mark.alias("h")).orderBy("h", "doc_id").limit(sample).agg(F.max("h")).first()[0]
-    if top is None:
-        return Topics({}, np.zeros((topics, DIMENSIONS), np.float32))
+#: Documents that are made dense at once.
+DENSE = 1024
 
-    def vectors(batches):
-        for batch in batches:
-            found = [word_vector(t.as_py())[0].tolist() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "lang_cell", "v"])
-
-    chosen = docs.where(mark <= F.lit(top)).select(F.col("doc_id").cast("string").alias("doc_id"), "lang_cell", "text").transform(shipped)
-    rows = chosen.mapInArrow(vectors, "doc_id string, lang_cell string, v array<double>").orderBy("doc_id", "lang_cell", "v").limit(sample).collect()
-    x = np.array([r["v"] for r in rows])
-    langs = np.array([r["lang_cell"] for r in rows])
-    means = {str(g): x[langs == g].mean(0) for g in np.unique(langs)}
-    x = x - np.stack([means[g] for g in langs])
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rng = np.random.default_rng(SEED)
-    c = x[rng.integers(len(x), size=topics)]
-    for _ in range(ROUNDS):
-        near = (x @ c.T).argmax(1)
+
+def _pieces(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, DENSE):
+            yield batch.slice(at, DENSE)
+
+
+def _sums(vectors: DataFrame, langs: list[str], topics: Topics | None) -> dict[int, np.ndarray]:
+    """Exact sums over all documents, per topic, or per language where ``topics`` is None: of their vectors, and behind these of their
+    weights by language. A weight scales what differs from the language's mean to length 1; without topics it is 1.
+
+    A task adds up its rows and gives one row per topic; the driver gets as many rows as there are topics or languages.
+    """
+    width = DIMENSIONS + len(langs)
+
+    def run(batches):
+        total = np.zeros((len(langs) if topics is None else len(topics.centroids), width), np.int64)
+        for batch in _pieces(batches):
+            names = batch.column(0).to_pylist()
+            x, lang = _dense(batch.column(1), batch.column(2)), np.searchsorted(langs, names)
+            there = x.any(1)
+            if topics is None:
+                part, weight = lang, there.astype(float)
+            else:
+                part, length = topics.nearest(x, names)
+                weight = np.rint(WEIGHT / np.maximum(length / SCALE, 1 / 64)) * there
+            chosen = np.zeros((len(total), len(x)))
+            chosen[part, np.arange(len(x))] = weight
+            every = np.concatenate([x, np.eye(len(langs))[lang]], axis=1)
+            total += (chosen @ every).astype(np.int64)  # whole numbers below 2 ** 53
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.int64()))], ["part", "total"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = rows.column("total").combine_chunks().flatten().to_numpy().reshape(len(rows), width).sum(0)
+        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "total": pa.array([total], pa.list_(pa.int64()))})
+
+    rows = vectors.select("lang_cell", "at", "value").transform(shipped).mapInArrow(run, "part int, total array<bigint>")
+    return {r["part"]: np.array(r["total"]) for r in rows.groupBy("part").applyInArrow(add, "part int, total array<bigint>").collect()}
+
+
+def fit_topics(vectors: DataFrame, topics: int, rounds: int = ROUNDS) -> Topics:
+    """Spherical k-means over all documents (lang_cell, at, value) as distributed sums: of each language for its mean, then of each topic in
+    each round, until none changes. It starts at the first ``topics`` different vectors in order of their hash; a topic that
+    loses all its documents stays where it was. The driver holds a vector for each language and topic, and those it starts at."""
+    langs = sorted(r[0] for r in vectors.select("lang_cell").distinct().collect())  # the targets' names
+    told = vectors.where("at <> X''").select("at", "value", "lang_cell", F.xxhash64("at", "value", "lang_cell").alias("h")).orderBy("h", "lang_cell").limit(8 * topics).collect()
+    starts = list({(bytes(r["at"]), bytes(r["value"]), r["lang_cell"]): r for r in told}.values())
+    if not starts:
+        return Topics({g: np.zeros(DIMENSIONS) for g in langs}, np.zeros((topics, DIMENSIONS)))
+    sums = _sums(vectors, langs, None)
+    means = {g: sums[k][:DIMENSIONS] / max(sums[k][DIMENSIONS + k], 1) for k, g in enumerate(langs)}
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / (np.linalg.norm(x) or 1)
+
+    first = _dense(pa.array([bytes(r["at"]) for r in starts]), pa.array([bytes(r["value"]) for r in starts]))
+    each = [unit(x - means[r["lang_cell"]]) for x, r in zip(first, starts, strict=True)]
+    found = Topics(means, np.stack([each[t % len(each)] for t in range(topics)]))
+    for _ in range(rounds):
+        sums = _sums(vectors, langs, found)
+        moved = found.centroids.copy()
         for t in range(topics):
-            if (near == t).any():
-                m = x[near == t].mean(0)
-                c[t] = m / (np.linalg.norm(m) or 1)
-    return Topics({g: m.astype(np.float32) for g, m in means.items()}, c.astype(np.float32))
+            weights = sums[t][DIMENSIONS:]
+            if weights.any():
+                moved[t] = unit(sums[t][:DIMENSIONS] - sum(w * means[g] for w, g in zip(weights, langs, strict=True)))
+        if np.array_equal(moved, found.centroids):
+            break
+        found = Topics(means, moved)
+    return found
 
 
-def with_topics(docs: DataFrame, topics: Topics, text: str = "text") -> DataFrame:
-    """``docs`` (with lang_cell) plus ``topic`` and ``n_tokens`` (words)."""
-    at, lang = docs.columns.index(text), docs.columns.index("lang_cell")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", topic int, n_tokens long"
+def with_topics(docs: DataFrame, topics: Topics) -> DataFrame:
+    """``docs`` (with lang_cell, at and value) with ``topic`` in place of ``at`` and ``value``."""
+    kept = [c for c in docs.columns if c not in ("at", "value")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept) + ", topic int"
 
     def run(batches):
-        for batch in batches:
-            got = [word_vector(t.as_py()) for t in batch.column(at)]
-            topic = [topics.nearest(v, g) for (v, _), g in zip(got, batch.column(lang).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(topic, pa.int32()), pa.array([n for _, n in got], pa.int64())], [*batch.schema.names, "topic", "n_tokens"])
+        for batch in _pieces(batches):
+            topic, _ = topics.nearest(_dense(batch.column("at"), batch.column("value")), batch.column("lang_cell").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(topic, pa.int32())], [*kept, "topic"])
 
     return docs.transform(shipped).mapInArrow(run, schema)
 
@@ -189,20 +264,22 @@ def mix(docs: DataFrame, targets: Targets) -> DataFrame:
     never is and one of probability 1 always. Columns besides doc_id, text, source and lang aren't read.
     """
     rows = _celled(docs.select("doc_id", "text", "source", "lang"), targets)
-    labelled = with_topics(rows, fit_topics(rows, targets.topics))
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    small = materialize(labelled.select("doc_id", "source", "lang", "source_cell", "lang_cell", "topic", "n_tokens", crc.alias("crc")))
+    told = materialize(with_vectors(rows.withColumn("crc", crc)).drop("text"))
+    small = materialize(with_topics(told, fit_topics(told, targets.topics)))
     drawn = _draw(small, probabilities(small, targets))
     return drawn.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept", "rake_error")
 
 
 def sample(docs: DataFrame, targets: Targets) -> DataFrame:
-    """The drawn rows of ``docs`` with all their columns. The rows are written once with their topic and tokens, which
-    both the weighing of cells and the drawing then read."""
+    """The drawn rows of ``docs`` with all their columns. The rows are written once with their vectors and tokens, which
+    the fit of topics, the weighing of cells and the drawing then read."""
     columns, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     names = dict(zip(columns, inner, strict=True))
     work = _celled(docs.toDF(*inner).withColumns({c: F.col(names[c]) for c in ("doc_id", "source", "lang")}), targets)
-    topics = fit_topics(_celled(docs.select("doc_id", "text", "source", "lang"), targets), targets.topics)
     crc = F.crc32(F.encode(F.coalesce(F.col(names["text"]), F.lit("")), "UTF-8"))
-    labelled = materialize(with_topics(work.drop("source", "lang"), topics, names["text"]).withColumn("crc", crc))
-    return _draw(labelled, probabilities(labelled, targets)).where("kept").select(*(F.col(i).alias(c) for c, i in names.items()))
+    told = materialize(with_vectors(work.drop("source", "lang").withColumn("crc", crc), names["text"]))
+    topics = fit_topics(told, targets.topics)
+    cells = with_topics(told.select("source_cell", "lang_cell", "n_tokens", "at", "value"), topics)
+    labelled = with_topics(told, topics)
+    return _draw(labelled, probabilities(cells, targets)).where("kept").select(*(F.col(i).alias(c) for c, i in names.items()))

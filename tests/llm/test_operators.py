@@ -908,6 +908,25 @@ def test_common_words_go_before_all_texts_are_counted(spark, monkeypatch):
     assert "contact" in seen[0] and "and" not in seen[0]
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    """Sums over 3,000 documents are those of a plain loop, and the fit doesn't depend on how rows are dealt."""
+    rng = random.Random(4)
+    words = [[f"{k}word{i}" for i in range(30)] for k in "abc"]
+    rows = [(i, " ".join(rng.choices(words[i % 3], k=rng.randint(0, 12))), "en" if i % 2 else "de", "src0", 9) for i in range(3000)]
+    told = mixing.with_vectors(spark.createDataFrame(rows, DOC).withColumn("lang_cell", F.col("lang"))).cache()
+    sums, want = mixing._sums(told, ["de", "en"], None), np.zeros((2, mixing.DIMENSIONS + 2), np.int64)
+    for i, text, *_ in rows:
+        at, value, n = mixing.word_vector(text)
+        want[i % 2, at] += value
+        want[i % 2, mixing.DIMENSIONS + i % 2] += n > 0
+    assert all((sums[k] == want[k]).all() for k in (0, 1))
+    fits = [mixing.fit_topics(told.repartition(n), 3) for n in (1, 7)]
+    assert (fits[0].centroids == fits[1].centroids).all()
+    got = mixing.with_topics(told, fits[0]).where("n_tokens > 3").select("doc_id", "topic").collect()
+    groups = {k: {r["topic"] for r in got if r["doc_id"] % 3 == k} for k in range(3)}
+    assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == 3
+
+
 # --- near copies of the pipeline ---------------------------------------------------------------------------------------
 
 
