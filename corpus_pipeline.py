@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles with a Jaccard similarity of 0.8 or more): the one with the smallest doc_id. Repeated rows count as copies;
+    """One document of each group of near copies (5-word shingles with a Jaccard similarity of 0.8 or more, candidates by SimHash's covering tables and by MinHash): the one with the smallest doc_id. Repeated rows count as copies;
     rows that share a doc_id, or have none, go only where their texts are copies."""
     return simhash.representatives(docs, classes=jaccard.classes)
 

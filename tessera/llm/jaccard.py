@@ -1,4 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash finds candidates, whole sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash find candidates, whole sets decide.
+
+SimHash's covering tables (:mod:`simhash`) find every pair of fingerprints within their radius; of the pairs at 0.8 most lie
+beyond it, and MinHash finds these.
 
 Two texts are near copies where the sets of their 5-word shingles (words between white space, in lower case) have
 a similarity of at least 0.8. Texts with one set are one node. 30 tables of 5 minima each miss a pair at
@@ -67,21 +70,22 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, ``mark`` (:func:`simhash.text_mark`), ``node`` (a hash of the text's set), its size and its buckets."""
+    """Per row: key, ``mark`` (:func:`simhash.text_mark`), ``node`` (a hash of the text's set), its size, its buckets and its SimHash ``fp``."""
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, each = [], [], []
+            nodes, sizes, each, fps = [], [], [], []
             for t in batch.column(2):
                 found = shingles(t.as_py())
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) if len(found) else 0)
                 sizes.append(len(found))
                 each.append(buckets(found))
+                fps.append(simhash.fingerprint(t.as_py()))
             node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(sizes, pa.int64()), _lists(each)], ["key", "mark", "node", "size", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(sizes, pa.int64()), _lists(each), pa.array(np.array(fps, np.uint64).view(np.int64))], ["key", "mark", "node", "size", "buckets", "fp"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), simhash.text_mark(text).alias("mark"), F.col(text).alias("text"))
-    return rows.transform(shipped).mapInArrow(run, "key long, mark long, node long, size long, buckets array<bigint>")
+    return rows.transform(shipped).mapInArrow(run, "key long, mark long, node long, size long, buckets array<bigint>, fp long")
 
 
 def _sets(batches):
@@ -120,6 +124,21 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates ``u``, ``v``, ``both`` (the sizes' sum) of ``nodes`` (node, size, fp): neighbours of equal fingerprints, and first nodes of
+    fingerprints that covering tables link. Nodes of one fingerprint are chained, not paired with one of them."""
+    told = nodes.where("size > 0").select("fp", F.struct("node", "size").alias("x"))
+    order = Window.partitionBy("fp").orderBy("x.node")
+    chain = materialize(told.withColumn("before", F.lag("x").over(order)))
+    first = chain.where("before is null").select("fp", "x")
+    near = simhash.links(first.select("fp"))
+    one, other = (first.select(F.col("fp").alias(c), F.col("x").alias(f"{c}x")) for c in "uv")
+    met = near.join(one, "u").join(other, "v").select(F.col("ux").alias("a"), F.col("vx").alias("b"))
+    met = met.unionByName(chain.where("before is not null").select(F.col("before").alias("a"), F.col("x").alias("b")))
+    close = DEN * F.least("a.size", "b.size") >= NUM * F.greatest("a.size", "b.size")
+    return met.where(close).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"), (F.col("a.size") + F.col("b.size")).alias("both"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Links ``u``, ``v`` that connect the nodes chained by a similarity of at least NUM / DEN."""
     each = nodes.select("node", "size", F.explode("buckets").alias("b"))
@@ -127,7 +146,8 @@ def links(docs: DataFrame, nodes: DataFrame, key: str = "doc_id", text: str = "t
     together = members.where(F.col("n") <= PAIRED).groupBy("b").agg(F.collect_list(F.struct("node", "size")).alias("m"))
     near = F.filter("m", lambda y: (y["node"] > F.col("x.node")) & (DEN * F.least(y["size"], F.col("x.size")) >= NUM * F.greatest(y["size"], F.col("x.size"))))
     pairs = together.select("m", F.explode("m").alias("x")).select("x", F.explode(near).alias("y"))
-    pairs = materialize(pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), (F.col("x.size") + F.col("y.size")).alias("both")).distinct())
+    pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), (F.col("x.size") + F.col("y.size")).alias("both"))
+    pairs = materialize(simhash_pairs(nodes).unionByName(pairs).distinct())
     crowded = members.where(F.col("n") > PAIRED).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(crowded.select("node")).distinct()
     wanted = wanted.join(nodes.select("node", "first"), "node").select("node", *(c.alias(n) for n, c in simhash.told(F.col("first.key"), F.col("first.mark")).items()))
@@ -146,7 +166,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """One row per row of ``docs``: key, mark and ``best``, as :func:`simhash.classes` has them. Texts without words are copies of each other."""
     rows = materialize(signatures(docs, key, text))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("first")
-    nodes = materialize(rows.groupBy("node").agg(first, F.first("size").alias("size"), F.first("buckets").alias("buckets")))
+    nodes = materialize(rows.groupBy("node").agg(first, F.first("size").alias("size"), F.first("buckets").alias("buckets"), F.min("fp").alias("fp")))
     joined = connected_components(links(docs, nodes, key, text))
     parts = nodes.select("node", "first").join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     low = parts.groupBy("component").agg(F.min("first").alias("best"))

@@ -964,6 +964,19 @@ def test_pipeline_near_copies_against_all_pairs(spark, monkeypatch, paired):
     assert len(want) < len({t for _, t in rows})
 
 
+def test_simhash_finds_candidates_of_the_pipeline(spark, monkeypatch):
+    """Without a single MinHash bucket, near copies whose fingerprints lie within the radius are linked all the same; and whole sets decide."""
+    monkeypatch.setattr(jaccard, "buckets", lambda found: np.zeros(0, np.int64))
+    rng = random.Random(8)
+    base = text_of(rng, 400).split()
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join([*base, "other", "end"]), text_of(rng, 300)]
+    near = {(i, j) for i, j in itertools.combinations(range(4), 2) if (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() <= 4}
+    assert {(0, 1), (0, 2)} <= near and not any(3 in p for p in near)
+    df = spark.createDataFrame([(i, t, "en", "src0", 9) for i, t in enumerate(texts)], DOC)
+    got = jaccard.classes(df).select("key", "best.key").collect()
+    assert {tuple(r) for r in got} == {(0, 0), (1, 0), (2, 0), (3, 3)}
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
