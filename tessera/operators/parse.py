@@ -6,12 +6,15 @@ A response that can't be used becomes a row of the rejects with its reason; noth
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.functions.expressions import filled
+from tessera.functions.tables import ship, small_batches
+from tessera.operators import repair
 
 FENCE = "```"
 
@@ -178,172 +181,9 @@ def violations(graphs: DataFrame) -> DataFrame:
 
 # --- repair ----------------------------------------------------------------------------------------------------------
 
-# What follows a quote that ends its string: a closing bracket, a comma and another item, a string in its turn, or a line that begins an item.
-_ITEM = r"""\s*(?:\z|["'{\[\]},]|//|/\*|\#|\.{3}|-?[0-9]+\s*[,\]}]|[A-Za-z_]\w*\s*(?:[:,\]}]|\z))"""
-_ENDS = r"""(?:\s*(?:\z|[\]}]|//|/\*|,""" + _ITEM + r"""|"[^"\n]*"\s*[,:\]}])|\s*\n\s*(?:["'{\[]|[A-Za-z_]\w*\s*:))"""
-
-
-def _string(quote: str) -> str:
-    """A key, or a string: quotes that don't end it are part of it, a next line with a key is not; the end may be missing."""
-    key = quote + r"[^\\\n:{}\[\],QUOTE]{1,80}".replace("QUOTE", quote) + quote + r"(?=\s*:)"
-    inside = r"[^\\\nQUOTE]++|\\(?s:.)|\n(?!\s*QUOTE[A-Za-z_]\w*QUOTE\s*:)|QUOTE(?!".replace("QUOTE", quote) + _ENDS + ")"
-    return f"{key}|{quote}(?:{inside})*+{quote}?"
-
-
-#: Tokens of what was meant as JSON: white space, comments, ellipses, strings, marks, and runs of anything else on a line.
-LOOSE_TOKEN = r"\s++|//[^\n]*+|\#[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|\.{3,}|…|" + _string('"') + "|" + _string("'") + r"""|[\[\]{},:]|(?:(?!//|/\*|\s\#)[^"\[\]{},:\n])++"""
-#: Words that stand for a value, and those of other languages for the same.
-LITERALS = {"true": "true", "false": "false", "null": "null", "none": "null", "nan": "null", "undefined": "null"}
-#: Fields without which a node or edge isn't one.
-REQUIRED = {
-    "facts": ("fid", "label"),
-    "issues": ("iid", "label"),
-    "rules": ("rid", "citation", "label", "jurisdiction"),
-    "applications": ("aid", "rule_ref", "fact_refs", "issue_ref", "result", "reasoning"),
-    "conclusions": ("cid", "determination"),
-    "obligations": ("oid", "label", "required_by", "status", "jurisdiction"),
-    "edges": ("eid", "src", "dst", "type"),
-}
-#: Bytes of an unfinished item, and of finished ones, that become one piece and aren't copied again for what follows.
-_PIECE, _PAGE = 1024, 8192
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _map(of: dict) -> Column:
-    return F.create_map(*(F.array(*map(F.lit, x)) if isinstance(x, tuple) else F.lit(x) for kv in of.items() for x in kv))
-
-
-def _quoted(body: Column) -> Column:
-    """The inside of a string as a JSON string: an escape that JSON lacks is its character, quotes and control characters are escaped."""
-    out = F.regexp_replace(body, r"""(\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))|\\""", "$1")
-    out = F.regexp_replace(out, r"""(?<=(?:^|[^\\])(?:\\\\){0,16})["]""", r'\\"')
-    for char, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        out = F.replace(out, F.lit(char), F.lit(name))
-    return F.concat(F.lit('"'), F.regexp_replace(out, r"[\x00-\x1F]", " "), F.lit('"'))
-
-
-def _loose_tokens(text: Column) -> Column:
-    """The tokens of ``text`` as (k, v): a mark is its own kind, ``s`` a string, ``w`` another value, ``x`` what the end cuts off; v is JSON."""
-    trimmed = F.transform(F.regexp_extract_all(text, F.lit(LOOSE_TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
-    told = F.filter(trimmed, lambda t: (t != "") & ~t.rlike(r"^(?://|\#|/\*|\.{3}|…)"))
-
-    def one(t: Column, last: Column) -> Column:
-        string = t.startswith('"') | t.startswith("'")
-        closed = (F.length(t) > 1) & (F.substring(t, 1, 1) == F.substring(t, -1, 1)) & t.rlike(r"""(?<!\\)(?:\\\\)*["']$""")
-        body = F.when(closed, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(F.regexp_replace(F.substring(t, F.lit(2), F.length(t)), r"[\s,]+$", ""))
-        word = F.try_element_at(_map(LITERALS), F.lower(t))
-        plain = F.coalesce(word, F.when(t.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"), t))
-        kind = F.when(t.isin(*"{}[],:"), t).when(last & ~(string & closed), "x").when(~string & plain.isNotNull(), "w").otherwise("s")
-        return F.struct(kind.alias("k"), F.when(string, _quoted(body)).otherwise(F.coalesce(plain, _quoted(t))).alias("v"))
-
-    return _let(told, lambda ts: F.transform(ts, lambda t, i: one(t, i + 1 == F.size(ts))))
-
-
-def _move(a: Column, t: Column) -> Column:
-    """What the automaton does in state ``a`` at token ``t`` (with n1 and n2, the kinds of the next two): closes before it (shut), writes,
-    leaves so many brackets and enters one; the phase that follows, and a key that waits for its value.
-
-    Phases: in an object k (empty) and K expect a key, v and V its value (V: other items stand before it), n comes after an item; in an
-    array a (empty) and A expect an item, m comes after one. Commas and colons are written with what they stand before.
-    """
-    k, v, phase, n1, n2 = t["k"], t["v"], a["phase"], t["n1"], t["n2"]
-    depth, scalar, opens = F.length(a["stack"]), k.isin("s", "w"), k.isin("{", "[")
-    comma = F.when(phase.isin("K", "n", "A", "m"), ",").otherwise("")
-    name = F.concat(F.when(k == "w", F.concat(F.lit('"'), v, F.lit('"'))).otherwise(v), F.lit(":"))
-    closer = F.when(k == "{", "}").otherwise("]")
-
-    def do(write: Column | str = "", leave: int = 0, enter: Column | None = None, to: Column | str = "", key: Column | None = None, shut: str = "") -> Column:
-        text = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return F.struct(
-            F.lit(shut).alias("shut"), text(write).alias("write"), F.lit(leave).alias("leave"), text("" if enter is None else enter).alias("enter"), text(to).alias("to"), text(a["key"] if key is None else key).alias("key")
-        )
-
-    stay, none = do(to=phase), F.lit("")
-    wait = F.when(phase.isin("k", "v"), "v").otherwise("V")
-    value = (
-        F.when(scalar & (n1 == ":"), do(to=wait, key=F.concat(F.when(phase == "V", ",").otherwise(""), name)))
-        .when(scalar, do(F.concat(a["key"], v), to="n", key=none))
-        .when(opens, do(F.concat(a["key"], k), enter=closer, key=none))
-        .when(k == "}", do("}", 1, key=none))
-        .when((k == "]") & (depth >= 3), do("}]", 2, key=none))
-        .when(k == ",", do(to=F.when(phase == "v", "k").otherwise("K"), key=none))
-        .otherwise(stay)
-    )
-    item = (
-        F.when(scalar & ((n1 == ":") | phase.isin("k", "K") & n1.isin("s", "w", "{", "[")), do(to=wait, key=F.concat(comma, name)))
-        .when((k == "{") & (depth >= 3), do(",{", 1, F.lit("}"), shut="}"))
-        .when(k == "}", do("}", 1))
-        .when((k == "]") & (depth >= 3), do("}]", 2))
-        .when((k == ",") & (phase == "n"), do(to="K"))
-        .otherwise(stay)
-    )
-    inside = F.substring(a["stack"], 2, 1) == "}"
-    array = (
-        F.when(scalar & (n1 == ":") & inside, do("]", 1, to="V", key=F.concat(F.lit(","), name)))
-        .when(scalar, do(F.concat(comma, v), to="m"))
-        .when(opens, do(F.concat(comma, k), enter=closer))
-        .when(k == "]", do("]", 1))
-        .when((k == "}") & inside & ((depth >= 3) | n1.isin("", "}")), do("]}", 2))
-        .when((k == "}") & (n1 == ",") & (n2 == "s"), do("]", 1))
-        .when((k == ",") & (phase == "m"), do(to="A"))
-        .otherwise(stay)
-    )
-    return F.when(k.isin(":", "x"), stay).when(phase.isin("v", "V"), value).when(phase.isin("k", "K", "n"), item).otherwise(array)
-
-
-def _after(m: Column, a: Column) -> Column:
-    """The small part of the state: brackets, phase, waiting key, the key of the list that is open, and what the move writes."""
-
-    def put(stack: Column) -> Column:
-        top = F.substring(stack, 1, 1)
-        after = F.when(top == "}", "n").when(top == "]", "m").otherwise("end")
-        phase = F.when(m["to"] != "", m["to"]).when(m["enter"] == "}", "k").when(m["enter"] == "]", "a").otherwise(after)
-        lists = F.when((F.length(stack) == 1) & (m["key"] != "") & (m["key"] != a["key"]), m["key"]).otherwise(a["lists"])
-        return F.struct(stack.alias("stack"), phase.alias("phase"), m["key"].alias("key"), lists.alias("lists"), m["shut"].alias("shut"), m["write"].alias("write"))
-
-    return _let(F.concat(m["enter"], F.substring(a["stack"], m["leave"] + 1, F.length(a["stack"]))), put)
-
-
-def _step(a: Column, t: Column) -> Column:
-    """First the last move is written, then the next is made; so each is worked out once, and the texts aren't copied with it."""
-    m = a["m"]
-    shut, whole = m["shut"] != "", F.length(m["stack"]) <= 2
-    now = F.concat(F.when(shut, "").otherwise(a["now"]), m["write"])
-    tail = F.concat(a["tail"], F.array_join(a["held"], ""), F.when(shut, F.concat(a["now"], m["shut"])).otherwise(now))
-    full, long = F.octet_length(tail) > _PAGE, F.octet_length(now) > _PIECE
-    none = F.array().cast("array<string>")
-    move = F.when(m["phase"] == "end", F.struct(*(F.lit("").alias(c) if c in ("shut", "write") else m[c].alias(c) for c in ("stack", "phase", "key", "lists", "shut", "write"))))
-    return F.struct(
-        F.when(whole | shut, F.when(full, F.array_append(a["out"], tail)).otherwise(a["out"])).otherwise(a["out"]).alias("out"),
-        F.when(whole | shut, F.when(full, "").otherwise(tail)).otherwise(a["tail"]).alias("tail"),
-        F.when(whole | shut, none).when(long, F.array_append(a["held"], now)).otherwise(a["held"]).alias("held"),
-        F.when(whole | (long & ~shut), "").otherwise(now).alias("now"),
-        move.otherwise(_let(_move(m, t), lambda x: _after(x, m))).alias("m"),
-    )
-
-
-def _finish(a: Column) -> Column:
-    """The text so far with its brackets closed. What is open inside a list is kept if it has the fields that its list asks for, or if there is nothing else."""
-    m, depth = a["m"], F.length(a["m"]["stack"])
-    open_ = F.concat(F.array_join(a["held"], ""), a["now"])
-    bare = open_.endswith("{")
-    node = F.regexp_replace(open_, r",?\{$", "")
-    inner = F.substring(m["stack"], F.when(bare, 2).otherwise(1), depth - 2 - bare.cast("int"))
-    fields = F.from_json(F.concat(F.regexp_replace(node, "^,", ""), inner), "map<string,string>")
-    wanted = F.try_element_at(_map(REQUIRED), F.regexp_extract(m["lists"], r'^,?"(\w*)":$', 1))
-    told = F.map_keys(F.map_filter(fields, lambda _, x: x.isNotNull()))
-
-    def close(done: Column) -> Column:
-        whole = wanted.isNull() | F.coalesce(F.size(F.array_except(wanted, told)) == 0, F.lit(False)) | ~done.contains("}")
-        keep = F.concat(done, node, inner, F.substring(m["stack"], depth - 1, F.lit(2)))
-        plain = F.concat(F.when(depth >= 3, done).otherwise(F.regexp_replace(done, r",?\{$", "")), F.substring(m["stack"], F.greatest(depth - 1, F.lit(1)), F.lit(2)))
-        return F.when(depth == 0, done).when((depth >= 3) & whole, keep).when(done == "{", F.lit(None)).otherwise(plain)
-
-    return _let(F.concat(F.array_join(a["out"], ""), a["tail"]), close)
+@lru_cache(1)
+def _repair() -> Callable[[Column], Column]:
+    return F.pandas_udf(repair.repaired_all, "string")
 
 
 def repair_json(blob: Column) -> Column:
@@ -354,20 +194,8 @@ def repair_json(blob: Column) -> Column:
     strings, and leaves out keys without a value, stray words and what follows the object. Where the text is cut off, what is unfinished
     goes: a key, a string, a node that lacks required fields (unless it is the only one); open brackets are closed. Null without any object.
     """
-    text = F.substring(blob, F.greatest(F.instr(blob, "{"), F.lit(1)), F.length(blob))
-    none = F.array().cast("array<string>")
-    lit = F.lit
-    first = F.struct(lit("}").alias("stack"), lit("k").alias("phase"), lit("").alias("key"), lit("").alias("lists"), lit("").alias("shut"), lit("{").alias("write"))
-    start = F.struct(none.alias("out"), lit("").alias("tail"), none.alias("held"), lit("").alias("now"), first.alias("m"))
-
-    def fold(ts: Column) -> Column:
-        kind = lambda i: F.coalesce(F.get(ts, i)["k"], lit(""))
-        seen = F.transform(ts, lambda t, i: F.struct(t["k"].alias("k"), t["v"].alias("v"), kind(i + 1).alias("n1"), kind(i + 2).alias("n2")))
-        last = F.struct(lit(":").alias("k"), *(lit("").alias(c) for c in ("v", "n1", "n2")))  # moves nothing; what came before it gets written
-        rest = F.concat(F.slice(seen, lit(2), F.greatest(F.size(seen) - 1, lit(0))), F.array(last))
-        return F.when(kind(lit(0)) == "{", F.aggregate(rest, start, _step, _finish))
-
-    return _let(_loose_tokens(text), fold)
+    ship(SparkSession.active())
+    return _repair()(blob)
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -386,11 +214,14 @@ def checked_responses(responses: DataFrame) -> DataFrame:
     meta = ["case_id", "source", "model_name", "agent_id"]
     lists = [*(c for c, _ in S.NODE_LISTS.values()), "edges"]
     ddl, mode = S.GRAPH_DDL + ", _broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    small_batches(responses.sparkSession)
     _, blob = split_response(F.col("text"))
     rows = once(responses.select(*meta, "text"), blob=strip_fence(blob))
     rows = once(rows, g=F.from_json("blob", ddl, mode))
     broken = F.col("blob").isNotNull() & (F.col("g").isNull() | F.col("g._broken").isNotNull())
-    rows = once(rows, mended=F.when(broken, F.from_json(repair_json(F.col("blob")), ddl, mode)))
+    # Python sees a text only where it is broken
+    rows = rows.withColumn("fixed", repair_json(F.when(broken, F.col("blob"))))
+    rows = once(rows, mended=F.from_json("fixed", ddl, mode)).drop("fixed")
     empty = F.lit(True)
     for c in lists[:-1]:
         empty = empty & (F.coalesce(F.size(F.col(f"mended.{c}")), F.lit(0)) <= 0)
