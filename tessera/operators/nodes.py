@@ -107,6 +107,15 @@ def edges_with_weights(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return _left(_left(edges, src, [*keys, "src"]), dst, [*keys, "dst"]).withColumn("weight", X.edge_weight(F.col("w_src"), F.col("w_dst"))).drop("w_src", "w_dst")
 
 
+def weighted_edges(graphs: DataFrame) -> DataFrame:
+    """:func:`edges_with_weights` of graphs that are a row each, from that row: of nodes that share an id the last counts."""
+    last_first = F.reverse(F.transform(node_list(), lambda n: F.struct(n["node_id"].alias("id"), n["weight"].alias("w"))))
+    rows = graphs.select(*KEYS, "edges", F.explode(F.array(last_first)).alias("n"))
+    rows = rows.select(*KEYS, F.transform("n", lambda n: n["id"]).alias("ids"), F.transform("n", lambda n: n["w"]).alias("ws"), F.posexplode("edges").alias("pos", "e"))
+    w_src, w_dst = (F.get("ws", (F.array_position("ids", F.col(f"e.{end}")) - 1).cast("int")) for end in ("src", "dst"))
+    return rows.select(*KEYS, "pos", "e.*", X.edge_weight(w_src, w_dst).alias("weight"))
+
+
 def _left(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on keys of which agent_id may be null on both sides."""
     right = b.withColumnsRenamed({k: f"_{k}" for k in keys})
