@@ -18,6 +18,8 @@ GROUP = ["case_id", "student", "node_type"]
 NODE = [*GROUP, "side", "pos"]
 #: Nodes of one side that meet those of the other in one place.
 BLOCK = 512
+#: Blocks that meet in one task where texts are equal: some 4 million pairs.
+TILES = 16
 #: A block of texts has so many of them, or so many bytes; groups of up to SMALL texts and so many bytes are kept in one row.
 TEXTS, TEXT_BYTES, SMALL, SMALL_BYTES = 4096, 24 << 20, 256, 1 << 20
 
@@ -161,7 +163,10 @@ def tfidf_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     if not n.where("with_terms = 0").isEmpty():
         plain = told.where("with_terms = 0").drop("n_t", "n_s").withColumn("text", F.lower(F.trim("match_text"))).where("text <> ''")
         key = [*GROUP, "text"]
-        t, s = _met(plain.join(plain.groupBy(*key).agg(*_sides()), key))
+        sizes = plain.groupBy(*key).agg(*_sides())
+        tiles = sizes.agg(F.sum(F.ceil(F.col("n_t") / F.lit(BLOCK)) * F.ceil(F.col("n_s") / F.lit(BLOCK)))).first()[0] or 0
+        parts = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-int(tiles) // TILES))
+        t, s = (x.repartition(parts, *key, "i", "j") for x in _met(plain.join(sizes, key)))  # a given number, so that few rows with many pairs aren't put into few tasks
         same = t.select(*key, "i", "j", F.col("pos").cast("int").alias("t_pos")).join(s.select(*key, "i", "j", F.col("pos").cast("int").alias("s_pos")), [*key, "i", "j"])
         found = found.unionByName(same.select(*GROUP, "t_pos", "s_pos", F.lit(1.0).alias("similarity")))
     return found.where(F.col("similarity") >= F.lit(threshold))
