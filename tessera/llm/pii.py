@@ -179,9 +179,15 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("row", F.xxhash64("key", "t"))
 
 
-def contexts(texts: DataFrame, seeded: bool = False, placed: bool = False) -> DataFrame:
+def _opaque(token: Column, before: Column) -> Column:
+    """Is the token an opaque key?"""
+    return F.when(_joint(before), F.regexp_replace(token, r"[^A-Za-z0-9]++$", "").rlike(SECRET)).otherwise(F.lit(False))
+
+
+def contexts(texts: DataFrame, seeded: bool = False, placed: bool = False, only: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """One row per token and pattern before it: key, row, pattern, ``token``, ``seed``. With ``seeded``, only texts that may
-    have a seed are cut into tokens.
+    have a seed are cut into tokens. With ``only``, a condition on two words and the token after them, other tokens are dropped
+    inside the text's row, before they become rows.
 
     With ``placed``, also what :func:`_end` tells a token's place from: its number ``i`` and the text's pieces ``p`` and
     tokens ``m``. These are the same arrays on all rows of a text, which cost nothing as long as most rows are dropped
@@ -203,8 +209,13 @@ def contexts(texts: DataFrame, seeded: bool = False, placed: bool = False) -> Da
         rows = rows.select(*keep, F.concat(zero, F.regexp_extract_all("bare", F.lit(HASHED), F.lit(0))).alias("w"))
     n = F.size("w") - 2
     zipped = F.arrays_zip(*(F.slice("w", F.lit(i), n) for i in (1, 2, 3)))
-    rows = rows.select(*keep, F.posexplode(zipped).alias("i", "x")).select(*keep, "x.*", "i").toDF(*keep, "a", "b", "token", "i").where(~_joint(F.col("token")))
-    seed = F.col("token").startswith(MARK) | F.when(_joint(F.col("b")), F.regexp_replace("token", r"[^A-Za-z0-9]++$", "").rlike(SECRET)).otherwise(F.lit(False))
+    if only is None:
+        rows = rows.select(*keep, F.posexplode(zipped).alias("i", "x")).select(*keep, "x.*", "i").toDF(*keep, "a", "b", "token", "i")
+    else:
+        numbered = F.transform(zipped, lambda x, i: F.struct(x["0"].alias("a"), x["1"].alias("b"), x["2"].alias("token"), i.alias("i")))
+        rows = rows.select(*keep, F.explode(F.filter(numbered, lambda x: only(x["a"], x["b"], x["token"]))).alias("x")).select(*keep, "x.*")
+    rows = rows.where(~_joint(F.col("token")))
+    seed = F.col("token").startswith(MARK) | _opaque(F.col("token"), F.col("b"))
     rows = rows.select(*keep, _word(F.col("a")).alias("a"), _word(F.col("b")).alias("b"), "token", "i", seed.alias("seed"))
     rows = rows.select(*keep, F.explode(_patterns(F.col("a"), F.col("b"))).alias("pattern"), "token", *(["i"] if placed else []), "seed")
     return rows.where("pattern is not null")
@@ -255,33 +266,86 @@ def score(edges: DataFrame, turns: int = TURNS) -> DataFrame:
     return scores
 
 
-#: Texts are looked through for so many words at most before they are cut into tokens; with more patterns, all are cut.
-SOUGHT = 64
+#: Texts are looked through for so many patterns or instances at most before they are cut into tokens, and tokens for so many;
+#: with more of them, all are cut and joined.
+SOUGHT, LISTED = 256, 5_000
+
+
+#: Digits and marks are alike in patterns; and a sigma's form depends on what follows.
+_FOLD = dict(zip(f"123456789\u03c2{MARK}{FILL}", "000000000\u03c3\x03\x03", strict=True))
+
+
+def _says(text: Column, cases: list[list[str | Column]]) -> Column:
+    """Does the text, in lower case, have all the words of any of ``cases``, perhaps inside others? It is folded only as far as they need."""
+    cases = [[w.translate(str.maketrans(_FOLD)) if isinstance(w, str) else w for w in words] for words in cases]
+    used = set("".join(w for words in cases for w in words if isinstance(w, str)))
+    fold = {a: b for a, b in _FOLD.items() if b in used}
+
+    def any_of(low: Column) -> Column:
+        cond = F.lit(False)
+        for words in cases:
+            here = F.lit(True)
+            for w in words:
+                here = here & (low.contains(w) if isinstance(w, str) else w)
+            cond = cond | here
+        return cond
+
+    return let(F.translate(F.lower(text), "".join(fold), "".join(fold.values())) if fold else F.lower(text), any_of)
+
+
+def _parts(pattern: str) -> list[str]:
+    return pattern.removesuffix(" =").split(" ")
 
 
 def _mentions(texts: DataFrame, patterns: DataFrame, extra: Column | None = None) -> DataFrame:
-    """Texts that may hold one of ``patterns``, by its last word, or that meet ``extra``: only those need to be cut into tokens."""
+    """Texts that may hold one of ``patterns``, by all its words, or that meet ``extra``: only those need to be cut into tokens."""
     some = patterns.limit(SOUGHT + 1).collect()
     if len(some) > SOUGHT:
         return texts
-    low, cond = F.translate(F.lower("t"), "123456789", "000000000"), F.lit(False) if extra is None else extra
-    for word in sorted({r["pattern"].removesuffix(" =").split(" ")[-1] for r in some}):
-        if word == MARK:
-            for k in KINDS:
-                cond = cond | k.guard(F.col("t"))
-        else:
-            cond = cond | low.contains(word)
-    return texts.where(cond)
+    seed, joint = F.lit(False), F.col("t").contains("=") | F.col("t").contains(":")
+    for k in KINDS:
+        seed = seed | k.guard(F.col("t"))
+    cases = [[*([joint] if p.endswith(" =") else []), *(seed if w == MARK else w for w in _parts(p))] for p in sorted(r["pattern"] for r in some)]
+    return texts.where(_says(F.col("t"), cases) if extra is None else extra | _says(F.col("t"), cases))
+
+
+def _behind(patterns: DataFrame, opaque: bool = False) -> Callable[[Column, Column, Column], Column] | None:
+    """For :func:`contexts`: tokens behind the last word of one of ``patterns``, and with ``opaque`` all opaque keys. None where there are too many patterns to list."""
+    found = [r["pattern"] for r in patterns.limit(LISTED + 1).collect()]
+    if len(found) > LISTED:
+        return None
+    keys, words = (sorted({_parts(p)[-1] for p in found if p.endswith(" =") == key}) for key in (True, False))
+
+    def among(word: Column, listed: list[str]) -> Column:
+        return F.when(word.startswith(MARK), F.lit(MARK in listed)).otherwise(F.translate(F.lower(word), "123456789", "000000000").isin(listed) if listed else F.lit(False))
+
+    def only(a: Column, b: Column, token: Column) -> Column:
+        after = F.when(_joint(b), among(a, keys)).otherwise(among(b, words))
+        return ~_joint(token) & (after | _opaque(token, b) if opaque else after)
+
+    return only
+
+
+#: What :func:`_instance` leaves of the words of a text: each from its first letter or digit to its last (behind one beyond
+#: 16 bits, which TRAIL doesn't look back at whole, to the word's end).
+CORE = rf"[\p{{L}}\p{{N}}](?:{PLAIN.removesuffix('++')}*[\p{{L}}\p{{N}}])?+(?:(?<=[\uDC00-\uDFFF]){PLAIN.removesuffix('++')}*+)?+"
 
 
 def _elsewhere(texts: DataFrame, edges: DataFrame) -> DataFrame:
     """``edges`` (pattern, instance, seed, k) with ``ordinary``: the corpus has the instance more often elsewhere than behind the pattern.
-    Where every instance is a seed, the texts aren't read for that."""
+    Where every instance is a seed, the texts aren't read for that; and words that aren't sought are dropped inside their text's row."""
     sought = materialize(edges.where("not seed").select("instance").distinct())
-    if sought.isEmpty():
+    listed = sorted(r["instance"] for r in sought.limit(LISTED + 1).collect())
+    if not listed:
         return edges.withColumn("ordinary", F.lit(False))
-    words = texts.select(F.explode(F.regexp_extract_all("t", F.lit(PLAIN), F.lit(0))).alias("token")).select(_instance(F.col("token")).alias("instance"))
-    counts = words.join(_small(sought), "instance", "left_semi").groupBy("instance").agg(F.count("*").alias("c"))
+
+    if len(listed) <= SOUGHT:
+        texts = texts.where(_says(F.col("t"), [[w] for w in listed]))
+    words = F.transform(F.regexp_extract_all("t", F.lit(CORE), F.lit(0)), lambda w: F.lower(w))
+    counts = texts.select(F.explode(F.filter(words, lambda w: w.isin(listed)) if len(listed) <= LISTED else words).alias("instance"))
+    if len(listed) > LISTED:
+        counts = counts.join(_small(sought), "instance", "left_semi")
+    counts = counts.groupBy("instance").agg(F.count("*").alias("c"))
     return edges.join(counts, "instance", "left").withColumn("ordinary", ~F.col("seed") & (F.coalesce("c", F.lit(0)) > 2 * F.col("k"))).drop("c")
 
 
@@ -295,9 +359,9 @@ def discover(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     # what speaks against a pattern in the texts that have seeds speaks against it in all: so common words go before all texts are counted
     near = contexts(texts, seeded=True).join(_small(supported), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
     supported = materialize(near.where(F.col("seeds") >= SHARE * F.col("n")).select("pattern"))
-    counts = contexts(_mentions(texts, supported)).join(_small(supported), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
+    counts = contexts(_mentions(texts, supported), only=_behind(supported)).join(_small(supported), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
     patterns = materialize(counts.where(F.col("seeds") >= SHARE * F.col("n")).select("pattern", F.lit(True).alias("kept")))
-    after = contexts(_mentions(texts, patterns, F.col("t").rlike(MAYBE_SECRET)), placed=True).where(~F.col("token").startswith(MARK))
+    after = contexts(_mentions(texts, patterns, F.col("t").rlike(MAYBE_SECRET)), placed=True, only=_behind(patterns, opaque=True)).where(~F.col("token").startswith(MARK))
     if _few(patterns):  # places are told after the join, for the few rows that stay
         after = _end(after.join(F.broadcast(patterns), "pattern", "left").where("kept or seed"))
     else:  # and before it where rows are shuffled, since the arrays would go along

@@ -908,6 +908,33 @@ def test_common_words_go_before_all_texts_are_counted(spark, monkeypatch):
     assert "contact" in seen[0] and "and" not in seen[0]
 
 
+def test_only_sought_tokens_become_rows(spark):
+    """Two common words make no rows of a text but those behind the last word of a pattern; words are found whatever their case, digits or sigma."""
+    rows = [(1, "a b c " * 500 + "Code7 = x9 and ΟΔΟΣ' Α z"), (2, "code only"), (3, "nothing: here")]
+    texts = pii._texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    patterns = spark.createDataFrame([("code0 =",), ("\u03bf\u03b4\u03bf\u03c2 \u03b1",)], "pattern string")
+    some = pii._mentions(texts, patterns)
+    assert [r["key"] for r in some.select("key").collect()] == [1]
+    every, few = (pii.contexts(texts, only=f) for f in (None, pii._behind(patterns)))
+    assert few.count() < 10 < 3000 < every.count()
+    want = every.join(patterns, "pattern").select("pattern", "token").collect()
+    assert sorted(want) == sorted(few.join(patterns, "pattern").select("pattern", "token").collect()) and {r["token"] for r in want} == {"x9", "z"}
+
+
+def test_cores_are_instances(spark):
+    rng = random.Random(5)
+    rows = [("".join(rng.choice("aZ9é.,;-_ \u0085\u03a3\u03c2\"'()[]=: \t\n\x01\x02\x03#@\u0130\u2028\U0001d504\U0001f600") for _ in range(rng.randrange(1, 60))),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "t string")
+    a = F.filter(F.transform(F.regexp_extract_all("t", F.lit(pii.PLAIN), F.lit(0)), pii._instance), lambda x: x != "")
+    b = F.transform(F.regexp_extract_all("t", F.lit(pii.CORE), F.lit(0)), lambda w: F.lower(w))
+    assert df.where(~a.eqNullSafe(b)).count() == 0
+    assert df.withColumn("i", F.explode(F.slice(b, 1, 1))).limit(50).collect() and all(pii_says(spark, t, w) for t, w in df.select("t", F.explode(F.slice(b, 1, 1)).alias("w")).limit(12).collect())
+
+
+def pii_says(spark, text, word):
+    return spark.createDataFrame([(text,)], "t string").select(pii._says(F.col("t"), [[word]]).alias("x")).first()["x"]
+
+
 def test_topics_are_fitted_on_all_documents(spark):
     """Sums over 3,000 documents are those of a plain loop, and the fit doesn't depend on how rows are dealt."""
     rng = random.Random(4)
