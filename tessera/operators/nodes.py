@@ -82,11 +82,11 @@ def flatten_edges(graphs: DataFrame) -> DataFrame:
     return graphs.select(*KEYS, F.posexplode("edges").alias("pos", "e")).select(*KEYS, "pos", "e.*")
 
 
-def node_counts(graphs: DataFrame) -> DataFrame:
-    """Nodes per type, edges, total of nodes, and a one-line summary."""
+def node_counts(graphs: DataFrame, *more: str) -> DataFrame:
+    """Nodes per type, edges, total of nodes, and a one-line summary; ``more`` is what else of a row goes along."""
     size = {k: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(F.col(c))).cast("long") for k, (c, _) in S.NODE_LISTS.items()}
     edges = F.when(F.col("edges").isNull(), F.lit(0)).otherwise(F.size("edges")).cast("long")
-    out = graphs.select(*KEYS, *(v.alias(k.lower()) for k, v in size.items()), edges.alias("e"))
+    out = graphs.select(*KEYS, *more, *(v.alias(k.lower()) for k, v in size.items()), edges.alias("e"))
     total = sum((F.col(k.lower()) for k in S.NODE_TYPES[1:]), F.col("f"))
     parts = [x for k in (*S.NODE_TYPES, "E") for x in (F.lit(f"{k}="), F.col(k.lower()).cast("string"), F.lit(" "))][:-1]
     return out.withColumn("total", total).withColumn("summary", F.concat(*parts))

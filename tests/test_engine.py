@@ -732,3 +732,14 @@ def test_equal_texts_meet_in_as_many_tasks_as_their_pairs_need(spark, monkeypatc
     pairs = similarity.tfidf_pairs(spark.createDataFrame(rows, "case_id string, student string, node_type string, side string, pos int, node_id string, match_text string"), 0.1)
     assert {(r["t_pos"], r["s_pos"], r["similarity"]) for r in pairs.collect()} == {(i, j, 1.0) for i in range(8) for j in range(8)}
     assert pairs.rdd.getNumPartitions() >= 16
+
+
+def test_node_deltas_join_only_the_orders(spark):
+    """Both graphs are counted in the order's own row: no more shuffles than the orders themselves take, and part's texts aren't read."""
+    from tessera.plans import adapters, catalog
+
+    d = "/root/testdata/sf0.001"
+    deltas, orders = (df._jdf.queryExecution().optimizedPlan().toString() for df in (catalog.QUERIES["node_deltas"](spark, d), adapters.orders(spark, d)))
+    assert 0 < deltas.count("Join ") <= orders.count("Join ")
+    only_key = r"Project \[p_partkey#\d+L AS l_partkey#\d+L\]"
+    assert re.search(only_key, deltas) and not re.search(only_key, orders)
