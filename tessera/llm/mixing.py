@@ -23,7 +23,8 @@ from tessera.llm.common import materialize, shipped
 OTHER = "other"
 #: Topics are clusters of hashed word counts, fitted on all documents in so many rounds.
 DIMENSIONS, ROUNDS = 1024, 12
-WORDS_KEPT = 300_000
+#: Places of so many words are kept at most, for the length of a task: a worker is used again, also by other steps.
+WORDS_KEPT = 50_000
 #: Vectors are whole numbers of this part of 1, and a document's weight in a sum of this one; so sums are exact however rows are dealt.
 SCALE, WEIGHT = 1 << 14, 1 << 10
 
@@ -66,18 +67,22 @@ def word_vector(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     return at.astype(np.uint16), np.rint(damped / np.linalg.norm(damped) * SCALE).astype(np.int16), len(words)
 
 
-def with_vectors(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus ``at`` and ``value`` (:func:`word_vector`, as bytes) and ``n_tokens`` (words)."""
-    place = docs.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", at binary, value binary, n_tokens long"
-
-    def run(batches):
+def _vectored(batches, place: int):
+    try:
         for batch in batches:
             got = [word_vector(t.as_py()) for t in batch.column(place)]
             found = [pa.array([g[k].tobytes() for g in got], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found, pa.array([g[2] for g in got], pa.int64())], [*batch.schema.names, "at", "value", "n_tokens"])
+    finally:
+        _places.clear()
 
-    return docs.transform(shipped).mapInArrow(run, schema)
+
+def with_vectors(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` plus ``at`` and ``value`` (:func:`word_vector`, as bytes) and ``n_tokens`` (words)."""
+    place = docs.columns.index(text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", at binary, value binary, n_tokens long"
+
+    return docs.transform(shipped).mapInArrow(lambda batches: _vectored(batches, place), schema)
 
 
 def _dense(at: pa.Array, value: pa.Array) -> np.ndarray:
@@ -107,7 +112,7 @@ class Topics:
 
 
 #: Documents that are made dense at once.
-DENSE = 1024
+DENSE = 256
 
 
 def _pieces(batches):

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -935,6 +936,17 @@ def pii_says(spark, text, word):
     return spark.createDataFrame([(text,)], "t string").select(pii._says(F.col("t"), [[word]]).alias("x")).first()["x"]
 
 
+def test_a_task_keeps_no_words():
+    """A worker that is used again holds nothing of a task's words, and a task few of them and small dense pieces."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(2000)) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    most = 0
+    for _ in mixing._vectored(iter([batch.slice(k, 1) for k in range(60)]), 0):
+        most = max(most, len(mixing._places))
+    assert 0 < most <= mixing.WORDS_KEPT < 60 * 2000 and not mixing._places
+    assert mixing.DENSE * mixing.DIMENSIONS * 8 <= 1 << 21
+
+
 def test_topics_are_fitted_on_all_documents(spark):
     """Sums over 3,000 documents are those of a plain loop, and the fit doesn't depend on how rows are dealt."""
     rng = random.Random(4)
