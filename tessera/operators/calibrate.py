@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.functions import expressions as X
 from tessera.functions.tables import materialize
-from tessera.operators import align, diff
-from tessera.operators.assign import greedy_assign
+from tessera.operators import align, diff, similarity
 
 _COUNTS = ["v_miss", "v_halluc", "e_diff", "l_ged"]
 #: The level of what holds at every threshold, and of what no threshold reaches.
@@ -26,8 +25,7 @@ def events(nodes: DataFrame, edges: DataFrame, backend: str = "tfidf", least: fl
     counts as soon as both its ends are matched. What holds without any match, and rules matched by citation, have the level infinity.
     """
     nodes = materialize(nodes)
-    cited, pairs = align.candidates(nodes, backend, least)
-    aligned = align.matched(nodes, cited, greedy_assign(pairs), backend)
+    aligned = align.matched(nodes, *align.assigned(nodes, backend, least), backend)
     level = F.when(F.col("student_id").isNull(), _NEVER).when(F.col("method") == "citation", _EVER).otherwise(F.col("similarity"))
     aligned = materialize(aligned.select(*diff.KEY, "teacher_id", "student_id", level.alias("level")))
 
@@ -115,8 +113,14 @@ def recommend(judged: DataFrame) -> DataFrame:
     return judged.agg(F.min_by(F.struct(*judged.columns), order).alias("r")).select("r.*")
 
 
-def match_counts(pairs: DataFrame, thresholds: Sequence[float] = S.CALIBRATION_THRESHOLDS) -> DataFrame:
-    """Candidate pairs and nodes with any candidate at each threshold, from similarities computed once."""
-    levels = pairs.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    hit = pairs.crossJoin(F.broadcast(levels)).where(F.col("similarity") >= F.col("threshold"))
-    return hit.groupBy("threshold").agg(F.count("*").alias("pairs"), F.countDistinct("case_id", "student", "node_type", "t_pos").alias("teachers"), F.countDistinct("case_id", "student", "node_type", "s_pos").alias("students"))
+def match_counts(nodes: DataFrame, thresholds: Sequence[float] = S.CALIBRATION_THRESHOLDS) -> DataFrame:
+    """Candidate pairs and nodes with any candidate at each threshold that has one, counted where texts meet."""
+    levels = sorted({float(t) for t in thresholds})
+    rows = similarity.tfidf_levels(nodes, levels)
+    per_node = rows.groupBy(*similarity.NODE).agg(F.max("best").alias("best"), *(F.sum(F.get("pairs", F.lit(k))).alias(f"n{k}") for k in range(len(levels))))
+
+    def of(k: int, side: str) -> Column:
+        return F.count_if((F.col("side") == side) & (F.col("best") >= F.lit(levels[k])))
+
+    counts = [F.struct(F.lit(x).alias("threshold"), F.sum(f"n{k}").alias("pairs"), of(k, "t").alias("teachers"), of(k, "s").alias("students")) for k, x in enumerate(levels)]
+    return per_node.agg(F.array(*counts).alias("x")).select(F.explode("x").alias("x")).select("x.*").where("pairs > 0")

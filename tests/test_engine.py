@@ -745,6 +745,63 @@ def test_node_deltas_join_only_the_orders(spark):
     assert re.search(only_key, deltas) and not re.search(only_key, orders)
 
 
+NODES = "case_id string, student string, node_type string, side string, pos int, match_text string"
+
+
+def _word_rows(seed, groups, words, most):
+    rng = random.Random(seed)
+    return [(f"c{c}", "s", "F", side, p, " ".join(rng.choice(words) for _ in range(rng.randrange(most)))) for c, n in enumerate(groups) for side in "ts" for p in range(n + (side == "s"))]
+
+
+@pytest.mark.parametrize("texts,rounds,words", [(4, (1,), 6), (5, (1, 3), 30), (64, (2,), 12)])
+def test_few_pairs_of_each_give_the_matches_of_all(spark, monkeypatch, texts, rounds, words):
+    """Copies, ties and texts of one word, in one block and in many; what few pairs can't tell waits for later rounds."""
+    monkeypatch.setattr(similarity, "TEXTS", texts)
+    df = spark.createDataFrame(_word_rows(texts, (3, 22, 40), [f"w{k}" for k in range(words)], 5), NODES)
+    kinds = df.withColumn("kind", F.col("pos"))
+    made = similarity.term_blocks(df.withColumn("times", F.lit(1).cast("long")), 0.1)
+    got, want = {}, {}
+    for r in assign.greedy_by_nearest(kinds, made, 0.1, rounds).collect():
+        got.setdefault(r["case_id"], []).append((r["t_pos"], r["s_pos"], round(r["similarity"], 9)))
+    for r in similarity.tfidf_pairs(df, 0.1).collect():
+        want.setdefault(r["case_id"], []).append((r["t_pos"], r["s_pos"], r["similarity"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(*x[:2], round(x[2], 9)) for x in greedy(v)] for k, v in want.items()}
+
+
+def test_pairs_listed_follow_from_nodes(spark):
+    """100 teachers and 100 students that all have something in common would be 10,000 pairs."""
+    rng = random.Random(1)
+    rows = [("c", "s", "F", side, p, " ".join(["all", *(f"w{rng.randrange(40)}" for _ in range(3))])) for side in "ts" for p in range(100)]
+    df = spark.createDataFrame(rows, NODES)
+    made = similarity.term_blocks(df.withColumn("times", F.lit(1).cast("long")), 0.001)
+    assert similarity.block_pairs(made, 0.001).count() == 10_000
+    assert similarity.nearest(made, 0.001, 3).select(F.sum(F.size("similarity"))).first()[0] < 1500
+    alone = similarity.kept_in(made, df.where("pos < 10").select(*similarity.GROUP, "side", "pos"))
+    assert similarity.block_pairs(alone, 0.001).collect() and {tuple(r) for r in similarity.block_pairs(alone, 0.001).collect()} == {tuple(r) for r in similarity.block_pairs(made, 0.001).where("t_pos < 10 and s_pos < 10").collect()}
+
+
+def test_a_file_of_blocks_holds_one(spark, monkeypatch):
+    """Spark's reader decodes many rows of a file at once, so blocks that share a file would all be in memory."""
+    monkeypatch.setattr(similarity, "TEXTS", 5)
+    df = spark.createDataFrame(_word_rows(2, (30, 40), ["ab", "cd", "ef"], 4), NODES)
+    made = similarity.term_blocks(df.withColumn("times", F.lit(1).cast("long")), 0.1)
+    assert made.count() > 20 and len(made.inputFiles()) >= made.count()
+
+
+@pytest.mark.parametrize("small", [256, 0])
+def test_counts_at_thresholds_without_pairs_as_rows(spark, monkeypatch, small):
+    monkeypatch.setattr(similarity, "SMALL", small)
+    monkeypatch.setattr(similarity, "TEXTS", 5)
+    rows = _word_rows(4, (3, 12), ["ab", "cd", "ef", "gh"], 4) + [("plain", "s", "F", side, p, "x") for side in "ts" for p in range(3)]
+    df = spark.createDataFrame(rows, NODES)
+    pairs, levels = [tuple(r) for r in similarity.tfidf_pairs(df, 0.1).collect()], (0.1, 0.5, 0.999, 1.5)
+    want = set()
+    for x in levels:
+        hit = [p for p in pairs if p[5] >= x]
+        want |= {(x, len(hit), len({(p[0], p[3]) for p in hit}), len({(p[0], p[4]) for p in hit}))} if hit else set()
+    assert {tuple(r) for r in calibrate.match_counts(df, levels).collect()} == want
+
+
 def test_differences_inside_the_row_of_a_pair(spark):
     """Arrays of one row give what tables give, with ids that repeat, unknown ends, edges without a type and labels in capitals."""
     rng = random.Random(5)
